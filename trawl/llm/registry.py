@@ -1,19 +1,44 @@
-"""The queries of this subpackage; the operators are imported by name when a query runs."""
+"""The queries of this subpackage: each applies its operator to the whole table it is meant for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm import exact_dedup as op10
+from trawl.llm import mixing as op7
+from trawl.llm import packing as op4
+from trawl.llm import simhash as op5
+from trawl.llm import warc as op9
 from trawl.llm.common import table
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = op7.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op4_packing": op4_packing,
+        "op5_simhash_dedup": op5_simhash_dedup,
+        "op7_source_mixing": op7_source_mixing,
+        "op9_warc": op9_warc,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
