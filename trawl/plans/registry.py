@@ -1,11 +1,311 @@
-"""Queries of the search engine and their SQL equivalents."""
+"""Queries of the search engine over the given tables, each with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from trawl.functions import display, text
+from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
+from trawl.operators import filters, index, lines, overlay
+from trawl.operators.search import count_results, matches, order_columns, search
+from trawl.sources import corpora, files
+from trawl.streaming import changes as streams
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+LOW = "translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+KIND = "CASE WHEN by_name AND by_content THEN 'both' WHEN by_content THEN 'content' ELSE 'filename' END"
+
+
+def add(name: str, query: Query, sql: str | None = None, tables: tuple = ("docs",)) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = "WITH " + ", ".join(corpora.SQL[t] for t in tables) + " " + sql
+
+
+def result_sql(by_name: str, by_content: str = "false", where: str = "true", source: str = "docs") -> str:
+    """The merged results of two predicates."""
+    return f"""SELECT path, is_dir, size, mtime, {KIND} AS kind FROM (
+        SELECT path, arg_min(is_dir, db) AS is_dir, arg_min(size, db) AS size, arg_min(mtime, db) AS mtime, bool_or(n) AS by_name, bool_or(c) AS by_content
+        FROM (SELECT *, coalesce({by_name}, false) AS n, coalesce({by_content}, false) AS c FROM {source}) WHERE (n OR c) AND ({where}) GROUP BY path)"""
+
+
+def docs_search(query: str, scope: str | None = None, limit: int | None = None, **opts) -> Query:
+    return lambda spark, sf: search(corpora.docs(spark, sf), SearchRequest(query, scope, limit, opts=Options(**{"sort": Sort.NONE} | opts)))
+
+
+FILENAME, CONTENT = Layers.FILENAME, Layers.CONTENT
+
+# -- both layers, case
+add("kind_merge", docs_search("note"), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')"))
+add("kind_merge_the", docs_search("the"), result_sql("contains(lower(path), 'the')", f"contains({LOW}, 'the')"))
+add("name_substr_ci", docs_search("note", layers=FILENAME), result_sql("contains(lower(path), 'note')"))
+add("name_substr_cs", docs_search("note", layers=FILENAME, case=Case.SENSITIVE), result_sql("contains(path, 'note')"))
+add("smart_case_upper", docs_search("Note", layers=FILENAME), result_sql("contains(path, 'Note')"))
+add("force_insensitive", docs_search("NOTE", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note')"))
+add("short_query", docs_search("no"), result_sql("contains(lower(path), 'no')", f"contains({LOW}, 'no')"))
+add("empty_query", docs_search(""), result_sql("false"))
+
+# -- boolean queries
+add("bool_and", docs_search("Note AND /en/", layers=FILENAME, case=Case.SENSITIVE), result_sql("contains(path, 'Note') AND contains(path, '/en/')"))
+add("bool_implicit_and", docs_search("note /fr/", layers=FILENAME), result_sql("contains(lower(path), 'note') AND contains(lower(path), '/fr/')"))
+add("bool_or", docs_search("/de/ OR /es/", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(path, '/de/') OR contains(path, '/es/')"))
+add("bool_not", docs_search("note NOT /en/", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note') AND NOT contains(lower(path), '/en/')"))
+add("bool_parens", docs_search("(/de/ OR /es/) AND NOT note", layers=FILENAME, case=Case.INSENSITIVE), result_sql("(contains(path, '/de/') OR contains(path, '/es/')) AND NOT contains(lower(path), 'note')"))
+add("bool_malformed", docs_search("note AND", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note and')"))
+add("bool_content", docs_search("the AND NOT was", layers=CONTENT, case=Case.INSENSITIVE, boolean_content=True), result_sql("false", f"contains({LOW}, 'the') AND NOT contains({LOW}, 'was')"))
+add("content_boolean_literal", docs_search("the and", layers=CONTENT), result_sql("false", f"contains({LOW}, 'the and')"))
+
+
+def bool_setops(spark: SparkSession, sf: str) -> DataFrame:
+    """The boolean algebra as set operations: (de UNION es) EXCEPT note, and with INTERSECT note."""
+    paths = corpora.docs(spark, sf).select("path")
+    has = lambda w: paths.filter(F.lower("path").contains(w))
+    either = has("/de/").union(has("/es/")).distinct()
+    return either.exceptAll(either.intersect(has("note"))).select("path").distinct()
+
+
+add("bool_setops", bool_setops, "SELECT path FROM docs WHERE (contains(lower(path), '/de/') OR contains(lower(path), '/es/')) AND NOT contains(lower(path), 'note')")
+
+# -- modes and layers
+add("basename_mode", docs_search("src1", layers=FILENAME, path_mode=PathMode.BASENAME), result_sql("contains(lower(regexp_extract(path, '[^/]*$')), 'src1')"))
+add("basename_note", docs_search("note_1", path_mode=PathMode.BASENAME, layers=FILENAME), result_sql("contains(lower(regexp_extract(path, '[^/]*$')), 'note_1')"))
+add("layer_filename", docs_search("en", layers=FILENAME), result_sql("contains(lower(path), 'en')"))
+add("layer_content", docs_search("en", layers=CONTENT), result_sql("false", f"contains({LOW}, 'en')"))
+add("content_ci", docs_search("license", layers=CONTENT), result_sql("false", f"contains({LOW}, 'license')"))
+add("content_cs", docs_search("The", layers=CONTENT), result_sql("false", "contains(content, 'The')"))
+add("content_non_ascii", docs_search("é", layers=CONTENT), result_sql("false", f"contains({LOW}, 'é')"))
+
+# -- regular expressions
+add("name_regex", docs_search("note_[0-9]+5\\.[a-z]+$", layers=FILENAME, regex=True), result_sql("regexp_matches(path, '(?i)note_[0-9]+5\\.[a-z]+$')"))
+add("content_regex", docs_search("[a-z]+tion\\s+of", layers=CONTENT, regex=True), result_sql("false", "regexp_matches(content, '(?i)[a-z]+tion[ \\t\\n\\r\\f\\v]+of')"))
+add("regex_alternation", docs_search("/de/|/es/|zzzzzz", layers=FILENAME, regex=True), result_sql("regexp_matches(path, '(?i)/de/|/es/|zzzzzz')"))
+add("regex_both_layers", docs_search("[Nn]ote", regex=True), result_sql("regexp_matches(path, '[Nn]ote')", "regexp_matches(content, '[Nn]ote')"))
+add("regex_no_atom", docs_search("[0-9]{5}", regex=True), result_sql("regexp_matches(path, '[0-9]{5}')", "regexp_matches(content, '[0-9]{5}')"))
+
+# -- filters
+EXT = "CASE WHEN regexp_matches(path, '[^/]\\.[^./]*$') THEN regexp_extract(path, '\\.([^./]*)$', 1) ELSE '' END"
+DEPTH = "length(path) - length(replace(path, '/', ''))"
+add("filter_ext", docs_search("/", layers=FILENAME, ext=("rs", "md")), result_sql("contains(path, '/')", where=f"{EXT} IN ('rs', 'md')"))
+add("filter_type", docs_search("/", layers=FILENAME, types=("code", "archive", "nothing")), result_sql("contains(path, '/')", where=f"{EXT} IN ('rs', 'zip')"))
+add("filter_exclude", docs_search("/", layers=FILENAME, exclude=("*/en/*", "*.md")), result_sql("contains(path, '/')", where="NOT (contains(path, '/en/') OR ends_with(path, '.md'))"))
+add("filter_glob", docs_search("/", layers=FILENAME, glob=("*/src?/*.rs", "*Note_1?.*")), result_sql("contains(path, '/')", where="regexp_matches(path, '^.*/src./.*\\.rs$') OR regexp_matches(path, '^.*Note_1.\\..*$')"))
+add("filter_byte_glob", docs_search("/", layers=FILENAME, glob=("/corpus/??/*",), byte_glob=True), result_sql("contains(path, '/')", where="regexp_matches(path, '^/corpus/../.*$')"))
+add("filter_depth", docs_search("/", layers=FILENAME, depth=4), result_sql("contains(path, '/')", where=f"{DEPTH} <= 4"))
+add("filter_scope", docs_search("note", scope="/corpus/en"), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')", "path = '/corpus/en' OR starts_with(path, '/corpus/en/')"))
+add("filter_all", docs_search("note", scope="/corpus/", ext=("rs", "json"), exclude=("*/fr/*",), depth=4), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')", f"starts_with(path, '/corpus/') AND {EXT} IN ('rs', 'json') AND NOT contains(path, '/fr/') AND {DEPTH} <= 4"))
+
+
+def type_semi_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The type filter as a semi-join with the small table of categories."""
+    wanted = filters.types_table(spark).filter("category = 'docs'")
+    d = corpora.docs(spark, sf).select("path", text.extension(F.col("path")).alias("ext"))
+    return d.join(wanted, "ext", "left_semi").select("path", "ext")
+
+
+add("type_semi_join", type_semi_join, f"SELECT path, {EXT} AS ext FROM docs WHERE {EXT} IN ('md', 'txt')")
+
+# -- find expressions
+add("expr_name_size", docs_search("/", layers=FILENAME, expr="-name 'Note*' -size +2k"), result_sql("contains(path, '/')", where="regexp_matches(path, '/Note[^/]*$') AND size > 2048"))
+add("expr_or_not_parens", docs_search("/", layers=FILENAME, expr="( -name *.rs -o -name *.md ) -a ! -size -1k"), result_sql("contains(path, '/')", where="regexp_matches(path, '\\.(rs|md)$') AND NOT size < 1024"))
+add("expr_path", docs_search("/", layers=FILENAME, expr="-path */fr/* -o -path */de/*.zip"), result_sql("contains(path, '/')", where="contains(path, '/fr/') OR regexp_matches(path, '/de/.*\\.zip$')"))
+
+
+def expr_newer(spark: SparkSession, sf: str) -> DataFrame:
+    """Files newer than the 101st document's file, or exactly 0 bytes."""
+    reference = corpora.doc_paths(spark, sf).filter("doc_id = 100").first()["path"]
+    opts = Options(layers=FILENAME, sort=Sort.NONE, expr=f"-newer {reference} -a ! -newer /no/such/file")
+    return search(corpora.docs(spark, sf), SearchRequest("/", opts=opts))
+
+
+add("expr_newer", expr_newer, result_sql("contains(path, '/')", where="mtime > (SELECT max(mtime) FROM docs WHERE doc_id = 100)"))
+
+# -- order and limits
+WEIGHT = "CASE kind WHEN 'both' THEN 0 WHEN 'content' THEN 1 ELSE 2 END"
+
+
+def ranked(query: str, sort: Sort, limit: int) -> Query:
+    """A limited search with the place of each result, so that the order itself is compared."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        request = SearchRequest(query, limit=limit, opts=Options(sort=sort))
+        found = search(corpora.docs(spark, sf), request)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_columns(sort)))
+        return found.select("path", "kind", place.alias("place"))
+
+    return run
+
+
+def ranked_sql(order: str, limit: int) -> str:
+    inner = result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')")
+    return f"SELECT path, kind, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place FROM ({inner}) QUALIFY place <= {limit}"
+
+
+add("sort_default_topk", ranked("note", Sort.DEFAULT, 50), ranked_sql(f"{WEIGHT}, {DEPTH}, path", 50))
+add("sort_path_limit", ranked("note", Sort.PATH, 30), ranked_sql("path", 30))
+add("sort_kind", ranked("note", Sort.KIND, 40), ranked_sql(f"{WEIGHT}, path", 40))
+add("limit_zero", docs_search("note", limit=0), result_sql("false"))
+add("count_only", lambda spark, sf: count_results(corpora.docs(spark, sf), SearchRequest("note")), f"SELECT count(*) AS total FROM docs WHERE contains(lower(path), 'note') OR contains({LOW}, 'note')")
+add("count_limited", lambda spark, sf: count_results(corpora.docs(spark, sf), SearchRequest("e", limit=7)), "SELECT CAST(7 AS BIGINT) AS total")
+
+# -- lines
+LINES = "line AS (SELECT path, content, unnest(l) AS text, generate_subscripts(l, 1) AS line_no, len(l) AS n FROM (SELECT path, content, CASE WHEN ends_with(content, chr(10)) THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END AS l FROM docs WHERE content <> ''))"
+LOW_TEXT = LOW.replace("content", "text")
+
+
+def docs_lines(query: str, context: int | None = None, **opts) -> Query:
+    return lambda spark, sf: lines.search_lines(corpora.docs(spark, sf), SearchRequest(query, opts=Options(**opts)), context).drop("db")
+
+
+add("line_hits", docs_lines("thand"), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, text FROM line WHERE contains({LOW_TEXT}, 'thand')")
+add("line_hits_cs", docs_lines("Of"), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, text FROM line WHERE contains(text, 'Of')")
+add("line_regex", docs_lines("[a-z]+ingre[a-z]*", regex=True), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, text FROM line WHERE regexp_matches(text, '(?i)[a-z]+ingre[a-z]*')")
+add("line_filtered", docs_lines("the", ext=("rs",), depth=4), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, text FROM line WHERE contains({LOW_TEXT}, 'the') AND ends_with(path, '.rs')")
+CONTEXT = f"""{LINES}, hit AS (SELECT path, content, line_no AS h, greatest(1, line_no - 1) AS first FROM line WHERE contains({LOW_TEXT}, 'thand')),
+    pick AS (SELECT path, first, min(h) AS h FROM hit GROUP BY path, first)"""
+CONTEXT_BLOCK = f", {CONTEXT} SELECT p.path, CAST(p.first AS INT) AS line_no, string_agg(l.text, chr(10) ORDER BY l.line_no) || CASE WHEN max(l.line_no) < max(l.n) OR ends_with(any_value(l.content), chr(10)) THEN chr(10) ELSE '' END AS text FROM pick p JOIN line l ON l.path = p.path AND l.line_no BETWEEN p.first AND p.h + 1 GROUP BY p.path, p.first"
+add("line_context", docs_lines("thand", 1), CONTEXT_BLOCK)
+add("line_render", lambda spark, sf: lines.render(docs_lines("thand")(spark, sf)), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, path || ':' || line_no || ':' || text AS rendered FROM line WHERE contains({LOW_TEXT}, 'thand')")
+add("line_count", lambda spark, sf: docs_lines("thand")(spark, sf).agg(F.count(F.lit(1)).alias("total")), f", {LINES} SELECT count(*) AS total FROM line WHERE contains({LOW_TEXT}, 'thand')")
+
+# -- building
+TRIGRAMS = "hexed AS (SELECT path, content, hex(encode(" + LOW + ")) AS h FROM docs), gram AS (SELECT DISTINCT path, substr(h, CAST(2 * i + 1 AS BIGINT), 6) AS trigram FROM (SELECT path, h, unnest(range(0, length(h) // 2 - 2)) AS i FROM hexed))"
+
+
+def gated(spark: SparkSession, sf: str) -> DataFrame:
+    """The text gate with low thresholds, so that every verdict occurs."""
+    d = corpora.docs(spark, sf)
+    data = F.encode("content", "UTF-8")
+    return d.select("path", files.gate(F.col("size"), data, F.col("content"), cap=2000, trigram_limit=500).alias("gate"))
+
+
+GATED = f", {TRIGRAMS}, counts AS (SELECT path, count(*) AS n FROM gram GROUP BY path), gate AS (SELECT d.path, CASE WHEN size > 2000 THEN 'large' WHEN coalesce(n, 0) > 500 THEN 'binary' ELSE 'text' END AS gate FROM docs d LEFT JOIN counts c USING (path))"
+add("text_gate", gated, f"{GATED} SELECT path, gate FROM gate")
+add("build_report", lambda spark, sf: files.build_report(gated(spark, sf)).drop("denied"), f"{GATED} SELECT count(*) AS filename_docs, count(*) FILTER (gate = 'text') AS content_docs, count(*) FILTER (gate = 'binary') AS skipped_binary, count(*) FILTER (gate = 'large') AS skipped_large FROM gate")
+
+
+def kept_paths(skip: tuple = (), ignore: tuple = ()) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        relative = F.regexp_replace("path", "^/", "")
+        rules = files.compile_ignores(list(ignore), "/")
+        return corpora.docs(spark, sf).filter(files.kept(relative, F.col("is_dir"), skip, rules)).select("path")
+
+    return run
+
+
+add("skip_dirs", kept_paths(skip=("src1", "es")), "SELECT path FROM docs WHERE NOT contains(path, '/src1/') AND NOT contains(path, '/es/')")
+add("ignore_globs", kept_paths(ignore=("*.zip", "corpus/de/", "!Note_0.zip", "src?", "/corpus/*/src10/**/Note*", "[", "")), "SELECT path FROM docs WHERE NOT (ends_with(path, '.zip') AND NOT ends_with(path, '/Note_0.zip')) AND NOT contains(path, '/corpus/de/') AND NOT regexp_matches(path, '/src./') AND NOT regexp_matches(path, '^/corpus/[^/]*/src10/.*Note')")
+add("latest_per_path", lambda spark, sf: corpora.everything(spark, sf).dropDuplicates(["path"]).groupBy("db").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).withColumn("bytes", F.col("bytes").cast("bigint")), "SELECT db, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT db, path, size FROM docs UNION ALL SELECT db, path, size FROM web UNION ALL SELECT db, path, size FROM chat UNION ALL SELECT db, path, size FROM bench UNION ALL SELECT db, path, size FROM parts) GROUP BY db", ("docs", "pages", "chat", "bench", "parts"))
+
+# -- the trigram index
+
+
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return index.content_postings(corpora.docs(spark, sf))
+
+
+add("trigram_df", lambda spark, sf: index.document_frequencies(postings(spark, sf)), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram GROUP BY trigram")
+add("posting_lookup", lambda spark, sf: index.lookup(postings(spark, sf), "746865").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram = '746865'")
+NEEDLE = "IN (SELECT substr(hex(encode('license')), CAST(2 * i + 1 AS BIGINT), 6) FROM range(0, 5) t(i))"
+add("rarest_trigram", lambda spark, sf: index.rarest_trigram(postings(spark, sf), "License"), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram WHERE trigram {NEEDLE} GROUP BY trigram ORDER BY df, trigram LIMIT 1")
+add("index_candidates", lambda spark, sf: index.candidates(postings(spark, sf), "license").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram {NEEDLE} GROUP BY path HAVING count(*) = 5")
+add("index_search", lambda spark, sf: index.index_search(corpora.docs(spark, sf), postings(spark, sf), "license").select("path"), f"SELECT path FROM docs WHERE contains({LOW}, 'license')")
+add("distinct_trigrams", lambda spark, sf: index.distinct_trigrams(corpora.docs(spark, sf)), f", {TRIGRAMS} SELECT d.path, CAST(coalesce(n, 0) AS INT) AS n_trigrams FROM docs d LEFT JOIN (SELECT path, count(*) AS n FROM gram GROUP BY path) USING (path)")
+
+# -- several databases
+add("multi_db_union", lambda spark, sf: search(corpora.overlapping(spark, sf), SearchRequest("note", opts=Options(sort=Sort.NONE))), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')", source="both_dbs"), ("overlapping",))
+add("multi_db_select", lambda spark, sf: search(corpora.overlapping(spark, sf), SearchRequest("note", db="docs_b", opts=Options(sort=Sort.NONE))), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')", "db = 'docs_b'", "both_dbs"), ("overlapping",))
+ALL = ("docs", "pages", "chat", "bench", "parts")
+ALL_SQL = "(SELECT db, path, is_dir, size, mtime, content FROM docs UNION ALL SELECT * FROM web UNION ALL SELECT * FROM chat UNION ALL SELECT * FROM bench UNION ALL SELECT * FROM parts)"
+add("all_databases", lambda spark, sf: search(corpora.everything(spark, sf), SearchRequest("was", opts=Options(sort=Sort.NONE))), result_sql("contains(lower(path), 'was')", f"contains({LOW}, 'was')", source=ALL_SQL), ALL)
+
+# -- the overlay
+LAST = "last AS (SELECT path, op, content FROM log QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1)"
+LOG = ("docs", "changes")
+
+
+def last_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return overlay.latest(corpora.changes(spark, sf), F.col("at"))
+
+
+def merged_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return overlay.merged(corpora.docs(spark, sf), corpora.changes(spark, sf), F.col("at"), db="docs")
+
+
+MERGED = "merged AS (SELECT path, content FROM docs WHERE path NOT IN (SELECT path FROM last) UNION ALL SELECT path, content FROM last WHERE op = 'upsert')"
+add("overlay_latest", lambda spark, sf: last_changes(spark, sf).select("path", "op", "content"), f", {LAST} SELECT path, op, content FROM last", LOG)
+add("overlay_suppress", lambda spark, sf: overlay.suppress(corpora.docs(spark, sf), last_changes(spark, sf)).select("path"), f", {LAST} SELECT path FROM docs WHERE path NOT IN (SELECT path FROM last)", LOG)
+add("overlay_merge", lambda spark, sf: merged_docs(spark, sf).select("path", "content"), f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
+add("overlay_search", lambda spark, sf: matches(merged_docs(spark, sf), SearchRequest("click")).select("path", "kind"), f", {LAST}, {MERGED} SELECT path, CASE WHEN contains(lower(path), 'click') AND coalesce(contains({LOW}, 'click'), false) THEN 'both' WHEN contains({LOW}, 'click') THEN 'content' ELSE 'filename' END AS kind FROM merged WHERE contains(lower(path), 'click') OR contains({LOW}, 'click')", LOG)
+add("overlay_lines", lambda spark, sf: lines.search_lines(merged_docs(spark, sf), SearchRequest("purchase")).select("path", "line_no", "text"), f", {LAST}, {MERGED} SELECT path, CAST(i AS INT) AS line_no, l[i] AS text FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM merged WHERE content IS NOT NULL)) WHERE contains(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'purchase')", LOG)
+add("overlay_len", lambda spark, sf: overlay.overlay_length(corpora.changes(spark, sf)), " SELECT count(DISTINCT path) AS paths FROM log", LOG)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder in the cluster's shared place for a stream's log, state and checkpoint."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or '/tmp/checkpoints/trawl').rstrip('/')}/overlay-{uuid.uuid4().hex}"
+
+
+def overlay_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same state, gathered by the stream from a log of several files, then merged with the cold rows."""
+    root = scratch(spark)
+    streams.append_log(_ordered(spark, sf).repartition(3, "seq"), f"{root}/log")
+    streams.latest_of_stream(spark, f"{root}/log", f"{root}/overlay")
+    return streams.current(streams.Overlay(spark, f"{root}/overlay"), corpora.docs(spark, sf), db="docs").select("path", "content")
+
+
+def _ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """seq from the time and, within one microsecond, the event's number."""
+    c = corpora.changes(spark, sf)
+    first = c.agg(F.min("at.us").alias("m")).first()["m"] or 0
+    return c.withColumn("seq", (F.col("at.us") - first) * 1000 + F.pmod(F.col("at.event_id"), F.lit(1000)))
+
+
+def overlay_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Log, stream, compaction into a new cold version; the overlay is empty then and the snapshot is the merged view."""
+    from trawl.sources.store import SnapshotStore
+
+    root = scratch(spark)
+    store, over = SnapshotStore(spark, f"{root}/cold"), streams.Overlay(spark, f"{root}/overlay")
+    store.publish(corpora.docs(spark, sf))
+    over.apply(_ordered(spark, sf), 0)
+    streams.compact(spark, over, store)
+    return streams.current(over, store.snapshot()).select("path", "content")
+
+
+add("overlay_stream", overlay_stream, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
+add("overlay_compact", overlay_compact, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
+
+# -- display
+add("humansize", lambda spark, sf: corpora.docs(spark, sf).select("path", display.humansize(F.col("size") * 700).alias("human")), "SELECT path, CASE WHEN s < 1024 THEN s || 'B' WHEN s < 1048576 THEN printf('%.1fK', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1fM', s / 1048576.0) ELSE printf('%.1fG', s / 1073741824.0) END AS human FROM (SELECT path, size * 700 AS s FROM docs)")
+add("highlight", lambda spark, sf: corpora.docs(spark, sf).select("path", display.highlight(F.col("path"), "note").alias("shown")), "SELECT path, CASE WHEN i > 0 THEN substr(path, 1, i - 1) || chr(27) || '[1;31m' || substr(path, i, 4) || chr(27) || '[0m' || substr(path, i + 4) ELSE path END AS shown FROM (SELECT path, instr(lower(path), 'note') AS i FROM docs)")
+
+
+def long_listing(spark: SparkSession, sf: str) -> DataFrame:
+    found = matches(corpora.docs(spark, sf), SearchRequest("note"))
+    return found.select(display.long_line(F.col("kind"), F.col("size"), F.col("path"), F.col("is_dir")).alias("line"))
+
+
+add("long_listing", long_listing, "SELECT CASE kind WHEN 'both' THEN '[b]' WHEN 'content' THEN '[c]' ELSE '[f]' END || chr(9) || CASE WHEN size < 1024 THEN size || 'B' WHEN size < 1048576 THEN printf('%.1fK', size / 1024.0) ELSE printf('%.1fM', size / 1048576.0) END || chr(9) || path AS line FROM (" + result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')") + ")")
+add("exec_template", lambda spark, sf: corpora.docs(spark, sf).select(display.exec_command("wc -l {} # {}", F.col("path")).alias("command")), "SELECT 'wc -l ' || path || ' # ' || path AS command FROM docs")
+NOW = corpora.EPOCH + 400_000
+add("freshness", lambda spark, sf: corpora.docs(spark, sf).select("path", display.status_state(F.lit(NOW) - F.col("mtime"), F.lit(False)).alias("status"), display.build_state(F.lit(NOW) - F.col("mtime")).alias("build")), f"SELECT path, CASE WHEN {NOW} - mtime < 86400 THEN 'fresh' ELSE 'stale' END AS status, CASE WHEN {NOW} - mtime < 60 THEN 'fresh' WHEN {NOW} - mtime > 604800 THEN 'stale' ELSE 'usable' END AS build FROM docs")
+add("path_parts", lambda spark, sf: corpora.docs(spark, sf).select("path", text.extension(F.col("path")).alias("ext"), text.basename(F.col("path")).alias("name"), text.depth(F.col("path")).alias("depth"), text.strip_dot(F.concat(F.lit("./"), "path")).alias("bare")), f"SELECT path, {EXT} AS ext, regexp_extract(path, '[^/]*$') AS name, CAST({DEPTH} AS INT) AS depth, path AS bare FROM docs")
+add("ascii_fold", lambda spark, sf: corpora.docs(spark, sf).select("path", F.md5(text.ascii_fold(F.col("content"))).alias("folded")), f"SELECT path, md5({LOW}) AS folded FROM docs")
+add("search_with_labels", lambda spark, sf: matches(corpora.docs(spark, sf), SearchRequest("the", opts=Options(layers=CONTENT))).join(corpora.doc_paths(spark, sf), "path").join(corpora.read(spark, sf, "labels"), "doc_id", "left").select("path", "kind", "quality"), f"SELECT d.path, 'content' AS kind, l.quality FROM docs d LEFT JOIN labels l USING (doc_id) WHERE contains({LOW}, 'the')")
+
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
