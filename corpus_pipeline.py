@@ -1,12 +1,60 @@
-"""The corpus pipeline: documents through language ID, exact and near deduplication, mixing and packing."""
+"""The corpus pipeline: documents through language ID, exact and near deduplication, mixing and packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs; all but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawl.llm import exact_dedup, language_id, mixing, packing, simhash
+from trawl.llm.common import materialise, table
+
+#: A document whose likeliest language has a lower pooled probability is rejected, as is one without a letter.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an identified language; the network learns from the documents' own lang."""
+    return language_id.keep_identified(docs, language_id.train(docs), LEAST_LANGUAGE_SCORE)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id; rows without a doc_id go, rows that repeat it stay as one."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(kept, docs.doc_id == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the smallest doc_id."""
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them (0, 1 or 2 rows each)."""
+    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs, with_ids=False)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mixing", mix),
+    ("packing", pack),
+]
+#: SQL expresses neither the network nor the tokenizer: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
