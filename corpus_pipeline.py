@@ -13,7 +13,7 @@ from trawl.llm import exact_dedup, language_id, mixing, packing, simhash
 from trawl.llm.common import materialise, table
 
 #: A document whose likeliest language has a lower pooled probability is rejected, as is one without a letter.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

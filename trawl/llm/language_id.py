@@ -20,12 +20,21 @@ from trawl.llm.common import byte_view, crc_remainder, crc_remainder_column
 WINDOW, HIDDEN = 96, 16
 #: Training: documents sampled at most, characters taken at one place of each, languages learned at most.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 4000, 400, 64
-STEPS, BATCH, RATE = 500, 192, 0.01
+STEPS, BATCH, RATE = 200, 160, 0.012
 #: Windows that a task reads at a time.
 LANES = 2048
 UNKNOWN = "und"
 
 
+#: Slope of the gates' straight middle part.
+SLOPE = np.float32(0.25)
+
+
+def gate(x: np.ndarray) -> np.ndarray:
+    """The piecewise linear sigmoid of the gates: 1/2 + x/4 between 0 and 1."""
+    return np.clip(x * SLOPE + np.float32(0.5), 0, 1)
+
+
 class BiGru:
     """Weights: for each direction tables of the three gates' input (256 x H) and their recurrent H x H matrices."""
 
@@ -34,9 +43,9 @@ class BiGru:
         rng = np.random.default_rng(seed)
         self.p = {}
         for way in "fb":
-            for gate in "zrn":
-                self.p[f"x{gate}{way}"] = rng.normal(0, 0.3, (256, h)).astype(np.float32)
-                self.p[f"u{gate}{way}"] = rng.normal(0, h**-0.5, (h, h)).astype(np.float32)
+            for name in "zrn":
+                self.p[f"x{name}{way}"] = rng.normal(0, 0.3, (256, h)).astype(np.float32)
+                self.p[f"u{name}{way}"] = rng.normal(0, h**-0.5, (h, h)).astype(np.float32)
             self.p[f"o{way}"] = rng.normal(0, h**-0.5, (h, n)).astype(np.float32)
         self.p["bias"] = np.zeros(n, np.float32)
 
@@ -47,8 +56,8 @@ class BiGru:
         steps = range(len(codes)) if way == "f" else range(len(codes) - 1, -1, -1)
         for t in steps:
             c, m = codes[t], mask[t][:, None]
-            z = 1 / (1 + np.exp(-(p["xz" + way][c] + h @ p["uz" + way])))
-            r = 1 / (1 + np.exp(-(p["xr" + way][c] + h @ p["ur" + way])))
+            z = gate(p["xz" + way][c] + h @ p["uz" + way])
+            r = gate(p["xr" + way][c] + h @ p["ur" + way])
             un = h @ p["un" + way]
             n = np.tanh(p["xn" + way][c] + r * un)
             new = (n + z * (h - n)) * m
@@ -76,19 +85,24 @@ class BiGru:
                 grads["o" + way] += states[way][t].T @ prob
                 into[way][t] = prob @ p["o" + way].T
         for way in "fb":
-            dh = np.zeros((codes.shape[1], HIDDEN), np.float32)
+            dh, into_input = np.zeros((codes.shape[1], HIDDEN), np.float32), {name: [] for name in "zrn"}
             for t, h, z, r, un, n, _ in reversed(traces[way]):
                 dh = (dh + into[way][t]) * mask[t][:, None]
                 dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
+                dz = dh * (h - n) * SLOPE * ((z > 0) & (z < 1))
+                dr = dn * un * SLOPE * ((r > 0) & (r < 1))
                 dun = dn * r
-                for gate, d in (("z", dz), ("r", dr), ("n", dn)):
-                    np.add.at(grads[f"x{gate}{way}"], codes[t], d)
+                for name, d in (("z", dz), ("r", dr), ("n", dn)):
+                    into_input[name].append(d)
                 grads["uz" + way] += h.T @ dz
                 grads["ur" + way] += h.T @ dr
                 grads["un" + way] += h.T @ dun
                 dh = dh * z + dz @ p["uz" + way].T + dr @ p["ur" + way].T + dun @ p["un" + way].T
+            seen = np.concatenate([codes[x[0]] for x in reversed(traces[way])])
+            slots = (seen[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+            for name, d in into_input.items():
+                total = np.bincount(slots, np.concatenate(d).ravel(), 256 * HIDDEN)
+                grads[f"x{name}{way}"] += total.reshape(256, HIDDEN).astype(np.float32)
         return float(loss / count), grads
 
     def fit(self, windows: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> BiGru:
@@ -111,22 +125,22 @@ class BiGru:
     def position_sums(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Per lane, the sum over its positions of the language probabilities; codes and mask are (time, lane)."""
         p, (steps, lanes), n = self.p, codes.shape, len(self.languages)
-        half = {k: v * np.float32(0.5) if k[1] in "zr" and k[0] in "xu" else v for k, v in p.items()}  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        # the gates' slope and middle are folded into their weights once
+        scaled = {k: v * SLOPE + (np.float32(0.5) if k[0] == "x" else 0) if k[1] in "zr" and k[0] in "xu" else v for k, v in p.items()}
         hs = np.zeros((steps + 1, lanes, HIDDEN), np.float32)
         z, r, new, work = (np.empty((lanes, HIDDEN), np.float32) for _ in range(4))
         ragged = not mask.all()
 
         def step(way: str, c: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
-            for gate, at in (("z", z), ("r", r)):
-                np.take(half[f"x{gate}{way}"], c, axis=0, out=at, mode="clip")
-                np.matmul(h, half[f"u{gate}{way}"], out=work)
+            for name, at in (("z", z), ("r", r)):
+                np.take(scaled[f"x{name}{way}"], c, axis=0, out=at, mode="clip")
+                np.matmul(h, scaled[f"u{name}{way}"], out=work)
                 np.add(at, work, out=at)
-                np.tanh(at, out=at)
-                np.multiply(at, np.float32(0.5), out=at)
-                np.add(at, np.float32(0.5), out=at)
-            np.matmul(h, half["un" + way], out=work)
+                np.maximum(at, np.float32(0), out=at)
+                np.minimum(at, np.float32(1), out=at)
+            np.matmul(h, scaled["un" + way], out=work)
             np.multiply(work, r, out=work)
-            np.take(half["xn" + way], c, axis=0, out=new, mode="clip")
+            np.take(scaled["xn" + way], c, axis=0, out=new, mode="clip")
             np.add(new, work, out=new)
             np.tanh(new, out=new)
             np.subtract(h, new, out=work)
@@ -140,9 +154,9 @@ class BiGru:
             step("b", codes[t], back, back)
             if ragged:
                 back *= mask[t][:, None]
-            logits = hs[t] @ half["of"]
-            logits += back @ half["ob"]
-            logits += half["bias"]
+            logits = hs[t] @ p["of"]
+            logits += back @ p["ob"]
+            logits += p["bias"]
             logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
             logits *= (mask[t] / logits.sum(1))[:, None]
