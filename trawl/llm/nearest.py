@@ -24,7 +24,7 @@ SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 48, 1024
 #: A boundary vector: centroids within (1 + REPLICA) times the nearest distance, REPLICAS lists at most.
 REPLICA, REPLICAS = 0.12, 4
 #: A query reads lists within (1 + PRUNE) times the nearest distance.
-PRUNE = 0.30
+PRUNE = 0.12
 DEGREE, BEAM, EXPAND = 24, 256, 8
 #: Vectors and queries of a list that one task scores at a time.
 BLOCK = 20_000
