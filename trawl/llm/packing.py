@@ -9,17 +9,21 @@ every step uses up a length. Pieces then find their place by their length and th
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from trawl.llm.common import byte_view, materialise
 
@@ -33,15 +37,42 @@ BATCH = 2_000
 # -- tokenising
 
 
+#: The pattern by which byte-level BPE splits texts.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def merge_ranks(model: dict) -> dict[bytes, int] | None:
+    """bytes -> id of a byte-level BPE whose merges stand in the order of their ids; None for any other model.
+
+    Such a model's ids are its merge ranks, so a rank-based merger gives the same ids, several times as fast.
+    """
+    vocabulary = model.get("vocab")
+    if model.get("type") != "BPE" or not isinstance(vocabulary, dict):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [vocabulary.get(m) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    plain = [t for t, i in vocabulary.items() if i < 256 + len(merges)]
+    return {bytes(letters[c] for c in t): vocabulary[t] for t in plain}
+
+
 class _Cache(dict):
     """Chunk of text -> its ids as little-endian 16-bit bytes. Chunks start at a space before a non-space."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        whole = json.loads(tokenizer.to_str())
+        split, ranks = whole.get("pre_tokenizer") or {}, merge_ranks(whole["model"])
+        if ranks and not whole.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space"):
+            self.encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.encode = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        found = array.array("H", self.encode(chunk)).tobytes()
         if len(chunk) < 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -51,8 +82,6 @@ class _Cache(dict):
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str) -> tuple[_Cache, list[str]]:
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.get_vocab_size() > 65_536:
         raise ValueError("ids must fit 16 bits")
@@ -91,7 +120,7 @@ def token_ids(text: str, path: str) -> np.ndarray:
         parts = merged
     first, rest = parts[0], parts[1:]
     get = cache.__getitem__
-    return np.frombuffer(get(first) + b"".join([get(" " + p) for p in rest]), np.uint16)
+    return np.frombuffer(get(first) + b"".join([get(" " + p) for p in rest]), np.uint16) if text else np.zeros(0, np.uint16)
 
 
 PIECES = T.StructType([
