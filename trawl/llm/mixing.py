@@ -96,8 +96,8 @@ def cell_copies(hist: DataFrame, tilts: DataFrame) -> DataFrame:
 
     hist counts (source, size, part). Down the sizes of a source, the copies of a cell are the difference of the
     rounded running sums of expected copies; so the token error telescopes to less than half the largest document.
-    What is left is met by changing a single copy in single cells, one size class (powers of two) after the other,
-    downwards; this leaves about the size of the smallest documents.
+    What is left is met in one cell of each class of sizes (quarters of a power of two), one class after the other,
+    downwards, by as many copies more or fewer as come nearest; this leaves about the size of the smallest documents.
     """
     cells = hist.join(tilts.select(F.col("source").alias("of"), "source_size", "target", "scale", "tilt"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     bound = F.when(F.col("target") > 0, F.lit(float(MOST_COPIES))).otherwise(F.lit(0.0))
@@ -106,17 +106,19 @@ def cell_copies(hist: DataFrame, tilts: DataFrame) -> DataFrame:
     so_far = F.sum("expected").over(down.rowsBetween(Window.unboundedPreceding, 0))
     before = F.coalesce(F.sum("expected").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     cells = cells.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("n") * MOST_COPIES, F.floor(so_far + 0.5) - F.floor(before + 0.5))).cast("bigint"))
-    # the residual of a source, met by one copy more or less in a class of sizes
-    cells = cells.withColumn("class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
-    ups = F.min(F.when((F.col("copies") < F.col("n") * MOST_COPIES) & (F.col("size") > 0) & F.col("tilt").isNotNull(), F.struct("size", "part")))
-    downs = F.min(F.when((F.col("copies") > 0) & (F.col("size") > 0) & F.col("tilt").isNotNull(), F.struct("size", "part")))
-    classes = cells.groupBy("source", "class").agg(ups.alias("up"), downs.alias("down"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"))
+    # the residual of a source, met by copies more or fewer in one cell of each class of sizes
+    cells = cells.withColumn("class", F.floor(4 * F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
+    free = (F.col("size") > 0) & F.col("tilt").isNotNull()
+    room = lambda spare: F.max(F.when(free & (spare > 0), F.struct((spare * F.col("size")).alias("words"), "size", "part", spare.alias("spare"))))
+    classes = cells.groupBy("source", "class").agg(
+        room(F.col("n") * MOST_COPIES - F.col("copies")).alias("up"), room(F.col("copies")).alias("down"),
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"),
+    )
     walk = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "up", "down")), asc=False).alias("steps"), (F.first("target") - F.sum("taken")).alias("left"))
-    start = "struct(cast(left as double) AS left, cast(array() as array<struct<size:bigint,part:int,by:bigint>>) AS flips)"
-    step = f"""(s, x) -> CASE
-        WHEN x.up IS NOT NULL AND s.left > x.up.size / 2 THEN struct(s.left - x.up.size AS left, concat(s.flips, array(struct(x.up.size AS size, x.up.part AS part, 1L AS by))) AS flips)
-        WHEN x.down IS NOT NULL AND -s.left > x.down.size / 2 THEN struct(s.left + x.down.size AS left, concat(s.flips, array(struct(x.down.size AS size, x.down.part AS part, -1L AS by))) AS flips)
-        ELSE s END"""
+    start = "struct(cast(left AS double) AS left, cast(array() AS array<struct<size:bigint,part:int,by:bigint>>) AS flips)"
+    change = lambda side, sign: f"""struct(s.left - {sign} * x.{side}.size * least(x.{side}.spare, cast(floor({sign} * s.left / x.{side}.size + 0.5) AS bigint)) AS left,
+        concat(s.flips, array(struct(x.{side}.size AS size, x.{side}.part AS part, {sign} * least(x.{side}.spare, cast(floor({sign} * s.left / x.{side}.size + 0.5) AS bigint)) AS by))) AS flips)"""
+    step = f"(s, x) -> CASE WHEN x.up IS NOT NULL AND s.left > x.up.size / 2 THEN {change('up', 1)} WHEN x.down IS NOT NULL AND -s.left > x.down.size / 2 THEN {change('down', -1)} ELSE s END"
     flips = walk.select(F.col("source").alias("of"), F.explode(F.expr(f"aggregate(steps, {start}, {step}).flips")).alias("f")).select("of", F.col("f.size").alias("at"), F.col("f.part").alias("in"), "f.by")
     joined = cells.join(flips, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("at")) & (F.col("part") == F.col("in")), "left")
     return joined.select("source", "size", "part", "n", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"), "source_size", "target")
