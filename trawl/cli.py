@@ -12,7 +12,8 @@ from trawl.functions.display import exec_command, highlight, long_line
 from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators.lines import render, search_lines
 from trawl.operators.search import search
-from trawl.sources.files import build_report, compile_ignores, direct_scan, scan  # noqa: F401
+from trawl.sources.build import build, counters
+from trawl.sources.files import direct_scan
 from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, status
 
 
@@ -110,16 +111,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         at = f"{a.home}/snapshots/{a.name}"
         if a.one_file_system:
             print("--one-file-system has no meaning here: object stores have no mounts", file=sys.stderr)
-        snapshots = SnapshotStore(spark, at)
-        snapshots.sweep()
-        if not snapshots.lock():
+        extra = {"cap": a.max_file_size} if a.max_file_size else {}
+        made = build(spark, a.root, SnapshotStore(spark, at), a.force, db=a.name, skip=tuple(a.skip), ignore=settings.ignore, hidden=a.hidden, content=not a.no_content, **extra)
+        if made is None:
             raise SystemExit("another build is running")
-        try:
-            extra = {"cap": a.max_file_size} if a.max_file_size else {}
-            found = scan(spark, a.root, a.name, skip=tuple(a.skip), ignore=settings.ignore, hidden=a.hidden, content=not a.no_content, **extra)
-            print(snapshots.publish(found, **build_report(found).first().asDict()), file=out)
-        finally:
-            snapshots.unlock()
+        print(counters(made), file=out)
         registry.upsert(Database(a.name, a.root, at))
         registry.save(store, registry_file)
     elif a.command == "db":

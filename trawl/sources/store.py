@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,12 +75,15 @@ class SnapshotStore:
         text = self.files.read(f"{self.root}/MANIFEST.json")
         return json.loads(text) if text else None
 
-    def publish(self, files: DataFrame, **facts) -> dict:
-        """Write files as a new version and point the manifest at it; readers of the old version keep it."""
+    def publish(self, files: DataFrame, facts: Callable[[], dict] = dict) -> dict:
+        """Write files as a new version and point the manifest at it; readers of the old version keep it.
+
+        facts() is asked after the write and goes into the manifest.
+        """
         path = f"{self.root}/v={time.time_ns()}-{uuid.uuid4().hex[:8]}"
         files.write.option("compression", "zstd").parquet(path)
         written = self.spark.read.parquet(path)
-        manifest = {"version": path, "build_time": int(time.time()), "docs": written.count()} | facts
+        manifest = {"version": path, "build_time": int(time.time()), "docs": written.count()} | facts()
         self.files.replace(f"{self.root}/MANIFEST.json", json.dumps(manifest))
         return manifest
 

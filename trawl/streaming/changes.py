@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from trawl.functions.patterns import IgnoreRule
 from trawl.model import CHANGES
 from trawl.operators.overlay import META, live, merged, needs_compaction
-from trawl.sources.files import kept
+from trawl.sources.files import SIZE_CAP, gate, kept
 from trawl.sources.store import FileStore, SnapshotStore
 
 DEBOUNCE, COMPACT_AT = "300 milliseconds", 2000
@@ -80,6 +82,46 @@ def watch(spark: SparkSession, log: str, root: str, rules=None, rebuild_at: int
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
+def _inspect(root: str, cap: int):
+    def run(batches):
+        store, _ = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            paths, rows = batch.column(1).to_pylist(), []
+            for info in store.get_file_info(paths):
+                data = None
+                if info.is_file and info.size <= cap:
+                    try:
+                        data = store.open_input_stream(info.path).read()
+                    except OSError:
+                        data = None
+                there = info.type != pafs.FileType.NotFound
+                rows.append((there, info.type == pafs.FileType.Directory, info.size or 0, info.mtime_ns // 1_000_000_000 if there and info.mtime_ns else 0, data))
+            kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["seq", "path", "there", "is_dir", "size", "mtime", "data"])
+
+    return run
+
+
+def records_of(touched: DataFrame, root: str, cap: int = SIZE_CAP) -> DataFrame:
+    """Change records of touched(seq, path) as the files are now: gone ones are deletes; directories, binary and large
+    files are upserts without content. The files are read on the executors."""
+    seen = touched.select(F.col("seq").cast("bigint").alias("seq"), "path").mapInArrow(_inspect(root, cap), "seq bigint, path string, there boolean, is_dir boolean, size bigint, mtime bigint, data binary")
+    text = F.decode("data", "UTF-8")
+    fits = gate(F.col("size"), F.col("data"), text, cap) == "text"
+    return seen.select("seq", F.when(F.col("there"), "upsert").otherwise("delete").alias("op"), "path", "is_dir", "size", "mtime", F.when(~F.col("is_dir") & fits, text).alias("content"))
+
+
+def read_json_log(spark: SparkSession, log: str) -> DataFrame:
+    """A log of JSON lines, of each file only what stands before its first damaged line."""
+    bad = T.StructField("_corrupt_record", T.StringType())
+    raw = spark.read.text(log).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    parsed = raw.select(F.struct("block", "nth").alias("at"), "file", F.from_json("value", T.StructType([*CHANGES.fields, bad]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    torn = F.col("r._corrupt_record").isNotNull() | F.col("r.seq").isNull() | F.col("r.op").isNull() | F.col("r.path").isNull()
+    ends = parsed.filter(torn).groupBy("file").agg(F.min("at").alias("cut"))
+    kept_rows = parsed.join(ends, "file", "left").filter(F.col("cut").isNull() | (F.col("at") < F.col("cut")))
+    return kept_rows.select(*[F.col(f"r.{c}") for c in CHANGES.fieldNames()])
+
+
 def append_log(changes: DataFrame, log: str) -> None:
     changes.select(*CHANGES.fieldNames()).write.mode("append").parquet(log)
 
