@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawl.functions import display, text
 from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators import filters, index, lines, overlay
+from trawl.operators.batch import search_batch
 from trawl.operators.search import count_results, matches, order_columns, search
 from trawl.sources import corpora, files
 from trawl.streaming import changes as streams
@@ -283,6 +284,10 @@ def overlay_compact(spark: SparkSession, sf: str) -> DataFrame:
 add("overlay_stream", overlay_stream, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 add("overlay_compact", overlay_compact, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 
+# -- many queries at once
+NEEDLES = ["note", "Note_1", "src1/", "/de/", ".rs", "zip", "doc_99", "é", "Doc"]
+add("batch_names", lambda spark, sf: search_batch(corpora.docs(spark, sf), NEEDLES), "SELECT query, path FROM docs, (VALUES " + ", ".join(f"('{q}')" for q in NEEDLES) + ") AS q(query) WHERE contains(CASE WHEN regexp_matches(query, '[A-Z]') THEN path ELSE lower(path) END, query)")
+
 # -- display
 add("humansize", lambda spark, sf: corpora.docs(spark, sf).select("path", display.humansize(F.col("size") * 700).alias("human")), "SELECT path, CASE WHEN s < 1024 THEN s || 'B' WHEN s < 1048576 THEN printf('%.1fK', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1fM', s / 1048576.0) ELSE printf('%.1fG', s / 1073741824.0) END AS human FROM (SELECT path, size * 700 AS s FROM docs)")
 add("highlight", lambda spark, sf: corpora.docs(spark, sf).select("path", display.highlight(F.col("path"), "note").alias("shown")), "SELECT path, CASE WHEN i > 0 THEN substr(path, 1, i - 1) || chr(27) || '[1;31m' || substr(path, i, 4) || chr(27) || '[0m' || substr(path, i + 4) ELSE path END AS shown FROM (SELECT path, instr(lower(path), 'note') AS i FROM docs)")
