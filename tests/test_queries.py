@@ -1,12 +1,16 @@
 """Every search-engine query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
 
 from trawl.plans import registry
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -37,5 +41,22 @@ def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-def test_entry_imports_without_llm():
-    assert os.path.exists(os.path.join(os.path.dirname(__file__), "..", "__spark_entry__.py"))
+def test_entry_imports_without_llm(tmp_path):
+    """A copy of the repository without the training-data folders still lists every search query."""
+    for name in ("trawl", "__spark_entry__.py"):
+        at = os.path.join(ROOT, name)
+        (shutil.copytree if os.path.isdir(at) else shutil.copy)(at, tmp_path / name)
+    shutil.rmtree(tmp_path / "trawl" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == ["True", str(len(registry.queries()))]
+
+
+def test_nothing_outside_imports_llm():
+    for folder, _, names in os.walk(os.path.join(ROOT, "trawl")):
+        if os.path.basename(folder) != "llm":
+            for name in names:
+                if name.endswith(".py"):
+                    with open(os.path.join(folder, name)) as f:
+                        assert "trawl.llm" not in f.read(), name
