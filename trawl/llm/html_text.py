@@ -145,6 +145,7 @@ FRAMES = [
     ("<aside>", "</aside>", "teaser"), ("<aside class='sidebar'>", "</aside>", "teaser"), ("<div class='sidebar widget'>", "</div>", "teaser"), ("<div class='related links'>", "</div>", "menu"), ("<div class='share social'>", "</div>", "menu"), ("<div class='newsletter subscribe signup'>", "</div>", "teaser"),
     ("<div class='ad'>", "</div>", "teaser"), ("<div class='ads advert'>", "</div>", "teaser"), ("<div class='advertisement'>", "</div>", "teaser"), ("<div class='promo sponsored'>", "</div>", "teaser"), ("<div id='banner-ad'>", "</div>", "teaser"), ("<ins class='adsbygoogle'>", "</ins>", "none"),
     ("<div class='cookie notice'>", "</div>", "teaser"), ("<div class='cookie-banner consent gdpr'>", "</div>", "teaser"), ("<div class='notice alert'>", "</div>", "teaser"), ("<div class='popup modal overlay'>", "</div>", "teaser"), ("<div role='alert'>", "</div>", "teaser"),
+    ("<div class='hdr top topbar'>", "</div>", "title"), ("<div class='side rail column'>", "</div>", "teaser"), ("<div class='foot bottom'>", "</div>", "legal"), ("<div class='toolbar tags meta'>", "</div>", "menu"), ("<table class='nav layout'><tr><td>", "</td></tr></table>", "menu"), ("<table><tr><td class='nav menu'>", "</td></tr></table>", "menu"),
     ("<form action='/go'>", "</form>", "form"), ("<form class='search'>", "</form>", "form"), ("<div class='login'><form>", "</form></div>", "form"),
     ("<div class='comments' id='comments'>", "</div>", "comment"), ("<section class='comments'>", "</section>", "comment"), ("<div class='comment'>", "</div>", "comment"), ("<ol class='comment-list'>", "</ol>", "comment"), ("<div id='disqus thread' class='replies'>", "</div>", "comment"), ("<section id='respond' class='discussion'>", "</section>", "comment"),
 ]
@@ -189,7 +190,7 @@ def _article(rng: random.Random, inside: bool) -> list[tuple[str, int]]:
         text = _sentence(rng, size) if rng.random() < 0.9 else _words(rng, size)
         if rng.random() < 0.15:
             text = text.replace(" ", " <a href='#x'>", 1) + "</a>" if " " in text else text
-        parts.append((rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<div>{}</div>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<section><p>{}</p></section>"]).format(text), 1))
+        parts.append((rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<div>{}</div>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<section><p>{}</p></section>", "{}<br>"]).format(text), 1))
         if inside and rng.random() < 0.2:
             opening, closing, kind = rng.choice(FRAMES)
             parts.append((opening + _frame(rng, kind) + closing, 0))
@@ -200,6 +201,9 @@ def training_pages(count: int = 1500, seed: int = 3) -> list[tuple[str, list[int
     """Generated pages with the label of each of their blocks (1: article). Layouts vary; no real page is used."""
     rng, out = random.Random(seed), []
     while len(out) < count:
+        if rng.random() < 0.04:  # bare text
+            out.append((_sentence(rng, rng.randint(1, 80)), [1]))
+            continue
         frame = lambda: (lambda f: (f[0] + _frame(rng, f[2]) + f[1], 0))(rng.choice(FRAMES))
         opening, closing = rng.choice(HOLDERS)
         body = [frame() for _ in range(rng.randint(0, 4))] + [(opening, None)] + _article(rng, rng.random() < 0.6) + [(closing, None)] + [frame() for _ in range(rng.randint(0, 4))]
