@@ -1,10 +1,11 @@
 """SimHash near-duplicate groups: fingerprints, a binary-trie self-join, connected components.
 
 Fingerprints of 64 bits link at MOST_BITS = 2 differing bits or fewer. Of three bit blocks (22, 21, 21), at least one
-is then equal on both sides; so the fingerprints are dealt three times, by each block's value, and every part joins its
-own binary trie with itself: node pairs are traversed together, differing bits are summed on the way down, and a pair
-is pruned as soon as its sum exceeds the budget. The trie is the sorted array of distinct fingerprints; a node is a range of
-it. Copies never enter: the join sees distinct fingerprints only.
+is then equal on both sides; so the fingerprints are dealt three times, each time rotated so that another block comes
+first, and every part (a range of first bits) joins its own binary trie with itself: node pairs are traversed together,
+differing bits are summed on the way down, and a pair is pruned as soon as its sum exceeds the budget, which is none
+within the first block. The trie is the sorted array of distinct fingerprints; a node is a range of it. Copies never
+enter: the join sees distinct fingerprints only.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 LEAF = 4
 #: Node pairs handled at a time, and links gathered before they are folded.
 FRONTIER, FOLD = 200_000, 2_000_000
-#: A part with more fingerprints is split into pairs of chunks, each pair a task of its own.
-CHUNK = 20_000
+#: Fingerprints of a part, on the average; one with more than CHUNK is split into pairs of chunks, each a task's.
+PART, CHUNK = 4_000, 20_000
 ROUNDS = 60
 
 
@@ -74,10 +75,11 @@ def _cut(keys: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> np.
     return high - (before[high] - before[low])
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int = MOST_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int = MOST_BITS, equal: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i of left, j of right) of keys at most ``budget`` bits apart; both arrays are sorted and distinct.
 
-    With left and right the same array, each unordered pair comes once, with i < j.
+    Pairs whose first ``equal`` bits differ may be left out. With left and right the same array, each unordered pair
+    comes once, with i < j.
     """
     same = left is right
     if not len(left) or not len(right):
@@ -105,11 +107,12 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int = MOST_BITS) ->
             continue
         a, b, c, d, used = nodes.T
         m, n = _cut(left, a, b, depth), _cut(right, c, d, depth)
-        down = [np.stack([a, m, c, n, used], 1), np.stack([m, b, n, d, used], 1), np.stack([a, m, n, d, used + 1], 1)]
-        crossed = np.stack([m, b, c, n, used + 1], 1)
-        if same:  # a node paired with itself has its two mixed branches only once
-            crossed = crossed[(a != c) | (b != d)]
-        down = np.concatenate([*down, crossed])
+        down = np.concatenate([np.stack([a, m, c, n, used], 1), np.stack([m, b, n, d, used], 1)])
+        if depth >= equal:
+            crossed = np.stack([m, b, c, n, used + 1], 1)
+            if same:  # a node paired with itself has its two mixed branches only once
+                crossed = crossed[(a != c) | (b != d)]
+            down = np.concatenate([down, np.stack([a, m, n, d, used + 1], 1), crossed])
         down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= budget)]
         if len(down):
             stack.append((depth + 1, down))
@@ -133,7 +136,7 @@ def fold(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(left: np.ndarray, right: np.ndarray, equal: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(key, smallest key of its component) under the links between left and right: at most one per key."""
     same = left is right
     keys = left if same else np.union1d(left, right)
@@ -146,7 +149,7 @@ def spanning_links(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
         rest = np.nonzero(root != np.arange(len(keys)))[0]
         return fold(len(keys), np.concatenate([got[0], rest]), np.concatenate([got[1], root[rest]]))
 
-    for i, j in trie_pairs(left, right):
+    for i, j in trie_pairs(left, right, equal=equal):
         held.append((a[i], b[j]))
         size += len(i)
         if size > FOLD:
@@ -157,23 +160,28 @@ def spanning_links(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
     return keys[linked], keys[root[linked]]
 
 
-def _join_part(pdf: pd.DataFrame) -> pd.DataFrame:
+def _join_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    at, width = BLOCKS[int(key[0])]
+    turn, back = np.uint64(at), np.uint64((64 - at) % 64)
     keys = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+    keys = keys << turn | keys >> back if at else keys  # the block's bits come first
     side = pdf["side"].to_numpy()
     left = np.unique(keys[side == 0])
     right = left if (side == 0).all() else np.unique(keys[side == 1])
-    key, root = spanning_links(left, right)
-    return pd.DataFrame({"fp": key.view(np.int64), "to": root.view(np.int64)})
+    found = [(k >> turn | k << back if at else k).view(np.int64) for k in spanning_links(left, right, width)]
+    return pd.DataFrame({"fp": found[0], "to": found[1]})
 
 
 def linked_fingerprints(prints: DataFrame) -> DataFrame:
     """Links (fp, to) among the distinct fp of prints that connect what is MOST_BITS bits apart or less.
 
-    A part larger than CHUNK is dealt to pairs of chunks, so a task gets 2 x CHUNK fingerprints at most, whatever a
-    block value's share is; every pair of its fingerprints still meets in one task.
+    A part holds the fingerprints that agree in the first few bits of a block, as many bits as make PART of them on
+    the average. One larger than CHUNK is dealt to pairs of chunks, so a task gets 2 x CHUNK fingerprints at most,
+    whatever a part's share is; every pair of its fingerprints still meets in one task.
     """
-    bits = [F.shiftrightunsigned(F.shiftleft("fp", at) if at else F.col("fp"), 64 - width) for at, width in BLOCKS]
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), b.cast("bigint").alias("value")) for k, b in enumerate(bits)])
+    bits = min(20, max(0, (prints.count() // PART).bit_length()))
+    first = [F.shiftrightunsigned(F.shiftleft("fp", at), 64 - bits) if bits else F.lit(0).cast("bigint") for at, _ in BLOCKS]
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), b.cast("bigint").alias("value")) for k, b in enumerate(first)])
     dealt = prints.select("fp", F.explode(blocks).alias("x")).select("fp", "x.block", "x.value")
     sizes = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = dealt.join(sizes.select("block", "value", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["block", "value"])
