@@ -76,3 +76,15 @@ def crc_remainder(ids: list, parts: int = 3) -> np.ndarray:
 
 def crc_remainder_column(column: str, parts: int = 3) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def hash_sample(df: DataFrame, key: str, most: int, total: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of df, those with the smallest hashes of key; ``total`` is df's number of rows.
+
+    Only about twice as many rows as are wanted pass the filter, so neither the tasks nor the driver gather more
+    however many tasks there are.
+    """
+    uniform = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
+    if total > 2 * most:
+        df = df.filter(uniform < 2 * most / total)
+    return df.orderBy(uniform, key).limit(most)

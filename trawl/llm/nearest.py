@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import materialise
+from trawl.llm.common import hash_sample, materialise
 
 K = 20
 #: Vectors sampled for the centroids at most; vectors of the sample for a centroid; centroids at most.
@@ -26,8 +26,8 @@ REPLICA, REPLICAS = 0.12, 4
 #: A query reads lists within (1 + PRUNE) times the nearest distance.
 PRUNE = 0.12
 DEGREE, BEAM, EXPAND = 24, 256, 8
-#: Vectors and queries of a list that one task scores at a time.
-BLOCK = 20_000
+#: Vectors that a task scores at a time: short lists share a cell of about so many, long ones fill several.
+CELL = 10_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -115,20 +115,47 @@ def lists_of(graph: CentroidGraph, points: np.ndarray, ratio: float, most: int)
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _assign(graph: CentroidGraph, radius: float, ratio: float, most: int, query: bool, blocks: dict[int, int]):
+def cells_of(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """list -> (first cell, number of cells)."""
+    out, cell, held = {}, 0, 0
+    for name in sorted(sizes):
+        n = sizes[name]
+        if held and held + n > CELL:
+            cell, held = cell + 1, 0
+        count = -(-n // CELL)
+        out[name] = (cell, count)
+        cell, held = (cell + count, 0) if n > CELL else (cell, held + n)
+    return out
+
+
+def _post(graph: CentroidGraph, radius: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["embedding"].to_numpy())
+                extra = np.sqrt(np.maximum(radius**2 - (x**2).sum(1), 0))
+                rows, lists = lists_of(graph, np.concatenate([x, extra[:, None]], 1), REPLICA, REPLICAS)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[rows], "embedding": pdf["embedding"].to_numpy()[rows], "list": lists})
+
+    return run
+
+
+def _ask(graph: CentroidGraph, ratio: float, cells: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, count = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
+        for name, (a, n) in cells.items():  # a list without vectors has no cell
+            first[name], count[name] = a, n
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["embedding"].to_numpy())
-            extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(radius**2 - (x**2).sum(1), 0))
-            rows, lists = lists_of(graph, np.concatenate([x, extra[:, None]], 1), ratio, most)
-            out = pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[rows], "embedding": pdf["embedding"].to_numpy()[rows], "list": lists})
-            if query:  # a query reads every block of its lists; lists without vectors have none
-                times = np.array([blocks.get(int(x), 0) for x in lists], np.int64)
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                out = out.loc[out.index.repeat(times)].assign(block=block.astype(np.int32))
-            yield out
+            rows, lists = lists_of(graph, np.concatenate([x, np.zeros((len(x), 1))], 1), ratio, len(graph.centroids))
+            times = count[lists]
+            rows, names = np.repeat(rows, times), np.repeat(lists, times)
+            cell = first[names] + np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
+            asked = pd.DataFrame({"row": rows, "cell": cell, "list": names}).groupby(["row", "cell"])["list"].agg(list).reset_index()
+            at = asked["row"].to_numpy()
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "embedding": pdf["embedding"].to_numpy()[at], "cell": asked["cell"].to_numpy().astype(np.int32), "lists": asked["list"].to_numpy()})
 
     return run
 
@@ -140,20 +167,22 @@ def _score(k: int):
             return empty
         own = np.stack(right["embedding"].to_numpy())
         ids, out = right["vec_id"].to_numpy(np.int64), []
+        names, where = np.unique(right["list"].to_numpy(np.int64), return_inverse=True)
+        enough = k * REPLICAS  # a vector may stand here once for each of its lists
         for start in range(0, len(left), 256):
             some = left.iloc[start : start + 256]
             q, q_ids = np.stack(some["embedding"].to_numpy()), some["vec_id"].to_numpy(np.int64)
-            near = q @ own.T
-            near[q_ids[:, None] == ids] = -np.inf
-            if near.shape[1] > 2 * k:  # all that tie with the k-th, within rounding
-                edge = np.partition(near, -k, axis=1)[:, -k]
-                row, col = np.nonzero(near >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None])
+            reads = np.stack([np.isin(names, lists) for lists in some["lists"]])
+            near = np.where(reads[:, where] & (q_ids[:, None] != ids), q @ own.T, -np.inf)
+            if near.shape[1] > 2 * enough:  # all that tie with the last one needed, within rounding
+                edge = np.partition(near, -enough, axis=1)[:, -enough]
+                edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1, np.abs(edge)), -np.inf)
+                row, col = np.nonzero((near >= edge[:, None]) & np.isfinite(near))
             else:
                 row, col = np.nonzero(np.isfinite(near))
-            fine = np.isfinite(near[row, col])
-            row, col = row[fine], col[fine]
-            score = (q[row] * own[col]).sum(1)  # the same sum in whatever list the pair meets
-            found = pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": score}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            score = (q[row] * own[col]).sum(1)  # the same sum in whatever cell the pair meets
+            found = pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": score}).drop_duplicates(["query_id", "vec_id"])
+            found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(found.groupby("query_id", sort=False).head(k))
         return pd.concat(out, ignore_index=True) if out else empty
 
@@ -166,7 +195,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: f
     Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of another vec_id. Vectors that
     are null, zero or hold null or non-finite components take no part, nor do those of another length than most
     vectors. Of equal vectors, only the k + 1 smallest ids enter the lists: no others can be among the k nearest, so
-    copies of one vector can't fill a list. Lists are dealt to tasks in blocks of about BLOCK vectors. An empty table
+    copies of one vector can't fill a list. Lists are dealt to tasks in cells of about CELL vectors. An empty table
     gives an empty result; repeated query rows are one query; other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -179,17 +208,18 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: f
     rows = rows.filter(F.size("embedding") == common["width"])
     copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     candidates = materialise(rows.dropDuplicates(["vec_id", "embedding"]).withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy"), "near-candidates")
-    sample = candidates.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).collect()
+    sample = hash_sample(candidates, "vec_id", SAMPLE, candidates.count(), 3).collect()
     x = np.array([r["embedding"] for r in sample])
     x = np.concatenate([x, np.sqrt(np.maximum(radius**2 - (x**2).sum(1), 0))[:, None]], 1)
     graph = CentroidGraph(_leaves(x, min(CENTROIDS, max(1, len(x) // PER_CENTROID))))
-    posted = materialise(candidates.mapInPandas(_assign(graph, radius, REPLICA, REPLICAS, False, {}), "vec_id bigint, embedding array<double>, list bigint"), "near-lists")
-    blocks = {r["list"]: -(-r["n"] // BLOCK) for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # CENTROIDS rows at most
-    count = F.element_at(F.create_map(*[y for a, b in blocks.items() for y in (F.lit(int(a)).cast("bigint"), F.lit(int(b)))]), F.col("list"))
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
+    posted = materialise(candidates.mapInPandas(_post(graph, radius), "vec_id bigint, embedding array<double>, list bigint"), "near-lists")
+    cells = cells_of({r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()})  # CENTROIDS rows at most
+    table = F.create_map(*[y for name, (a, n) in cells.items() for y in (F.lit(name).cast("bigint"), F.struct(F.lit(a).alias("first"), F.lit(n).alias("count")))])
+    mine = F.element_at(table, F.col("list"))
+    posted = posted.withColumn("cell", (mine["first"] + F.pmod(F.xxhash64("vec_id"), mine["count"])).cast("int"))
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = queries.mapInPandas(_assign(graph, radius, prune, len(graph.centroids), True, blocks), "vec_id bigint, embedding array<double>, list bigint, block int")
-    scored = asked.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInPandas(_score(k), "query_id bigint, vec_id bigint, score double")
+    asked = queries.mapInPandas(_ask(graph, prune, cells), "vec_id bigint, embedding array<double>, cell int, lists array<bigint>")
+    scored = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInPandas(_score(k), "query_id bigint, vec_id bigint, score double")
     best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
