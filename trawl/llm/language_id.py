@@ -196,7 +196,8 @@ def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list:
     """Rows (text, lang): SAMPLE_CHARS characters at a place set by the id's hash, about as many for each language.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1. Each row's key is uniform times its language's count, so
-    the smallest keys hold the languages evenly; the LANGUAGES most frequent are learned.
+    the smallest keys hold the languages evenly; the LANGUAGES most frequent are learned. A language with few rows gives
+    all of them, and the others don't fill its share.
     """
     rows = docs.filter((crc_remainder_column("doc_id") != 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -205,7 +206,9 @@ def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list:
     count = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) + 1) / 1_000_004
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    picked = rows.filter(F.col("lang").isin(list(counts))).select((uniform * count).alias("key"), "doc_id", "lang", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    # keys lie evenly at one a unit in every language, so twice the wanted rows, and no more, pass this
+    near = rows.filter(F.col("lang").isin(list(counts))).withColumn("key", uniform * count).filter(F.col("key") <= 2 * most / len(counts))
+    picked = near.select("key", "doc_id", "lang", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     return picked.orderBy("key", "doc_id", "lang", "text").limit(most).collect()
 
 
