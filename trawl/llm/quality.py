@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import byte_view, crc_remainder, crc_remainder_column
+from trawl.llm.common import byte_view, crc_remainder, crc_remainder_column, hash_sample
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 20_000
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Boosted | N
     """
     ids = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder_column("doc_id") != 1))
     ids = ids.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    picked = ids.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
+    picked = hash_sample(ids, "doc_id", most, ids.count(), 5)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
     # repeats of an id could pass the bound again
     found = rows.mapInArrow(_statistics, "doc_id bigint, quality int, x array<double>").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "x").limit(most).collect()
