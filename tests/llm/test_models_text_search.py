@@ -304,3 +304,26 @@ def test_recall_on_the_given_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
     assert recall(registry.op3_nearest(spark, sf_dir).collect(), brute_nearest(ids, x)) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["norms", "clusters"])
+def test_recall_on_uneven_vectors(spark, kind):
+    """The production ratio on vectors of unequal norm and on clustered ones."""
+    rng = np.random.default_rng(7)
+    if kind == "norms":
+        x = rng.normal(size=(3000, 32))
+        x *= (rng.uniform(0.5, 1.5, len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    else:
+        x = rng.normal(size=(400, 32))[rng.integers(0, 400, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(float)
+    got = nearest.nearest_neighbours(vectors(spark, list(enumerate(x)))).collect()
+    assert recall(got, brute_nearest(list(range(len(x))), x)) >= 0.92
+
+
+def test_wide_beams_leave_no_list_out():
+    """All lists are within a wide ratio, more than a beam holds at first."""
+    rng = np.random.default_rng(8)
+    graph = nearest.CentroidGraph(rng.normal(size=(3 * nearest.BEAM, 8)))
+    rows, lists = nearest.lists_of(graph, rng.normal(size=(5, 8)), 99.0, 3 * nearest.BEAM)
+    assert sorted(zip(rows, lists)) == [(q, c) for q in range(5) for c in range(3 * nearest.BEAM)]

@@ -3,8 +3,9 @@
 Inner-product search becomes Euclidean search by one more dimension: a vector v of norm at most M gets
 sqrt(M^2 - |v|^2), a query 0. Centroids are the leaves of a balanced bisection of a bounded sample. A vector is kept
 in the list of its nearest centroid and in those of others nearly as near (boundary vectors stand in several lists).
-A query finds its nearest centroids by a best-first walk in a neighbour graph over the centroids, and reads those
-lists whose distance is within a ratio of the nearest one's.
+A query, scaled to norm M, finds its nearest centroids by a best-first walk in a neighbour graph over the centroids,
+and reads those lists whose distance is within a ratio of the nearest one's. The ratio is the table's own: the least
+that finds RECALL of the exact neighbours of a bounded sample of queries.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ K = 20
 SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 48, 1024
 #: A boundary vector: centroids within (1 + REPLICA) times the nearest distance, REPLICAS lists at most.
 REPLICA, REPLICAS = 0.12, 4
-#: A query reads lists within (1 + PRUNE) times the nearest distance.
-PRUNE = 0.12
+#: A query reads lists within (1 + ratio) times the nearest distance: a ratio of PRUNE, or more where the exact
+#: neighbours of PROBES queries at most show that it takes more to find RECALL of them.
+PRUNE, RECALL, PROBES = 0.12, 0.95, 256
 DEGREE, BEAM, EXPAND = 24, 256, 8
 #: Vectors that a task scores at a time: short lists share a cell of about so many, long ones fill several.
 CELL = 10_000
@@ -101,17 +103,28 @@ class CentroidGraph:
         return order, np.take_along_axis(far, order, 1)
 
 
+def ratios(points: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Distances over the nearest one (first in its row; at least a thousandth of the point's norm), less 1."""
+    nearest = np.maximum(np.sqrt(squares[:, :1]), 1e-3 * np.sqrt((points**2).sum(1))[:, None])
+    return np.sqrt(squares) / np.maximum(nearest, 1e-300) - 1
+
+
 def lists_of(graph: CentroidGraph, points: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: the lists within (1 + ratio) times the nearest distance, at most ``most`` for each point."""
     rows, found = [], []
     for k in range(0, len(points), 256):
-        ids, d = graph.search(points[k : k + 256], BEAM if most > 8 else 32)
-        keep = np.sqrt(d) <= (1 + ratio) * np.sqrt(d[:, :1])
-        keep[:, most:] = False
-        keep[:, 0] = True
-        q, at = np.nonzero(keep)
-        rows.append(q + k)
-        found.append(ids[q, at])
+        left, beam = np.arange(k, min(k + 256, len(points))), BEAM if most > 8 else 32
+        while len(left):
+            ids, d = graph.search(points[left], beam)
+            keep = ratios(points[left], d) <= ratio
+            # a beam that ends within the ratio may have left out lists: those points walk again with a wider one
+            again = keep[:, -1] & (beam < min(most, len(graph.centroids)))
+            keep[:, most:] = False
+            keep[:, 0] = True
+            q, at = np.nonzero(keep & ~again[:, None])
+            rows.append(left[q])
+            found.append(ids[q, at])
+            left, beam = left[again], 2 * beam
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -140,7 +153,65 @@ def _post(graph: CentroidGraph, radius: float):
     return run
 
 
-def _ask(graph: CentroidGraph, ratio: float, cells: dict[int, tuple[int, int]]):
+def as_queries(x: np.ndarray, radius: float) -> np.ndarray:
+    """Vectors as queries: of norm ``radius``, which leaves each one's neighbours as they are, and 0 beside it."""
+    norms = np.sqrt((x**2).sum(1))
+    return np.concatenate([x * (radius / np.where(norms > 0, norms, radius))[:, None], np.zeros((len(x), 1))], 1)
+
+
+def _exact(probes: np.ndarray, ids: np.ndarray, most: int):
+    """The ``most`` best entries of all lists that a task reads, for each probe: probe, vec_id, list, score."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"probe": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "list": np.zeros(0, np.int64), "score": np.zeros(0)})
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own, names = np.stack(pdf["embedding"].to_numpy()), pdf["vec_id"].to_numpy(np.int64)
+            score = np.where(ids[:, None] != names, probes @ own.T, -np.inf)
+            if score.shape[1] > most:
+                row, col = np.nonzero((score >= np.partition(score, -most, axis=1)[:, -most][:, None]) & np.isfinite(score))
+            else:
+                row, col = np.nonzero(np.isfinite(score))
+            found = pd.DataFrame({"probe": row, "vec_id": names[col], "list": pdf["list"].to_numpy(np.int64)[col], "score": (probes[row] * own[col]).sum(1)})
+            best = pd.concat([best, found]).sort_values(["probe", "score", "vec_id", "list"], ascending=[True, False, True, True])
+            best = best.groupby("probe", sort=False).head(most)
+        yield best
+
+    return run
+
+
+def measured_ratio(graph: CentroidGraph, queries: DataFrame, posted: DataFrame, radius: float, k: int) -> float:
+    """The least ratio, PRUNE at least, at which a sample of the queries finds RECALL of its k exact neighbours.
+
+    The sample is scored against every entry of every list; PROBES * k * REPLICAS entries at most reach the driver.
+    """
+    sample = hash_sample(queries, "vec_id", PROBES, queries.count(), 5).collect()
+    if not sample:
+        return PRUNE
+    probes, ids = np.array([r["embedding"] for r in sample]), np.array([r["vec_id"] for r in sample])
+    scored = posted.mapInPandas(_exact(probes, ids, k * REPLICAS), "probe bigint, vec_id bigint, list bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id", "list"))
+    entries = scored.withColumn("rank", rank).filter(F.col("rank") <= k * REPLICAS).orderBy("probe", "rank").collect()
+    points = as_queries(probes, radius)
+    near, far = graph.search(points, len(graph.centroids))
+    apart = np.empty((len(probes), len(graph.centroids)))  # ratio at which the probe reads the list
+    np.put_along_axis(apart, near, ratios(points, far), 1)
+    apart[np.arange(len(probes)), near[:, 0]] = 0
+    needed: list[dict] = [{} for _ in probes]
+    for e in entries:
+        mine = needed[e["probe"]]
+        if e["vec_id"] in mine or len(mine) < k:
+            mine[e["vec_id"]] = min(mine.get(e["vec_id"], np.inf), apart[e["probe"], e["list"]])
+    least = np.array([r for mine in needed for r in mine.values()])
+    if not len(least):
+        return PRUNE
+    # a hair above the entry that must be read, so that rounding leaves it in
+    found = float(np.quantile(least, RECALL, method="higher"))
+    return max(PRUNE, found * (1 + 1e-9))
+
+
+def _ask(graph: CentroidGraph, ratio: float, radius: float, cells: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, count = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
         for name, (a, n) in cells.items():  # a list without vectors has no cell
@@ -149,7 +220,7 @@ def _ask(graph: CentroidGraph, ratio: float, cells: dict[int, tuple[int, int]]):
             if not len(pdf):
                 continue
             x = np.stack(pdf["embedding"].to_numpy())
-            rows, lists = lists_of(graph, np.concatenate([x, np.zeros((len(x), 1))], 1), ratio, len(graph.centroids))
+            rows, lists = lists_of(graph, as_queries(x, radius), ratio, len(graph.centroids))
             times = count[lists]
             rows, names = np.repeat(rows, times), np.repeat(lists, times)
             cell = first[names] + np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
@@ -189,13 +260,13 @@ def _score(k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: float = PRUNE) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: float | None = None) -> DataFrame:
     """The k nearest found of each query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of another vec_id. Vectors that
     are null, zero or hold null or non-finite components take no part, nor do those of another length than most
     vectors. Of equal vectors, only the k + 1 smallest ids enter the lists: no others can be among the k nearest, so
-    copies of one vector can't fill a list. Lists are dealt to tasks in cells of about CELL vectors. An empty table
+    copies of one vector can't fill a list. Without ``prune`` the table's own ratio is measured. Lists are dealt to tasks in cells of about CELL vectors. An empty table
     gives an empty result; repeated query rows are one query; other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -218,7 +289,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: f
     mine = F.element_at(table, F.col("list"))
     posted = posted.withColumn("cell", (mine["first"] + F.pmod(F.xxhash64("vec_id"), mine["count"])).cast("int"))
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = queries.mapInPandas(_ask(graph, prune, cells), "vec_id bigint, embedding array<double>, cell int, lists array<bigint>")
+    ratio = measured_ratio(graph, queries, posted, radius, k) if prune is None else prune
+    asked = queries.mapInPandas(_ask(graph, ratio, radius, cells), "vec_id bigint, embedding array<double>, cell int, lists array<bigint>")
     scored = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInPandas(_score(k), "query_id bigint, vec_id bigint, score double")
     best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
