@@ -161,6 +161,20 @@ def test_blocks():
     assert stack == ["div", "div"]
 
 
+def test_blocks_after_hidden_elements_without_an_end():
+    texts = lambda h: [b[0] for b in html_text.blocks(h)]
+    assert texts("<datalist><option value=a>A<option value=b>B</datalist><article><p>Text.</p></article>") == ["Text."]
+    assert texts("<select><option>a<option>b</select>x<form><select><option>c</form><p>y") == ["x", "y"]
+    for name in ("button", "canvas", "audio", "video", "template", "svg"):
+        assert texts(f"<article><{name}>no<p>First.</p><p>Second.</p></article><p>Third.") == ["First.", "Second.", "Third."]
+        assert texts(f"<div><{name}>no</div><p>After.</p>") == ["After."] and texts(f"<p>a<span><{name}>no</span>b") == ["ab"]
+        assert texts(f"<p>a<{name}>no<b>no</b></{name}>b") == ["ab"]
+    assert texts("<button><p>no</p></button>a<video><p>no</p></video>b<template><p>no</p><template>no</template>no</template>c") == ["abc"]
+    assert texts("<button>no<button>no</button>a") == ["a"] and texts("<script>no<p>no") == []
+    assert texts("<p>a<object>b</object><math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><noscript>c</noscript>") == ["abx=1", "c"]
+    assert len(texts("<div>" + "<template><p>a" * 20_000)) == 20_000
+
+
 def test_extraction_of_unseen_layouts():
     field = html_text.default_field()
     held, right, total = html_text.training_pages(150, seed=99), 0, 0

@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of the page.
-HIDDEN = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "option", "button", "canvas", "audio", "video", "noframes", "noembed", "xmp"}
+#: Elements whose content is raw text and no text of the page: without an end tag they go to the end of the page.
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
+#: Elements whose content is no text of the page; NESTING: those that may stand in themselves.
+HIDDEN = RAW | {"template", "svg", "select", "option", "button", "canvas", "audio", "video", "annotation", "annotation-xml"}
+NESTING = {"template", "svg"}
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements inside a line of text; all others start and end blocks.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "object", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "semantics"}
 #: What an opening tag closes, up to the nearest container.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "header", "footer", "form", "blockquote", "figure", "fieldset"}
@@ -38,11 +41,57 @@ WORD = re.compile(r"[a-z]+")
 Block = tuple[str, tuple, float]  # text, ancestors as (tag, class words), share of the text that lies in links
 
 
+def _raw_end(page: str, at: int, name: str) -> int:
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _hidden_end(page: str, at: int, name: str, around: set[str], loose: set[str]) -> int:
+    """Where the content of a hidden element ends that was opened before ``at``; around: the block tags then open.
+
+    That is its end tag. Where that is missing, it is the first block-level tag within, or the next element of its
+    name, or the end tag of an element around it. An option ends at the first of all these. Nesting names that missed
+    their end tag once are ``loose``: further ones end at the first block-level tag, so a page is not read over and over.
+    """
+    if name in RAW:
+        return _raw_end(page, at, name)
+    inner: list[str] = []
+    block = None
+    while found := TOKEN.search(page, at):
+        at, tag = found.end(), (found[2] or "").lower()
+        if not tag:
+            continue
+        if found[1]:
+            if tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            elif tag == name:
+                return at
+            elif tag in around or tag in INLINE:
+                block = found.start() if block is None else block
+                break
+        elif tag == name and name not in NESTING:
+            block = found.start() if block is None else block
+            break
+        elif tag in RAW:
+            at = at if found[0].endswith("/>") else _raw_end(page, at, tag)
+        elif tag not in VOID:
+            if tag not in INLINE and tag not in HIDDEN and "-" not in tag and block is None and (name != "svg" or tag in SCOPE or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre")) and tag not in ("optgroup", "foreignobject"):
+                block = found.start()
+                if name == "option" or name in loose:
+                    break
+            if not found[0].endswith("/>"):
+                inner.append(tag)
+    if name in NESTING:
+        loose.add(name)
+    return len(page) if block is None else block
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     pieces: list[str] = []
+    loose: set[str] = set()
     linked, in_link, at, size = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -70,8 +119,7 @@ def blocks(page: str) -> list[Block]:
         name, closing = name.lower(), bool(found[1])
         if name in HIDDEN:
             if not closing and not found[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size
+                at = _hidden_end(page, at, name, {t for t, _ in stack}, loose)
             continue
         if name in BREAKS:
             pieces.append(" ")
