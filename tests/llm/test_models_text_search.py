@@ -175,6 +175,13 @@ def test_blocks_after_hidden_elements_without_an_end():
     assert len(texts("<div>" + "<template><p>a" * 20_000)) == 20_000
 
 
+def test_stray_quotes_in_tags():
+    texts = lambda h: [b[0] for b in html_text.blocks(h)]
+    assert texts("<article><p title=it's>First text.</p><p>It isn't lost</p></article>") == ["First text.", "It isn't lost"]
+    assert texts("<p title=\"5\" tall\">a</p><p>\"b\"</p>") == ["a", '"b"'] and texts("<p title=\"x>a</p><p>b") == ["a", "b"]
+    assert texts("<p title = 'a > b' id=\">\">c<a href=/?q=\"d>e</a>") == ["ce"] and texts("<p ' \">a 'b\"") == ["a 'b\""]
+
+
 def test_extraction_of_unseen_layouts():
     field = html_text.default_field()
     held, right, total = html_text.training_pages(150, seed=99), 0, 0
