@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import exact_dedup, language_id, mixing, packing, simhash
-from trawl.llm.common import materialise, table
+from trawl.llm.common import LOWER, UPPER, materialise, row_key, table
 
 #: A document whose likeliest language has a lower pooled probability is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -22,14 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id; rows without a doc_id go, rows that repeat it stay as one."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row for each distinct text: one with the largest doc_id, or one without where no equal text has any."""
+    verdict = exact_dedup.exact_dedup(docs).filter("kept OR keep_id IS NULL")
+    kept = verdict.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key")).distinct()
+    folded = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)  # A-Z alone, as in exact_dedup
+    marked = docs.withColumn("_key", row_key(F.col("doc_id"), F.sha2(folded.cast("binary"), 256)))
+    return marked.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
+    """One document of each group of linked fingerprints: the one with the smallest doc_id, any where none has one."""
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,14 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    alone = [" ".join(f"{w}{k}" for w in ("stone", "river", "cloud", "field", "tower", "lamp")) for k in range(8)]
+    rows = [(None, alone[0]), (None, alone[1]), (None, alone[1].upper()), (5, alone[2]), (5, alone[3]), (5, alone[3]), (6, alone[4]), (None, alone[4]), (7, alone[4]), (None, None), (7, alone[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = sorted([(None, lower(alone[0])), (None, lower(alone[1])), (5, alone[2]), (5, alone[3]), (7, alone[4]), (None, ""), (7, alone[5])], key=str)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns and sorted([(r["doc_id"], lower(r["text"])) for r in exact.collect()], key=str) == want
+    near = corpus_pipeline.drop_near_copies(spark, exact, "")
+    assert near.columns == docs.columns and sorted([(r["doc_id"], lower(r["text"])) for r in near.collect()], key=str) == want

@@ -55,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(doc_id: Column, sha: Column) -> Column:
+    """One key of a row's id, which may be null or repeated, and its text's digest."""
+    return F.concat_ws("/", sha, F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
 def byte_view(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """(all bytes, n + 1 offsets into them) of a string column; null counts as empty."""
     column = column.cast(pa.large_binary())

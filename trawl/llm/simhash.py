@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import byte_view, materialise
+from trawl.llm.common import byte_view, materialise, row_key
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -61,7 +61,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, at = byte_view(batch.column(1))
         ends = at.tolist()
         prints = np.fromiter((fingerprint(data[i:j]) for i, j in zip(ends, ends[1:])), np.uint64, len(ends) - 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "fp"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64), pa.int64()), *map(batch.column, more)], ["doc_id", "fp", *more])
 
 
 # -- the trie join
@@ -227,17 +228,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component. An empty table gives an empty result; other columns of docs are not looked at.
     """
     pair = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(pair.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "near-prints")
+    rows, classes = _classes(pair.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"))
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp) as written to the shared folder, and (fp, root, component_id) of each fingerprint."""
+    rows = materialise(rows, "near-prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-distinct")
     links = materialise(linked_fingerprints(prints.select("fp")), "near-links")
     roots = components(links).withColumnRenamed("node", "fp")
     classes = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, classes.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns of docs: one with the smallest doc_id, nulls last.
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's id, once each, with the columns of docs."""
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs.doc_id == F.col("_keep"), "left_semi").select(*docs.columns)
+    Rows are told apart by id and text, so components without ids and rows that repeat an id keep one of their own;
+    rows equal in both stay together.
+    """
+    key = row_key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    rows, classes = _classes(given.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, key string"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    keep = rows.join(classes, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").select(*docs.columns)
