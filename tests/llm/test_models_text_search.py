@@ -77,6 +77,12 @@ def test_languages(spark, monkeypatch):
     assert unknown[0]["lang_pred"] == "und" and language_id.identify_languages(docs(spark, [])).count() == 0
 
 
+def test_every_language_is_sampled(spark):
+    rows = [(k, f"text {k}", f"l{k % 150}" if k < 1500 else "l0") for k in range(8000)]
+    sample = language_id.training_sample(docs(spark, rows))
+    assert {r["lang"] for r in sample} == {f"l{k}" for k in range(150)} and len(sample) <= 150 * language_id.LEAST_DOCS
+
+
 def test_languages_of_the_given_table(spark, sf_dir):
     got = registry.op8_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
     share = got.filter("held_out AND n_chars > 100").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a")).first()["a"]

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from trawl.llm.common import byte_view, crc_remainder, crc_remainder_column
 
 WINDOW, HIDDEN = 96, 16
-#: Training: documents sampled at most, characters taken at one place of each, languages learned at most.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 4000, 400, 64
+#: Training: documents sampled at most, unless that is fewer than LEAST_DOCS for each language; characters taken at one
+#: place of each.
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_CHARS = 4000, 40, 400
 STEPS, BATCH, RATE = 200, 160, 0.012
 #: Windows that a task reads at a time.
 LANES = 2048
@@ -196,13 +197,14 @@ def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list:
     """Rows (text, lang): SAMPLE_CHARS characters at a place set by the id's hash, about as many for each language.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1. Each row's key is uniform times its language's count, so
-    the smallest keys hold the languages evenly; the LANGUAGES most frequent are learned. A language with few rows gives
+    the smallest keys hold the languages evenly; every language is learned. A language with few rows gives
     all of them, and the others don't fill its share.
     """
     rows = docs.filter((crc_remainder_column("doc_id") != 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row per language
     if not counts:
         return []
+    most = max(most, LEAST_DOCS * len(counts))
     count = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) + 1) / 1_000_004
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
