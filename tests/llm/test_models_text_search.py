@@ -354,3 +354,61 @@ def test_wide_beams_leave_no_list_out():
     graph = nearest.CentroidGraph(rng.normal(size=(3 * nearest.BEAM, 8)))
     rows, lists = nearest.lists_of(graph, rng.normal(size=(5, 8)), 99.0, 3 * nearest.BEAM)
     assert sorted(zip(rows, lists)) == [(q, c) for q in range(5) for c in range(3 * nearest.BEAM)]
+
+
+def test_every_query_gets_k_rows(spark):
+    """A small far-off cluster, whose lists alone hold fewer than k candidates."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 16)) * 0.05
+    x[:, 0] += 1
+    far = np.arange(0, 2000, 140)
+    x[far, 0] -= 2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = nearest.nearest_neighbours(vectors(spark, list(enumerate(x))), prune=0.0).collect()
+    count = {}
+    for r in got:
+        count[r["query_id"]] = count.get(r["query_id"], 0) + 1
+    assert count == {q: 20 for q in range(0, 2000, 20)}
+
+
+def test_neighbours_of_repeated_ids_and_huge_values(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 4))
+    rows = [(k // 4, v) for k, v in enumerate(x)] + [(60 + k, x[0]) for k in range(40)] + [(7, x[3])] * 30
+    doubles = "vec_id bigint, embedding array<double>"
+    got = nearest.nearest_neighbours(spark.createDataFrame([(i, [float(c) * 1e150 for c in v]) for i, v in rows], doubles), prune=9.0).collect()
+    table = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        table.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(table) == {0, 20, 40, 60, 80}
+    for q, found in table.items():
+        best = []
+        for own in (v for i, v in rows if i == q):  # the query is one of the id's vectors
+            scores = {}
+            for i, v in rows:
+                if i != q:
+                    s = float(((own * 1e150) * (v * 1e150)).sum())
+                    scores[i] = max(s, scores.get(i, -np.inf))
+            best.append(sorted(scores.items(), key=lambda t: (-t[1], t[0]))[:20])
+        assert [i for i, _ in found] in [[i for i, _ in b] for b in best]
+
+
+def test_short_cells_and_blocks_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1500, 8))
+    whole = nearest.nearest_neighbours(vectors(spark, list(enumerate(x))), prune=9.0).collect()
+    monkeypatch.setattr(nearest, "CELL", (40, 40))
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "HELD", 50)
+    split = nearest.nearest_neighbours(vectors(spark, list(enumerate(x))), prune=9.0).collect()
+    assert sorted(split) == sorted(whole) and len(whole) == 75 * 20
+    want = brute_nearest(list(range(len(x))), np.asarray(x, np.float32).astype(float))
+    assert recall(whole, want) == 1.0
+
+
+def test_lists_are_balanced():
+    rng = np.random.default_rng(14)
+    points = np.concatenate([rng.normal(size=(3000, 12)), 5 + 0.3 * rng.normal(size=(1000, 12))])
+    centroids, weights = nearest.balanced_centroids(points, 100)
+    sizes = np.bincount(nearest._nearest(points, centroids, weights, 1)[0][:, 0], minlength=100)
+    assert sizes.max() <= 2.5 * sizes.mean()

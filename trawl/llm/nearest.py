@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by inner product: balanced posting lists behind an in-memory centroid graph.
 
 Inner-product search becomes Euclidean search by one more dimension: a vector v of norm at most M gets
-sqrt(M^2 - |v|^2), a query 0. Centroids are the leaves of a balanced bisection of a bounded sample. A vector is kept
-in the list of its nearest centroid and in those of others nearly as near (boundary vectors stand in several lists).
-A query, scaled to norm M, finds its nearest centroids by a best-first walk in a neighbour graph over the centroids,
-and reads those lists whose distance is within a ratio of the nearest one's. The ratio is the table's own: the least
-that finds RECALL of the exact neighbours of a bounded sample of queries.
+sqrt(M^2 - |v|^2), a query 0. Centroids start as the leaves of a balanced bisection of a bounded sample and are then
+moved and weighted until their lists are about equally long: a vector belongs to the list with the least weighted
+distance. A boundary vector stands in other lists nearly as near as well. A query, scaled to norm M, finds its nearest
+centroids by a best-first walk in a neighbour graph over the centroids, and reads those lists whose distance is within
+a ratio of the nearest one's, and as many more as hold enough candidates. The ratio is the table's own: the least that
+finds RECALL of the exact neighbours of a bounded sample of queries.
+
+Lists are dealt to cells and the queries of a cell to blocks, so a task scores a bounded number of queries against a
+bounded number of vectors.
 """
 
 from __future__ import annotations
@@ -13,57 +17,144 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.llm.common import hash_sample, materialise
 
 K = 20
-#: Vectors sampled for the centroids at most; vectors of the sample for a centroid; centroids at most.
-SAMPLE, PER_CENTROID, CENTROIDS = 20_000, 48, 1024
+#: Vectors sampled for the centroids at most; vectors of the sample for a centroid.
+SAMPLE, PER_CENTROID = 32_768, 32
+#: Rounds that even out the lists, and the most weight of a list, as a share of the usual squared distance.
+ROUNDS, HANDICAP = 9, 0.15
 #: A boundary vector: centroids within (1 + REPLICA) times the nearest distance, REPLICAS lists at most.
-REPLICA, REPLICAS = 0.12, 4
+REPLICA, REPLICAS = 0.01, 3
 #: A query reads lists within (1 + ratio) times the nearest distance: a ratio of PRUNE, or more where the exact
 #: neighbours of PROBES queries at most show that it takes more to find RECALL of them.
-PRUNE, RECALL, PROBES = 0.12, 0.95, 256
-DEGREE, BEAM, EXPAND = 24, 256, 8
-#: Vectors that a task scores at a time: short lists share a cell of about so many, long ones fill several.
-CELL = 10_000
+PRUNE, RECALL, PROBES = 0.05, 0.95, 256
+DEGREE, BEAM = 24, 64
+#: Vectors of a cell at least and at most, and queries of a block at most.
+CELL, BLOCK = (2_048, 32_768), 16_384
+#: Tasks of the search at most, and scored pairs that a task holds before it folds them.
+TASKS, HELD = 10_000, 1_000_000
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists without nulls as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1)
+
+
+def lists_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Consecutive runs of values, counts[i] long each, as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that take part, with their length, largest component and a hash of their components."""
+    names = ["vec_id", "embedding", "width", "top", "key"]
+    for batch in batches:
+        ids, vectors = batch.column(0), batch.column(1)
+        # a null list may hide values, and flatten() leaves them out: lengths of null lists count as 0
+        sizes = np.where(vectors.is_null().to_numpy(zero_copy_only=False), 0, vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = vectors.flatten()
+        values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) + 0.0  # nulls as NaN, -0 as 0
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        good, top = np.isfinite(values), np.where(np.isfinite(values), np.abs(values), 0)
+        bad = np.concatenate([[0], np.cumsum(~good)])
+        full = sizes > 0
+        tops = np.zeros(len(sizes))
+        tops[full] = np.maximum.reduceat(top, at[:-1][full]) if full.any() else 0
+        keep = full & (bad[at[1:]] == bad[at[:-1]]) & (tops > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.nonzero(keep)[0]
+        own = [values[at[i] : at[i + 1]] for i in rows]
+        data = np.concatenate(own) if own else np.zeros(0)
+        out = [ids.take(pa.array(rows)), lists_column(data, sizes[rows], vectors.type.value_type), pa.array(sizes[rows], pa.int32()), pa.array(tops[rows]), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, names)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the rows that take part: no null, NaN or infinite component, not zero."""
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    """vec_id, embedding, width, top and key of the rows that take part: no null, NaN or infinite component, not zero."""
+    kind = vectors.schema["embedding"].dataType
+    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+    given = F.col("embedding") if plain else F.col("embedding").cast("array<double>")
+    element = kind.elementType.simpleString() if plain else "double"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), given.alias("embedding"))
+    return rows.mapInArrow(_clean, f"vec_id bigint, embedding array<{element}>, width int, top double, key binary")
+
+
+# -- centroids
 
 
 def _leaves(points: np.ndarray, count: int) -> np.ndarray:
-    """Means of the leaves of a balanced bisection: each node is halved along the line between two far points."""
-    groups = [np.arange(len(points))]
-    while len(groups) < count:
-        groups.sort(key=len)
-        group = groups.pop()
-        if len(group) < 2:
-            groups.append(group)
-            break
+    """Means of the leaves of a balanced bisection, neighbours side by side: a node is cut along the line between two far points."""
+
+    def cut(group: np.ndarray, n: int) -> list[np.ndarray]:
+        if n < 2 or len(group) < 2:
+            return [group]
         own = points[group]
         a = own[((own - own.mean(0)) ** 2).sum(1).argmax()]
         b = own[((own - a) ** 2).sum(1).argmax()]
+        middle = len(group) * (n // 2) // n
         for _ in range(4):
-            side = own @ (b - a)
-            order = np.argsort(side, kind="stable")
-            a, b = own[order[: len(order) // 2]].mean(0), own[order[len(order) // 2 :]].mean(0)
-        groups += [group[order[: len(order) // 2]], group[order[len(order) // 2 :]]]
-    return np.stack([points[g].mean(0) for g in groups])
+            order = np.argsort(own @ (b - a), kind="stable")
+            a, b = own[order[:middle]].mean(0), own[order[middle:]].mean(0)
+        return cut(group[order[:middle]], n // 2) + cut(group[order[middle:]], n - n // 2)
+
+    return np.stack([points[g].mean(0) for g in cut(np.arange(len(points)), max(1, min(count, len(points))))])
+
+
+def balanced_centroids(points: np.ndarray, count: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, weights): with the weights added to squared distances, lists of the points are about equally long.
+
+    A third of the rounds moves centroids to the means of their lists. In the others a list that is too long gets as
+    much more weight as makes it give up half its excess, HANDICAP of the usual squared distance in all at most.
+    """
+    centroids = _leaves(points, count)
+    n = len(centroids)
+    weights, goal = np.zeros(n), len(points) / n
+    for step in range(rounds):
+        ids, far = _nearest(points, centroids, weights, 2)
+        mine = ids[:, 0]
+        sizes = np.bincount(mine, minlength=n)
+        if step < rounds // 3:
+            sums = np.stack([np.bincount(mine, points[:, d], n) for d in range(points.shape[1])], 1)
+            centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
+        elif n > 1:
+            gap = far[:, 1] + weights[ids[:, 1]] - far[:, 0] - weights[mine]
+            order = np.lexsort((gap, mine))
+            excess = np.maximum(sizes - goal, 0) / 2
+            at = np.cumsum(sizes) - sizes + excess.astype(np.int64)
+            more = np.where(excess >= 1, gap[order[np.minimum(at, len(points) - 1)]], 0)
+            weights = np.minimum(weights + more, HANDICAP * float(np.median(far[:, 0])))
+    return centroids, weights
+
+
+def _nearest(points: np.ndarray, centroids: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, squared distances without weights) of the ``most`` lists of least weighted distance, least first."""
+    most = min(most, len(centroids))
+    found, far = np.empty((len(points), most), np.int64), np.empty((len(points), most))
+    squares = (centroids**2).sum(1)
+    for k in range(0, len(points), 2048):
+        some = points[k : k + 2048]
+        apart = squares - 2 * some @ centroids.T
+        near = apart + weights
+        ids = near.argmin(1)[:, None] if most == 1 else np.argpartition(near, most - 1, axis=1)[:, :most]
+        ids = np.take_along_axis(ids, np.argsort(np.take_along_axis(near, ids, 1), axis=1, kind="stable"), 1)
+        found[k : k + 2048] = ids
+        far[k : k + 2048] = np.maximum(np.take_along_axis(apart, ids, 1) + (some**2).sum(1)[:, None], 0)
+    return found, far
 
 
 class CentroidGraph:
     """Centroids with links to their DEGREE nearest and a ring over all, so that every centroid can be reached."""
 
-    def __init__(self, centroids: np.ndarray):
+    def __init__(self, centroids: np.ndarray, weights: np.ndarray | None = None):
         self.centroids, n = centroids.astype(np.float64), len(centroids)
+        self.weights = np.zeros(n) if weights is None else weights
         self.squares = (self.centroids**2).sum(1)
         apart = self.squares[:, None] - 2 * self.centroids @ self.centroids.T + self.squares
         np.fill_diagonal(apart, np.inf)
@@ -74,6 +165,7 @@ class CentroidGraph:
         """(ids, squared distances) of the nearest centroids found, nearest first; all points walk at once."""
         n, count = len(self.centroids), len(points)
         beam = min(beam, n)
+        expand = min(n, max(8, beam // 8))
         rows, norms = np.arange(count)[:, None], (points**2).sum(1)[:, None]
 
         def distance(ids: np.ndarray) -> np.ndarray:
@@ -86,7 +178,7 @@ class CentroidGraph:
         far[rows, first] = open_[rows, first] = distance(first)
         seen[rows, first] = True
         for _ in range(n):
-            take = np.argpartition(open_, min(EXPAND, n) - 1, axis=1)[:, :EXPAND]
+            take = np.argpartition(open_, expand - 1, axis=1)[:, :expand]
             worst = np.partition(far, beam - 1, axis=1)[:, beam - 1][:, None]
             live = np.isfinite(open_[rows, take]) & (open_[rows, take] <= worst)
             if not live.any():
@@ -95,8 +187,9 @@ class CentroidGraph:
             ahead = self.links[take].reshape(count, -1)
             fresh = np.repeat(live, self.links.shape[1], axis=1) & ~seen[rows, ahead]
             q, at = np.nonzero(fresh)
-            ids = ahead[q, at]
-            d = np.maximum(norms[q, 0] + self.squares[ids] - 2 * (points[q] * self.centroids[ids]).sum(1), 0)
+            key = np.unique(q * n + ahead[q, at])
+            q, ids = key // n, key % n
+            d = np.maximum(norms[q, 0] + self.squares[ids] - 2 * np.einsum("ij,ij->i", points[q], self.centroids[ids]), 0)
             far[q, ids] = open_[q, ids] = d
             seen[q, ids] = True
         order = np.argsort(far, axis=1, kind="stable")[:, :beam]
@@ -109,91 +202,130 @@ def ratios(points: np.ndarray, squares: np.ndarray) -> np.ndarray:
     return np.sqrt(squares) / np.maximum(nearest, 1e-300) - 1
 
 
-def lists_of(graph: CentroidGraph, points: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the lists within (1 + ratio) times the nearest distance, at most ``most`` for each point."""
+def lists_of(graph: CentroidGraph, points: np.ndarray, ratio: float, most: int, held: np.ndarray | None = None, need: int = 0, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs, rows in order: the lists that a query reads.
+
+    They are those within (1 + ratio) times the nearest distance, and the nearest ones until they hold ``need`` vectors
+    together (held: vectors of each list, each counted once); ``most`` at most. A beam that may have left out some is
+    widened.
+    """
     rows, found = [], []
     for k in range(0, len(points), 256):
-        left, beam = np.arange(k, min(k + 256, len(points))), BEAM if most > 8 else 32
+        left, width = np.arange(k, min(k + 256, len(points))), beam
         while len(left):
-            ids, d = graph.search(points[left], beam)
+            ids, d = graph.search(points[left], width)
             keep = ratios(points[left], d) <= ratio
-            # a beam that ends within the ratio may have left out lists: those points walk again with a wider one
-            again = keep[:, -1] & (beam < min(most, len(graph.centroids)))
+            if held is not None:
+                mine = held[ids]
+                keep |= np.cumsum(mine, axis=1) - mine < need
+            again = keep[:, -1] & (width < min(most, len(graph.centroids)))
             keep[:, most:] = False
             keep[:, 0] = True
             q, at = np.nonzero(keep & ~again[:, None])
             rows.append(left[q])
             found.append(ids[q, at])
-            left, beam = left[again], 2 * beam
-    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            left, width = left[again], 2 * width
+    rows, found = (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.lexsort((found, rows))
+    return rows[order], found[order]
 
 
-def cells_of(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """list -> (first cell, number of cells)."""
-    out, cell, held = {}, 0, 0
-    for name in sorted(sizes):
-        n = sizes[name]
-        if held and held + n > CELL:
-            cell, held = cell + 1, 0
-        count = -(-n // CELL)
-        out[name] = (cell, count)
-        cell, held = (cell + count, 0) if n > CELL else (cell, held + n)
-    return out
+class Space:
+    """What turns vectors into points: a scale that keeps squares finite, and the radius of all vectors under it."""
+
+    def __init__(self, top: float):
+        self.scale, self.radius = 2.0 ** -np.ceil(np.log2(top)), 0.0
+
+    def vectors(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.scale
+        return np.concatenate([x, np.sqrt(np.maximum(self.radius**2 - (x**2).sum(1), 0))[:, None]], 1)
 
+    def queries(self, x: np.ndarray) -> np.ndarray:
+        """Queries are brought to norm ``radius``, which leaves each one's neighbours as they are."""
+        x = x * (1.0 / np.abs(x).max(1, keepdims=True))
+        return np.concatenate([x * (self.radius / np.sqrt((x**2).sum(1)))[:, None], np.zeros((len(x), 1))], 1)
 
-def _post(graph: CentroidGraph, radius: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["embedding"].to_numpy())
-                extra = np.sqrt(np.maximum(radius**2 - (x**2).sum(1), 0))
-                rows, lists = lists_of(graph, np.concatenate([x, extra[:, None]], 1), REPLICA, REPLICAS)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[rows], "embedding": pdf["embedding"].to_numpy()[rows], "list": lists})
+
+def _squares(scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0)) * scale
+                yield pa.RecordBatch.from_arrays([pa.array([float((x**2).sum(1).max())])], ["square"])
 
     return run
 
 
-def as_queries(x: np.ndarray, radius: float) -> np.ndarray:
-    """Vectors as queries: of norm ``radius``, which leaves each one's neighbours as they are, and 0 beside it."""
-    norms = np.sqrt((x**2).sum(1))
-    return np.concatenate([x * (radius / np.where(norms > 0, norms, radius))[:, None], np.zeros((len(x), 1))], 1)
+def _post(graph: CentroidGraph, space: Space):
+    """Every vector with the lists that it stands in, its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, squares = _nearest(space.vectors(matrix(batch.column(1))), graph.centroids, graph.weights, REPLICAS)
+            far = np.sqrt(squares)
+            keep = far <= far.min(1, keepdims=True) * (1 + REPLICA)
+            keep[:, 0] = True
+            lists = lists_column(ids[keep], keep.sum(1), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["vec_id", "embedding", "lists"])
 
+    return run
 
-def _exact(probes: np.ndarray, ids: np.ndarray, most: int):
-    """The ``most`` best entries of all lists that a task reads, for each probe: probe, vec_id, list, score."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"probe": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "list": np.zeros(0, np.int64), "score": np.zeros(0)})
-        for pdf in batches:
-            if not len(pdf):
+# -- the pruning ratio
+
+
+def _exact(probes: np.ndarray, ids: np.ndarray, most: int):
+    """The ``most`` best vectors of all that a task reads, for each probe: probe, vec_id, score, lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, names, scores, lists = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.list_(pa.int32()))
+        least = np.full(len(probes), -np.inf)
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(own):
                 continue
-            own, names = np.stack(pdf["embedding"].to_numpy()), pdf["vec_id"].to_numpy(np.int64)
-            score = np.where(ids[:, None] != names, probes @ own.T, -np.inf)
+            score = probes @ matrix(batch.column(1)).T
+            score[ids[:, None] == own] = -np.inf
             if score.shape[1] > most:
-                row, col = np.nonzero((score >= np.partition(score, -most, axis=1)[:, -most][:, None]) & np.isfinite(score))
-            else:
-                row, col = np.nonzero(np.isfinite(score))
-            found = pd.DataFrame({"probe": row, "vec_id": names[col], "list": pdf["list"].to_numpy(np.int64)[col], "score": (probes[row] * own[col]).sum(1)})
-            best = pd.concat([best, found]).sort_values(["probe", "score", "vec_id", "list"], ascending=[True, False, True, True])
-            best = best.groupby("probe", sort=False).head(most)
-        yield best
+                least = np.maximum(least, np.partition(score, -most, axis=1)[:, -most])
+            row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            lists = pa.concat_arrays([lists, batch.column(2).take(pa.array(col))])
+            rows, names, scores = np.concatenate([rows, row]), np.concatenate([names, own[col]]), np.concatenate([scores, score[row, col]])
+            order = np.lexsort((names, -scores, rows))
+            rank = _rank(rows[order])
+            order = order[rank < most]
+            rows, names, scores, lists = rows[order], names[order], scores[order], lists.take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(names), pa.array(scores), lists], ["probe", "vec_id", "score", "lists"])
 
     return run
 
 
-def measured_ratio(graph: CentroidGraph, queries: DataFrame, posted: DataFrame, radius: float, k: int) -> float:
-    """The least ratio, PRUNE at least, at which a sample of the queries finds RECALL of its k exact neighbours.
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """Place of each item in its run of equal groups."""
+    if not len(groups):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[True], groups[1:] != groups[:-1]])
+    at = np.arange(len(groups))
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
 
-    The sample is scored against every entry of every list; PROBES * k * REPLICAS entries at most reach the driver.
+
+def measured_ratio(graph: CentroidGraph, queries: DataFrame, posted: DataFrame, space: Space, k: int, repeats: int) -> tuple[float, int]:
+    """(ratio, beam): the least ratio, PRUNE at least, at which a sample of the queries finds RECALL of its k exact
+    neighbours, and how many lists most of them read then.
+
+    The sample is scored against every vector; PROBES * k entries (times ``repeats`` of an id) reach the driver at most.
     """
     sample = hash_sample(queries, "vec_id", PROBES, queries.count(), 5).collect()
     if not sample:
-        return PRUNE
-    probes, ids = np.array([r["embedding"] for r in sample]), np.array([r["vec_id"] for r in sample])
-    scored = posted.mapInPandas(_exact(probes, ids, k * REPLICAS), "probe bigint, vec_id bigint, list bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id", "list"))
-    entries = scored.withColumn("rank", rank).filter(F.col("rank") <= k * REPLICAS).orderBy("probe", "rank").collect()
-    points = as_queries(probes, radius)
+        return PRUNE, BEAM
+    probes, ids = np.array([r["embedding"] for r in sample], float), np.array([r["vec_id"] for r in sample])
+    most = k * repeats
+    scored = posted.mapInArrow(_exact(probes, ids, most), "probe bigint, vec_id bigint, score double, lists array<int>")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+    entries = scored.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("probe", "rank").collect()
+    points = space.queries(probes)
     near, far = graph.search(points, len(graph.centroids))
     apart = np.empty((len(probes), len(graph.centroids)))  # ratio at which the probe reads the list
     np.put_along_axis(apart, near, ratios(points, far), 1)
@@ -202,60 +334,160 @@ def measured_ratio(graph: CentroidGraph, queries: DataFrame, posted: DataFrame,
     for e in entries:
         mine = needed[e["probe"]]
         if e["vec_id"] in mine or len(mine) < k:
-            mine[e["vec_id"]] = min(mine.get(e["vec_id"], np.inf), apart[e["probe"], e["list"]])
+            mine[e["vec_id"]] = min(mine.get(e["vec_id"], np.inf), apart[e["probe"], e["lists"]].min())
     least = np.array([r for mine in needed for r in mine.values()])
     if not len(least):
-        return PRUNE
+        return PRUNE, BEAM
     # a hair above the entry that must be read, so that rounding leaves it in
-    found = float(np.quantile(least, RECALL, method="higher"))
-    return max(PRUNE, found * (1 + 1e-9))
+    ratio = max(PRUNE, float(np.quantile(least, RECALL, method="higher")) * (1 + 1e-9))
+    return ratio, int(np.quantile((apart <= ratio).sum(1), 0.9)) + 1
+
 
+# -- the search
 
-def _ask(graph: CentroidGraph, ratio: float, radius: float, cells: dict[int, tuple[int, int]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, count = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
-        for name, (a, n) in cells.items():  # a list without vectors has no cell
-            first[name], count[name] = a, n
-        for pdf in batches:
-            if not len(pdf):
+
+def cells_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of every list: short neighbouring lists share a cell, long ones fill several."""
+    first, count, cell, held = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0, 0
+    for name, n in enumerate(sizes.tolist()):
+        if not n:
+            continue
+        if held and held + n > most:
+            cell, held = cell + 1, 0
+        first[name], count[name] = cell, -(-n // most)
+        cell, held = (cell + count[name], 0) if n > most else (cell, held + n)
+    return first, count
+
+
+def _ask(graph: CentroidGraph, ratio: float, space: Space, cells: tuple[np.ndarray, np.ndarray], held: np.ndarray, need: int, beam: int):
+    """A row for every query and cell that it reads, with the lists it reads there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, count = cells
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["embedding"].to_numpy())
-            rows, lists = lists_of(graph, as_queries(x, radius), ratio, len(graph.centroids))
-            times = count[lists]
+            rows, lists = lists_of(graph, space.queries(matrix(batch.column(1))), ratio, len(graph.centroids), held, need, beam)
+            times = count[lists]  # a list without vectors has no cell
             rows, names = np.repeat(rows, times), np.repeat(lists, times)
             cell = first[names] + np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
-            asked = pd.DataFrame({"row": rows, "cell": cell, "list": names}).groupby(["row", "cell"])["list"].agg(list).reset_index()
-            at = asked["row"].to_numpy()
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "embedding": pdf["embedding"].to_numpy()[at], "cell": asked["cell"].to_numpy().astype(np.int32), "lists": asked["list"].to_numpy()})
+            yield _by_cell(batch, "query_id", rows, names, cell)
 
     return run
 
 
-def _score(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(left) or not len(right):
+def _by_cell(batch: pa.RecordBatch, name: str, rows: np.ndarray, lists: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """The batch's ids and vectors once for each of their cells, with their lists there."""
+    order = np.lexsort((lists, cell, rows))
+    rows, lists, cell = rows[order], lists[order], cell[order]
+    starts = np.nonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (cell[1:] != cell[:-1])]))[0] if len(rows) else np.zeros(0, np.int64)
+    at = pa.array(rows[starts])
+    folded = lists_column(lists, np.diff(np.append(starts, len(rows))), pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell[starts], pa.int32()), folded], [name, "embedding", "cell", "lists"])
+
+
+def _deal(cells: tuple[np.ndarray, np.ndarray]):
+    """A row for every vector and cell that it stands in; a list of several cells is dealt by the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, count = cells
+        for batch in batches:
+            rows, lists = _unfold(batch.column(2))
+            mixed = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            yield _by_cell(batch, "vec_id", rows, lists, first[lists] + (mixed[rows] % count[lists].astype(np.uint64)).astype(np.int64))
+
+    return run
+
+
+SCORED = "query_id bigint, vec_id bigint, score double"
+
+
+def _unfold(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every member of a list column."""
+    counts = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(counts)), counts), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+class _Best:
+    """The k best distinct ids of each query among the pairs added, and whatever lies within rounding of the last."""
+
+    def __init__(self, k: int, slack: np.ndarray, own: np.ndarray, ids: np.ndarray):
+        self.k, self.slack, self.own, self.ids = k, slack, own, ids
+        self.least = np.full(len(own), -np.inf)
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, q: np.ndarray, v: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((q, v, score))
+        self.size += len(q)
+        if self.size > HELD:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, v, score = (np.concatenate(x) for x in zip(*self.parts))
+        other = self.own[q] != self.ids[v]
+        q, v, score = q[other], v[other], score[other]
+        order = np.lexsort((-score, v, q))  # a vector that stands in several lists comes once
+        q, v, score = q[order], v[order], score[order]
+        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])]) if len(q) else np.zeros(0, bool)
+        q, v, score = q[fresh], v[fresh], score[fresh]
+        # the best row of every id; its k-th largest is the query's bound
+        order = np.lexsort((-score, self.ids[v], q))
+        one = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (self.ids[v[order]][1:] != self.ids[v[order]][:-1])])] if len(q) else order
+        one = one[np.lexsort((-score[one], q[one]))]
+        last = one[_rank(q[one]) == self.k - 1]
+        self.least[q[last]] = np.maximum(self.least[q[last]], score[last] - self.slack[q[last]])
+        stay = score >= self.least[q]
+        self.parts, self.size = [(q[stay], v[stay], score[stay])], int(stay.sum())
+        return q[stay], v[stay]
+
+
+def _score(k: int, repeats: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
             return empty
-        own = np.stack(right["embedding"].to_numpy())
-        ids, out = right["vec_id"].to_numpy(np.int64), []
-        names, where = np.unique(right["list"].to_numpy(np.int64), return_inverse=True)
-        enough = k * REPLICAS  # a vector may stand here once for each of its lists
-        for start in range(0, len(left), 256):
-            some = left.iloc[start : start + 256]
-            q, q_ids = np.stack(some["embedding"].to_numpy()), some["vec_id"].to_numpy(np.int64)
-            reads = np.stack([np.isin(names, lists) for lists in some["lists"]])
-            near = np.where(reads[:, where] & (q_ids[:, None] != ids), q @ own.T, -np.inf)
-            if near.shape[1] > 2 * enough:  # all that tie with the last one needed, within rounding
-                edge = np.partition(near, -enough, axis=1)[:, -enough]
-                edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1, np.abs(edge)), -np.inf)
-                row, col = np.nonzero((near >= edge[:, None]) & np.isfinite(near))
-            else:
-                row, col = np.nonzero(np.isfinite(near))
-            score = (q[row] * own[col]).sum(1)  # the same sum in whatever cell the pair meets
-            found = pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[col], "score": score}).drop_duplicates(["query_id", "vec_id"])
-            found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(found.groupby("query_id", sort=False).head(k))
-        return pd.concat(out, ignore_index=True) if out else empty
+        queries, vectors = matrix(_whole(left.column("embedding"))), matrix(_whole(right.column("embedding")))
+        own, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        # single precision selects, with the bound on its rounding as slack; powers of two keep it in range
+        small = (vectors * 2.0 ** -np.ceil(np.log2(np.abs(vectors).max()))).astype(np.float32)
+        asks = (queries * 2.0 ** -np.ceil(np.log2(np.abs(queries).max(1, keepdims=True)))).astype(np.float32)
+        reach = np.sqrt((small.astype(np.float64) ** 2).sum(1).max())
+        slack = (queries.shape[1] + 8) * 2.0**-22 * np.sqrt((asks.astype(np.float64) ** 2).sum(1)) * reach
+        best = _Best(k, slack, own, ids)
+        q_at, q_list = _unfold(_whole(left.column("lists")))
+        v_at, v_list = _unfold(_whole(right.column("lists")))
+        q_at, q_list = q_at[np.argsort(q_list, kind="stable")], np.sort(q_list, kind="stable")
+        v_at, v_list = v_at[np.argsort(v_list, kind="stable")], np.sort(v_list, kind="stable")
+        enough = (k + 1) * repeats  # so many entries hold k ids other than the query's
+        for name in np.unique(v_list):
+            qs = q_at[np.searchsorted(q_list, name) : np.searchsorted(q_list, name, "right")]
+            vs = v_at[np.searchsorted(v_list, name) : np.searchsorted(v_list, name, "right")]
+            for a in range(0, len(qs), 2048):
+                some = qs[a : a + 2048]
+                for b in range(0, len(vs), 2048):
+                    part = vs[b : b + 2048]
+                    near = asks[some] @ small[part].T
+                    bound = best.least[some]
+                    if len(part) > enough and not np.isfinite(bound).all():
+                        best.least[some] = bound = np.maximum(bound, np.partition(near, -enough, axis=1)[:, -enough] - slack[some])
+                    row, col = np.nonzero(near >= bound[:, None])
+                    if len(row):
+                        best.add(some[row], part[col], near[row, col])
+        q, v = best.fold()
+        score = np.concatenate([(queries[q[a : a + 65_536]] * vectors[v[a : a + 65_536]]).sum(1) for a in range(0, len(q), 65_536)]) if len(q) else np.zeros(0)
+        order = np.lexsort((-score, ids[v], q))
+        fresh = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (ids[v[order]][1:] != ids[v[order]][:-1])]) if len(q) else np.zeros(0, bool)
+        order = order[fresh]
+        order = order[np.lexsort((ids[v[order]], -score[order], q[order]))]
+        order = order[_rank(q[order]) < k]
+        return pa.table({"query_id": pa.array(own[q[order]]), "vec_id": pa.array(ids[v[order]]), "score": pa.array(score[order])})
 
     return run
 
@@ -263,35 +495,52 @@ def _score(k: int):
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: float | None = None) -> DataFrame:
     """The k nearest found of each query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of another vec_id. Vectors that
-    are null, zero or hold null or non-finite components take no part, nor do those of another length than most
-    vectors. Of equal vectors, only the k + 1 smallest ids enter the lists: no others can be among the k nearest, so
-    copies of one vector can't fill a list. Without ``prune`` the table's own ratio is measured. Lists are dealt to tasks in cells of about CELL vectors. An empty table
-    gives an empty result; repeated query rows are one query; other columns are not looked at.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of another vec_id. A query gets k
+    rows wherever there are so many candidates. Vectors that are null, zero or hold null or non-finite components take
+    no part, nor do those of another length than most vectors. Of equal vectors, only the k + 1 smallest ids enter the
+    lists: no others can be among the k nearest, so copies of one vector can't fill a list. Rows that repeat a vec_id
+    are one candidate, by its best score, and one query, with the vector of the smallest hash. Without ``prune`` the
+    table's own ratio is measured. An empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    common = rows.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).orderBy(F.desc("n"), "width").first()
+    clean = materialise(usable(vectors), "near-clean")
+    common = clean.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top")).orderBy(F.desc("n"), "width").first()
     if common is None:
         return spark.createDataFrame([], schema)
-    radius = float(common["square"]) ** 0.5
-    rows = rows.filter(F.size("embedding") == common["width"])
-    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    candidates = materialise(rows.dropDuplicates(["vec_id", "embedding"]).withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy"), "near-candidates")
-    sample = hash_sample(candidates, "vec_id", SAMPLE, candidates.count(), 3).collect()
-    x = np.array([r["embedding"] for r in sample])
-    x = np.concatenate([x, np.sqrt(np.maximum(radius**2 - (x**2).sum(1), 0))[:, None]], 1)
-    graph = CentroidGraph(_leaves(x, min(CENTROIDS, max(1, len(x) // PER_CENTROID))))
-    posted = materialise(candidates.mapInPandas(_post(graph, radius), "vec_id bigint, embedding array<double>, list bigint"), "near-lists")
-    cells = cells_of({r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()})  # CENTROIDS rows at most
-    table = F.create_map(*[y for name, (a, n) in cells.items() for y in (F.lit(name).cast("bigint"), F.struct(F.lit(a).alias("first"), F.lit(n).alias("count")))])
-    mine = F.element_at(table, F.col("list"))
-    posted = posted.withColumn("cell", (mine["first"] + F.pmod(F.xxhash64("vec_id"), mine["count"])).cast("int"))
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    ratio = measured_ratio(graph, queries, posted, radius, k) if prune is None else prune
-    asked = queries.mapInPandas(_ask(graph, ratio, radius, cells), "vec_id bigint, embedding array<double>, cell int, lists array<bigint>")
-    scored = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInPandas(_score(k), "query_id bigint, vec_id bigint, score double")
-    best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    clean, space = clean.filter(F.col("width") == common["width"]), Space(common["top"])
+    kind = clean.schema["embedding"].dataType.simpleString()
+    space.radius = clean.select("embedding").mapInArrow(_squares(space.scale), "square double").agg(F.max("square")).first()[0] ** 0.5
+    sample = hash_sample(clean.select("vec_id", "embedding"), "vec_id", SAMPLE, common["n"], 3).collect()
+    x = np.unique(np.array([r["embedding"] for r in sample], float), axis=0)
+    graph = CentroidGraph(*balanced_centroids(space.vectors(x), len(x) // PER_CENTROID))
+
+    same = Window.partitionBy("key").orderBy("vec_id")
+    few = clean.withColumn("copy", F.dense_rank().over(same)).filter(F.col("copy") <= k + 1)
+    few = few.withColumn("before", F.lag("vec_id").over(same)).filter(~F.col("vec_id").eqNullSafe(F.col("before")))
+    posted = materialise(few.select("vec_id", "embedding").mapInArrow(_post(graph, space), f"vec_id bigint, embedding {kind}, lists array<int>"), "near-lists")
+    repeats = posted.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    sizes, held = np.zeros(len(graph.centroids), np.int64), np.zeros(len(graph.centroids), np.int64)
+    for r in posted.select(F.posexplode("lists").alias("at", "list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("own")).collect():  # a row for each centroid at most
+        sizes[r["list"]], held[r["list"]] = r["n"], r["own"]
+
+    queries = clean.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("embedding", "key").alias("embedding"))
+    ratio, beam = measured_ratio(graph, queries, posted, space, k, repeats) if prune is None else (prune, BEAM)
+    least, most = CELL
+    first, count = cells_of(sizes, min(most, max(least, int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism))))
+    asking = queries.mapInArrow(_ask(graph, ratio, space, (first, count), held, (k + 1) * repeats, beam), f"query_id bigint, embedding {kind}, cell int, lists array<int>")
+    asked = materialise(asking, "near-asked")
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    tasks = blocks.agg(F.sum("blocks")).first()[0]
+    if not tasks:
+        return spark.createDataFrame([], schema)
+
+    dealt = posted.mapInArrow(_deal((first, count)), f"vec_id bigint, embedding {kind}, cell int, lists array<int>")
+    keys = ("cell", "block")
+    tasks = min(tasks, TASKS)  # given as a number, so that small tables are not put into few tasks
+    left = asked.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks").repartition(tasks, *keys)
+    right = dealt.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").repartition(tasks, *keys)
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score(k, repeats), SCORED)
+    best = scored.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
