@@ -397,7 +397,7 @@ def test_short_cells_and_blocks_find_the_same(spark, monkeypatch):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(1500, 8))
     whole = nearest.nearest_neighbours(vectors(spark, list(enumerate(x))), prune=9.0).collect()
-    monkeypatch.setattr(nearest, "CELL", (40, 40))
+    monkeypatch.setattr(nearest, "CELLS", 40)
     monkeypatch.setattr(nearest, "BLOCK", 7)
     monkeypatch.setattr(nearest, "HELD", 50)
     split = nearest.nearest_neighbours(vectors(spark, list(enumerate(x))), prune=9.0).collect()

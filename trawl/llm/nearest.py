@@ -8,8 +8,8 @@ centroids by a best-first walk in a neighbour graph over the centroids, and read
 a ratio of the nearest one's, and as many more as hold enough candidates. The ratio is the table's own: the least that
 finds RECALL of the exact neighbours of a bounded sample of queries.
 
-Lists are dealt to cells and the queries of a cell to blocks, so a task scores a bounded number of queries against a
-bounded number of vectors.
+Lists are dealt to a fixed number of cells and the queries of a cell to blocks; a task holds a block of queries and
+streams the cell's vectors past it, so its memory is bounded and a query gets k rows from each cell at most.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ REPLICA, REPLICAS = 0.01, 3
 #: neighbours of PROBES queries at most show that it takes more to find RECALL of them.
 PRUNE, RECALL, PROBES = 0.05, 0.95, 256
 DEGREE, BEAM = 24, 64
-#: Vectors of a cell at least and at most, and queries of a block at most.
-CELL, BLOCK = (2_048, 32_768), 16_384
-#: Tasks of the search at most, and scored pairs that a task holds before it folds them.
+#: Queries whose lists a task finds, about.
+WALK = 1024
+#: Cells of about equally many vectors, and queries of a block at most.
+CELLS, BLOCK = 16, 16_384
+#: Partitions of the search at most, and scored pairs that a task holds before it folds them.
 TASKS, HELD = 10_000, 1_000_000
 
 
@@ -371,19 +373,19 @@ def _ask(graph: CentroidGraph, ratio: float, space: Space, cells: tuple[np.ndarr
             times = count[lists]  # a list without vectors has no cell
             rows, names = np.repeat(rows, times), np.repeat(lists, times)
             cell = first[names] + np.arange(len(names)) - np.repeat(np.cumsum(times) - times, times)
-            yield _by_cell(batch, "query_id", rows, names, cell)
+            yield _by_cell(batch, rows, names, cell)
 
     return run
 
 
-def _by_cell(batch: pa.RecordBatch, name: str, rows: np.ndarray, lists: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+def _by_cell(batch: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
     """The batch's ids and vectors once for each of their cells, with their lists there."""
     order = np.lexsort((lists, cell, rows))
     rows, lists, cell = rows[order], lists[order], cell[order]
-    starts = np.nonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (cell[1:] != cell[:-1])]))[0] if len(rows) else np.zeros(0, np.int64)
+    starts = np.nonzero(_starts(rows, cell))[0]
     at = pa.array(rows[starts])
     folded = lists_column(lists, np.diff(np.append(starts, len(rows))), pa.int32())
-    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell[starts], pa.int32()), folded], [name, "embedding", "cell", "lists"])
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), folded, pa.array(cell[starts], pa.int32())], ["id", "embedding", "lists", "cell"])
 
 
 def _deal(cells: tuple[np.ndarray, np.ndarray]):
@@ -394,7 +396,7 @@ def _deal(cells: tuple[np.ndarray, np.ndarray]):
         for batch in batches:
             rows, lists = _unfold(batch.column(2))
             mixed = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield _by_cell(batch, "vec_id", rows, lists, first[lists] + (mixed[rows] % count[lists].astype(np.uint64)).astype(np.int64))
+            yield _by_cell(batch, rows, lists, first[lists] + (mixed[rows] % count[lists].astype(np.uint64)).astype(np.int64))
 
     return run
 
@@ -408,86 +410,104 @@ def _unfold(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _whole(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-class _Best:
-    """The k best distinct ids of each query among the pairs added, and whatever lies within rounding of the last."""
-
-    def __init__(self, k: int, slack: np.ndarray, own: np.ndarray, ids: np.ndarray):
-        self.k, self.slack, self.own, self.ids = k, slack, own, ids
-        self.least = np.full(len(own), -np.inf)
-        self.parts: list[tuple] = []
-        self.size = 0
-
-    def add(self, q: np.ndarray, v: np.ndarray, score: np.ndarray) -> None:
-        self.parts.append((q, v, score))
-        self.size += len(q)
-        if self.size > HELD:
-            self.fold()
-
-    def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, v, score = (np.concatenate(x) for x in zip(*self.parts))
-        other = self.own[q] != self.ids[v]
-        q, v, score = q[other], v[other], score[other]
-        order = np.lexsort((-score, v, q))  # a vector that stands in several lists comes once
-        q, v, score = q[order], v[order], score[order]
-        fresh = np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])]) if len(q) else np.zeros(0, bool)
-        q, v, score = q[fresh], v[fresh], score[fresh]
-        # the best row of every id; its k-th largest is the query's bound
-        order = np.lexsort((-score, self.ids[v], q))
-        one = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (self.ids[v[order]][1:] != self.ids[v[order]][:-1])])] if len(q) else order
-        one = one[np.lexsort((-score[one], q[one]))]
-        last = one[_rank(q[one]) == self.k - 1]
-        self.least[q[last]] = np.maximum(self.least[q[last]], score[last] - self.slack[q[last]])
-        stay = score >= self.least[q]
-        self.parts, self.size = [(q[stay], v[stay], score[stay])], int(stay.sum())
-        return q[stay], v[stay]
-
-
-def _score(k: int, repeats: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        queries, vectors = matrix(_whole(left.column("embedding"))), matrix(_whole(right.column("embedding")))
-        own, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-        # single precision selects, with the bound on its rounding as slack; powers of two keep it in range
-        small = (vectors * 2.0 ** -np.ceil(np.log2(np.abs(vectors).max()))).astype(np.float32)
-        asks = (queries * 2.0 ** -np.ceil(np.log2(np.abs(queries).max(1, keepdims=True)))).astype(np.float32)
-        reach = np.sqrt((small.astype(np.float64) ** 2).sum(1).max())
-        slack = (queries.shape[1] + 8) * 2.0**-22 * np.sqrt((asks.astype(np.float64) ** 2).sum(1)) * reach
-        best = _Best(k, slack, own, ids)
-        q_at, q_list = _unfold(_whole(left.column("lists")))
-        v_at, v_list = _unfold(_whole(right.column("lists")))
-        q_at, q_list = q_at[np.argsort(q_list, kind="stable")], np.sort(q_list, kind="stable")
-        v_at, v_list = v_at[np.argsort(v_list, kind="stable")], np.sort(v_list, kind="stable")
-        enough = (k + 1) * repeats  # so many entries hold k ids other than the query's
-        for name in np.unique(v_list):
-            qs = q_at[np.searchsorted(q_list, name) : np.searchsorted(q_list, name, "right")]
-            vs = v_at[np.searchsorted(v_list, name) : np.searchsorted(v_list, name, "right")]
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+
+
+class _Search:
+    """A block of queries, and the k best of the vectors shown to it so far.
+
+    Single precision selects, with a bound on its rounding as slack; powers of two keep it in range. What is selected
+    is scored in double precision on the vectors given.
+    """
+
+    def __init__(self, k: int, repeats: int, space: Space, ids: np.ndarray, queries: np.ndarray, row: np.ndarray, lists: np.ndarray):
+        self.k, self.enough, self.space, self.ids, self.queries = k, (k + 1) * repeats, space, ids, queries
+        order = np.argsort(lists, kind="stable")
+        self.row, self.lists = row[order], lists[order]
+        self.power = 2.0 ** -np.ceil(np.log2(np.abs(queries).max(1)))
+        self.asks = (queries * self.power[:, None]).astype(np.float32)
+        self.slack = (queries.shape[1] + 8) * 2.0**-22 * np.sqrt((self.asks.astype(np.float64) ** 2).sum(1)) * space.radius
+        self.least = np.full(len(ids), -np.inf)
+        self.q, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def show(self, ids: np.ndarray, vectors: np.ndarray, row: np.ndarray, lists: np.ndarray) -> None:
+        small = (vectors * self.space.scale).astype(np.float32)
+        order = np.argsort(lists, kind="stable")
+        row, lists = row[order], lists[order]
+        held, size, limit = [], 0, min(HELD, 4 * self.k * len(self.ids))  # bounds grow with every fold
+        for name in np.unique(lists):
+            qs = self.row[np.searchsorted(self.lists, name) : np.searchsorted(self.lists, name, "right")]
+            vs = row[np.searchsorted(lists, name) : np.searchsorted(lists, name, "right")]
             for a in range(0, len(qs), 2048):
                 some = qs[a : a + 2048]
                 for b in range(0, len(vs), 2048):
                     part = vs[b : b + 2048]
-                    near = asks[some] @ small[part].T
-                    bound = best.least[some]
-                    if len(part) > enough and not np.isfinite(bound).all():
-                        best.least[some] = bound = np.maximum(bound, np.partition(near, -enough, axis=1)[:, -enough] - slack[some])
-                    row, col = np.nonzero(near >= bound[:, None])
-                    if len(row):
-                        best.add(some[row], part[col], near[row, col])
-        q, v = best.fold()
-        score = np.concatenate([(queries[q[a : a + 65_536]] * vectors[v[a : a + 65_536]]).sum(1) for a in range(0, len(q), 65_536)]) if len(q) else np.zeros(0)
-        order = np.lexsort((-score, ids[v], q))
-        fresh = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (ids[v[order]][1:] != ids[v[order]][:-1])]) if len(q) else np.zeros(0, bool)
-        order = order[fresh]
-        order = order[np.lexsort((ids[v[order]], -score[order], q[order]))]
-        order = order[_rank(q[order]) < k]
-        return pa.table({"query_id": pa.array(own[q[order]]), "vec_id": pa.array(ids[v[order]]), "score": pa.array(score[order])})
+                    near = self.asks[some] @ small[part].T
+                    bound = self.least[some]
+                    if len(part) > self.enough and not np.isfinite(bound).all():  # so many hold k ids other than the query's
+                        self.least[some] = bound = np.maximum(bound, np.partition(near, -self.enough, axis=1)[:, -self.enough] - self.slack[some])
+                    i, j = np.nonzero(near >= bound[:, None])
+                    held.append((some[i], part[j]))
+                    size += len(i)
+                    if size > limit:
+                        self._fold(ids, vectors, held)
+                        held, size = [], 0
+        self._fold(ids, vectors, held)
+
+    def _fold(self, ids: np.ndarray, vectors: np.ndarray, held: list) -> None:
+        if not held:
+            return
+        q, v = (np.concatenate(x) for x in zip(*held))
+        key = np.unique(q * len(ids) + v)  # a vector that stands in several lists comes once
+        q, v = key // len(ids), key % len(ids)
+        other = self.ids[q] != ids[v]
+        q, v = q[other], v[other]
+        score = np.concatenate([np.zeros(0), *((self.queries[q[a : a + 65_536]] * vectors[v[a : a + 65_536]]).sum(1) for a in range(0, len(q), 65_536))])
+        q, found, score = np.concatenate([self.q, q]), np.concatenate([self.found, ids[v]]), np.concatenate([self.score, score])
+        order = np.lexsort((-score, found, q))
+        order = order[_starts(q[order], found[order])]
+        order = order[np.lexsort((found[order], -score[order], q[order]))]
+        rank = _rank(q[order])
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.q, self.found, self.score = q[order], found[order], score[order]
+        last = np.nonzero(rank == self.k - 1)[0]
+        at = self.q[last]
+        self.least[at] = np.maximum(self.least[at], self.score[last] * self.power[at] * self.space.scale - self.slack[at])
+
+    def best(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q]), pa.array(self.found), pa.array(self.score)], ["query_id", "vec_id", "score"])
+
+
+def _score(k: int, repeats: int, space: Space):
+    """Rows (id, embedding, lists, cell, block, side), sorted by the last three: queries (side 0), then vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, asking, search = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5)]
+            edges = np.append(np.nonzero(_starts(*keys))[0], batch.num_rows).tolist()
+            for a, b in zip(edges, edges[1:]):
+                part, key = batch.slice(a, b - a), (int(keys[0][a]), int(keys[1][a]))
+                if key != here:
+                    if search:
+                        yield search.best()
+                    here, asking, search = key, [], None
+                if keys[2][a] == 0:
+                    asking.append(part)
+                    continue
+                if search is None and asking:
+                    given = pa.Table.from_batches(asking).combine_chunks().to_batches()[0]
+                    search = _Search(k, repeats, space, given.column(0).to_numpy(), matrix(given.column(1)), *_unfold(given.column(2)))
+                if search:
+                    search.show(part.column(0).to_numpy(), matrix(part.column(1)), *_unfold(part.column(2)))
+        if search:
+            yield search.best()
 
     return run
 
@@ -524,23 +544,24 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: f
     for r in posted.select(F.posexplode("lists").alias("at", "list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("own")).collect():  # a row for each centroid at most
         sizes[r["list"]], held[r["list"]] = r["n"], r["own"]
 
-    queries = clean.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("embedding", "key").alias("embedding"))
+    queries = clean.filter(F.col("vec_id") % every == 0)
+    walks = min(TASKS, -(-queries.count() // WALK)) or 1
+    queries = queries.repartition(walks, "vec_id").groupBy("vec_id").agg(F.min_by("embedding", "key").alias("embedding"))
     ratio, beam = measured_ratio(graph, queries, posted, space, k, repeats) if prune is None else (prune, BEAM)
-    least, most = CELL
-    first, count = cells_of(sizes, min(most, max(least, int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism))))
-    asking = queries.mapInArrow(_ask(graph, ratio, space, (first, count), held, (k + 1) * repeats, beam), f"query_id bigint, embedding {kind}, cell int, lists array<int>")
+    first, count = cells_of(sizes, max(1, -(-int(sizes.sum()) // CELLS)))
+    asking = queries.mapInArrow(_ask(graph, ratio, space, (first, count), held, (k + 1) * repeats, beam), f"id bigint, embedding {kind}, lists array<int>, cell int")
     asked = materialise(asking, "near-asked")
     blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     tasks = blocks.agg(F.sum("blocks")).first()[0]
     if not tasks:
         return spark.createDataFrame([], schema)
 
-    dealt = posted.mapInArrow(_deal((first, count)), f"vec_id bigint, embedding {kind}, cell int, lists array<int>")
-    keys = ("cell", "block")
-    tasks = min(tasks, TASKS)  # given as a number, so that small tables are not put into few tasks
-    left = asked.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks").repartition(tasks, *keys)
-    right = dealt.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").repartition(tasks, *keys)
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score(k, repeats), SCORED)
+    dealt = posted.mapInArrow(_deal((first, count)), f"id bigint, embedding {kind}, lists array<int>, cell int")
+    mine = asked.join(blocks, "cell").select("id", "embedding", "lists", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
+    theirs = dealt.join(blocks, "cell").select("id", "embedding", "lists", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    # a number of partitions is given, so that small tables are not put into few tasks
+    meeting = mine.unionByName(theirs).repartition(min(tasks, TASKS), "cell", "block").sortWithinPartitions("cell", "block", "side")
+    scored = meeting.mapInArrow(_score(k, repeats, space), SCORED)
     best = scored.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
