@@ -12,7 +12,7 @@ import functools
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +22,85 @@ from pyspark.sql import functions as F
 #: Elements whose content is raw text and no text of the page: without an end tag they go to the end of the page.
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
 #: Elements whose content is no text of the page; NESTING: those that may stand in themselves.
-HIDDEN = RAW | {"template", "svg", "select", "option", "button", "canvas", "audio", "video", "annotation", "annotation-xml"}
+HIDDEN = RAW | {"template", "svg", "select", "option", "canvas", "audio", "video", "annotation", "annotation-xml"}
 NESTING = {"template", "svg"}
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements inside a line of text; all others start and end blocks.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "object", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "semantics"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "object", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "semantics"}
 #: What an opening tag closes, up to the nearest container.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "header", "footer", "form", "blockquote", "figure", "fieldset"}
+SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "header", "footer", "form", "blockquote", "figure", "fieldset", "td", "th"}
 #: Void or inline elements that still break a line of text.
 BREAKS = {"br", "hr"}
+#: Block-level tags that end an unclosed svg.
+LEAVES_SVG = SCOPE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*)(?:>|\Z)", re.S)
+#: A comment, a declaration or a tag. A quote matters at the start of an attribute's value only; nothing backtracks.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
-Block = tuple[str, tuple, float]  # text, ancestors as (tag, class words), share of the text that lies in links
+
+class Node:
+    """An open block element; its blocks share it, and it its parents. Iterating gives (tag, class words) from the top."""
+
+    __slots__ = ("tag", "words", "parent", "found", "own")
+
+    def __init__(self, tag: str, words: tuple, parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.found = self.own = None
+
+    def __iter__(self) -> Iterator[tuple[str, tuple]]:
+        chain, node = [], self
+        while node is not None and node.parent is not None:
+            chain.append((node.tag, node.words))
+            node = node.parent
+        return iter(chain[::-1])
+
+
+#: text, innermost element, share of the text that lies in links, share that lies in buttons
+Block = tuple[str, Node, float, float]
+
+
+class _Open:
+    """The open elements of a page: a stack with counts, so that no tag looks through all of it in vain."""
+
+    def __init__(self):
+        self.top = Node("", (), None)
+        self.counts: dict[str, int] = {}
+        self.inner: list[dict[str, int]] = [{}]  # counts since the last container, which is counted with what it holds
+
+    def __contains__(self, tag: str) -> bool:
+        return self.counts.get(tag, 0) > 0
+
+    def push(self, tag: str, words: tuple) -> None:
+        self.top = Node(tag, words, self.top)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in SCOPE:
+            self.inner.append({})
+        self.inner[-1][tag] = self.inner[-1].get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.top.tag
+        self.top = self.top.parent
+        self.counts[tag] -= 1
+        self.inner[-1][tag] -= 1
+        if tag in SCOPE:
+            self.inner.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of that name with all in it, if there is one."""
+        while tag in self and self.pop() != tag:
+            pass
+
+    def close_before(self, tag: str) -> None:
+        """Close what the opening tag ends, no further than the nearest container."""
+        ends = CLOSES.get(tag, {"p"})
+        if any(self.inner[-1].get(e) for e in ends):
+            while self.pop() not in ends:
+                pass
 
 
 def _raw_end(page: str, at: int, name: str) -> int:
@@ -46,24 +108,27 @@ def _raw_end(page: str, at: int, name: str) -> int:
     return end.end() if end else len(page)
 
 
-def _hidden_end(page: str, at: int, name: str, around: set[str], loose: set[str]) -> int:
-    """Where the content of a hidden element ends that was opened before ``at``; around: the block tags then open.
+def _hidden_end(page: str, at: int, name: str, around: _Open, loose: set[str]) -> int:
+    """Where the content of a hidden element ends that was opened before ``at``; around: the elements then open.
 
     That is its end tag. Where that is missing, it is the first block-level tag within, or the next element of its
-    name, or the end tag of an element around it. An option ends at the first of all these. Nesting names that missed
-    their end tag once are ``loose``: further ones end at the first block-level tag, so a page is not read over and over.
+    name, or the end tag of an element around it. An option ends at the first of all these. Names that missed their end
+    tag once are ``loose``: further ones end at the first block-level tag, so a page is not read over and over.
     """
     if name in RAW:
         return _raw_end(page, at, name)
     inner: list[str] = []
+    counts: dict[str, int] = {}
     block = None
     while found := TOKEN.search(page, at):
         at, tag = found.end(), (found[2] or "").lower()
         if not tag:
             continue
         if found[1]:
-            if tag in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            if counts.get(tag, 0) > 0:
+                while (last := inner.pop()) != tag:
+                    counts[last] -= 1
+                counts[tag] -= 1
             elif tag == name:
                 return at
             elif tag in around or tag in INLINE:
@@ -75,33 +140,35 @@ def _hidden_end(page: str, at: int, name: str, around: set[str], loose: set[str]
         elif tag in RAW:
             at = at if found[0].endswith("/>") else _raw_end(page, at, tag)
         elif tag not in VOID:
-            if tag not in INLINE and tag not in HIDDEN and "-" not in tag and block is None and (name != "svg" or tag in SCOPE or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre")) and tag not in ("optgroup", "foreignobject"):
+            if tag not in INLINE and tag not in HIDDEN and "-" not in tag and block is None and (name != "svg" or tag in LEAVES_SVG) and tag not in ("optgroup", "foreignobject"):
                 block = found.start()
                 if name == "option" or name in loose:
                     break
             if not found[0].endswith("/>"):
                 inner.append(tag)
-    if name in NESTING:
-        loose.add(name)
+                counts[tag] = counts.get(tag, 0) + 1
+    loose.add(name)
     return len(page) if block is None else block
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; blocks without text are left out."""
+    """The leaf blocks of a page in order; blocks without text are left out. Time is linear in the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack = _Open()
     pieces: list[str] = []
     loose: set[str] = set()
-    linked, in_link, at, size = 0, 0, 0, len(page)
+    linked = pressed = 0
+    in_link = in_button = False
+    at, size = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((text, tuple(stack), min(1.0, linked / len(text))))
+                out.append((text, stack.top, min(1.0, linked / len(text)), min(1.0, pressed / len(text))))
             pieces.clear()
-        linked = 0
+        linked = pressed = 0
 
     while at < size:
         found = TOKEN.search(page, at)
@@ -112,6 +179,8 @@ def blocks(page: str) -> list[Block]:
             pieces.append(page[at : found.start()])
             if in_link:
                 linked += found.start() - at
+            if in_button:
+                pressed += found.start() - at
         at = found.end()
         name = found[2]
         if not name:
@@ -119,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         name, closing = name.lower(), bool(found[1])
         if name in HIDDEN:
             if not closing and not found[0].endswith("/>"):
-                at = _hidden_end(page, at, name, {t for t, _ in stack}, loose)
+                at = _hidden_end(page, at, name, stack, loose)
             continue
         if name in BREAKS:
             pieces.append(" ")
@@ -127,28 +196,22 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if name == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
+        if name == "button":
+            in_button = not closing
         if name in INLINE:
             continue
         flush()
-        in_link = 0
+        in_link = in_button = False
         if name in VOID:
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            stack.close(name)
             continue
-        ends = CLOSES.get(name, {"p"})
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE or stack[k][0] in ("td", "th"):
-                break
+        stack.close_before(name)
         if not found[0].endswith("/>"):
             words = " ".join(next(x for x in m if x) if any(m) else "" for m in NAMES.findall(found[3] or ""))
-            stack.append((name, tuple(WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).lower()))))
+            stack.push(name, tuple(WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).lower())))
     flush()
     return out
 
@@ -157,27 +220,47 @@ def _bucket(x: float, edges: tuple) -> int:
     return sum(x > e for e in edges)
 
 
-@functools.lru_cache(maxsize=50_000)
-def _ancestor_features(stack: tuple) -> tuple:
-    tags = [t for t, _ in stack]
-    found = {f"in:{t}" for t in tags if t not in ("html", "body")} | {f"class:{w}" for _, words in stack for w in words}
-    if tags:
-        found.add(f"own:{tags[-1]}")
-        found |= {f"own-class:{w}" for w in stack[-1][1]}
-    if "article" in tags or "main" in tags:
-        inner = stack[max(k for k, t in enumerate(tags) if t in ("article", "main")) + 1 :]
-        found |= {f"inner:{t}" for t, _ in inner if t not in ("p", "div", "section")}
-    else:
-        found.add("outside")
-    return tuple(found)
-
-
-def features(page_blocks: list[Block]) -> list[list[str]]:
+def _inherited(node: Node, known: Container[str] | None) -> frozenset:
+    """Features of the element and those around it, each once; an element without new ones shares its parent's set."""
+    chain = []
+    while node.found is None:
+        chain.append(node)
+        if node.parent is None:
+            break
+        node = node.parent
+    for node in reversed(chain):
+        if node.parent is None:
+            node.found, node.own = frozenset(["outside"]), ()
+            continue
+        tag, found = node.tag, node.parent.found
+        new = {f"class:{w}" for w in node.words}
+        if tag not in ("html", "body"):
+            new.add(f"in:{tag}")
+        if tag in ("article", "main"):
+            found = frozenset(f for f in found if f != "outside" and not f.startswith("inner:"))
+        elif "outside" not in found and tag not in ("p", "div", "section"):
+            new.add(f"inner:{tag}")
+        own = {f"own:{tag}", *(f"own-class:{w}" for w in node.words)}
+        if known is not None:
+            new, own = {f for f in new if f in known}, {f for f in own if f in known}
+        node.found, node.own = found if new <= found else found | new, tuple(sorted(own))
+    return chain[0].found if chain else node.found
+
+
+def _cues(text: str) -> set[str]:
+    """The words that pages use around articles, among the first and last few words of a text."""
+    words = WORD.findall(text[:160].lower())[:8] + WORD.findall(text[-80:].lower())[-4:]
+    return {f"cue:{w}" for w in words if w in CUES}
+
+
+def features(page_blocks: list[Block], known: Container[str] | None = None) -> list[list[str]]:
+    """The features of each block; known: those that matter, if only some do."""
     out, last = [], len(page_blocks) - 1
-    for k, (text, stack, linked) in enumerate(page_blocks):
+    for k, (text, node, linked, pressed) in enumerate(page_blocks):
         words = text.count(" ") + 1
+        inherited, cues = _inherited(node, known), _cues(text)
         out.append([
-            *_ancestor_features(stack), "any", f"words:{_bucket(words, (2, 5, 10, 20, 40, 80))}", f"links:{_bucket(linked, (0.0, 0.3, 0.7))}",
+            *inherited, *node.own, "any", f"words:{_bucket(words, (2, 5, 10, 20, 40, 80))}", f"links:{_bucket(linked, (0.0, 0.3, 0.7))}", f"buttons:{_bucket(pressed, (0.0, 0.7))}", *cues, f"cues:{min(len(cues), 3)}:{_bucket(words, (6, 15))}",
             f"end:{'stop' if text[-1] in '.!?…:”\"' else 'open'}", f"copy:{'©' in text[:200] or '(c)' in text[:200].lower()}", f"first:{k == 0}", f"last:{k == last}",
         ])
     return out
@@ -197,11 +280,25 @@ FRAMES = [
     ("<form action='/go'>", "</form>", "form"), ("<form class='search'>", "</form>", "form"), ("<div class='login'><form>", "</form></div>", "form"),
     ("<div class='comments' id='comments'>", "</div>", "comment"), ("<section class='comments'>", "</section>", "comment"), ("<div class='comment'>", "</div>", "comment"), ("<ol class='comment-list'>", "</ol>", "comment"), ("<div id='disqus thread' class='replies'>", "</div>", "comment"), ("<section id='respond' class='discussion'>", "</section>", "comment"),
 ]
+#: Places of boilerplate whose names say nothing: only what stands in them does.
+BARE = [("<div>", "</div>"), ("<div id='r'>", "</div>"), ("<div class='c'>", "</div>"), ("<div id='x'><div>", "</div></div>"), ("<section>", "</section>"), ("<p>", "</p>"), ("<ul><li>", "</li></ul>"), ("", "<hr>")]
 #: Places of the article.
 HOLDERS = [
     ("<article>", "</article>"), ("<article class='post'>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ("<div class='content'>", "</div>"), ("<div id='content' class='main'>", "</div>"), ("<div class='article body'>", "</div>"),
-    ("<div class='post entry content'>", "</div>"), ("<section class='story text'>", "</section>"), ("<div itemprop='articleBody'>", "</div>"), ("<div class='page'><div class='wrapper'>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<div>", "</div>"), ("", ""),
+    ("<div class='post entry content'>", "</div>"), ("<section class='story text'>", "</section>"), ("<div itemprop='articleBody'>", "</div>"), ("<div class='page'><div class='wrapper'>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<div>", "</div>"), ("<div id='b'>", "</div>"), ("", ""),
 ]
+#: What pages say around articles, by the kind of place.
+SAYINGS = {
+    "menu": ["Home", "About us", "Contact", "News", "Most read", "Related articles", "Read more", "See also", "Share this", "Next post", "Previous post", "Tags", "Categories", "Archive", "Sitemap", "Popular posts", "Trending now", "You may also like", "Skip to content", "Back to top", "Menu"],
+    "title": ["Welcome", "Official site", "Sign in", "Search", "Menu"],
+    "legal": ["All rights reserved", "Terms of use", "Privacy policy", "Copyright", "Imprint", "Powered by", "Terms and conditions"],
+    "form": ["Search", "Email", "Password", "Log in", "Sign up", "Submit", "Subscribe to our newsletter", "Send", "Leave a reply", "Post comment"],
+    "comment": ["Comments", "Reply", "Posted by", "says", "Leave a comment", "1 comment", "Anonymous wrote", "Nice post", "Thanks for sharing", "Great article", "I agree"],
+    "teaser": ["Advertisement", "Sponsored", "We use cookies", "Accept cookies", "Subscribe now", "Newsletter", "Most read", "Special offer", "Follow us", "Sale", "Buy now", "Sign up for our newsletter", "Recommended", "This site uses cookies", "Click here", "Promotion"],
+    "none": [],
+}
+#: The words of SAYINGS that are worth a feature.
+CUES = {w for said in SAYINGS.values() for x in said for w in WORD.findall(x.lower())} - {"to", "for", "of", "and", "a", "i", "us", "our", "this", "by", "in", "on", "up", "we", "you", "may", "now", "great", "back", "next", "post", "see", "more", "here", "send", "all", "out", "about", "top", "use", "site", "uses", "nice"}
 
 
 def _words(rng: random.Random, n: int) -> str:
@@ -212,56 +309,84 @@ def _sentence(rng: random.Random, n: int) -> str:
     return _words(rng, n).capitalize() + rng.choice("....!?")
 
 
-def _frame(rng: random.Random, kind: str) -> str:
+def _said(rng: random.Random, kind: str, text: str, often: float) -> str:
+    """text, or what such places say with or without it."""
+    said = SAYINGS[kind]
+    if not said or rng.random() > often:
+        return text
+    one = rng.choice(said)
+    return rng.choice([one, f"{one}: {text}", f"{one} {text}", f"{text} {one}"])
+
+
+def _frame(rng: random.Random, kind: str, often: float = 0.4) -> str:
+    say = lambda text: _said(rng, kind, text, often)
     if kind == "menu":
-        links = [f"<a href='/{_words(rng, 1)}'>{_words(rng, rng.randint(1, 3))}</a>" for _ in range(rng.randint(2, 8))]
-        return rng.choice(["<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " | ".join(links), "".join(f"<div>{x}</div>" for x in links), "".join(f"<p>{x}</p>" for x in links)])
+        links = [f"<a href='/{_words(rng, 1)}'>{say(_words(rng, rng.randint(1, 3)))}</a>" for _ in range(rng.randint(2, 8))]
+        head = f"<h3>{say(_words(rng, rng.randint(1, 3)))}</h3>" if rng.random() < 0.3 else ""
+        return head + rng.choice(["<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " | ".join(links), "".join(f"<div>{x}</div>" for x in links), "".join(f"<p>{x}</p>" for x in links)])
     if kind == "title":
-        return rng.choice(["<h1>{}</h1>", "<div>{}</div>", "<p>{}</p>", "{}"]).format(_words(rng, rng.randint(1, 6)))
+        return rng.choice(["<h1>{}</h1>", "<div>{}</div>", "<p>{}</p>", "{}"]).format(say(_words(rng, rng.randint(1, 6))))
     if kind == "legal":
-        return rng.choice(["&copy; {}", "Copyright {}", "<p>{}</p>", "{}"]).format(_words(rng, 2) + " &middot; " + _sentence(rng, rng.randint(2, 30)))
+        return rng.choice(["&copy; {}", "Copyright {}", "<p>{}</p>", "{}"]).format(say(_words(rng, 2) + " &middot; " + _sentence(rng, rng.randint(2, 30))))
     if kind == "form":
-        return f"<label>{_words(rng, 2)}</label><input name=q>" + rng.choice(["", f"<p>{_sentence(rng, rng.randint(3, 20))}</p>"]) + f"<button>{_words(rng, 1)}</button>"
+        return f"<label>{say(_words(rng, 2))}</label><input name=q>" + rng.choice(["", f"<p>{say(_sentence(rng, rng.randint(3, 20)))}</p>"]) + f"<button>{say(_words(rng, 1))}</button>"
     if kind == "comment":
-        one = lambda: rng.choice(["<p>{}</p>", "<div class='comment'>{}</div>", "<li>{}</li>", "{}<br>", "<h3>{}</h3>"]).format(_sentence(rng, rng.randint(2, 60)))
+        one = lambda: rng.choice(["<p>{}</p>", "<div class='comment'>{}</div>", "<li>{}</li>", "{}<br>", "<h3>{}</h3>"]).format(say(_sentence(rng, rng.randint(2, 60))))
         return "".join(one() for _ in range(rng.randint(1, 4)))
     if kind == "teaser":
-        return rng.choice(["{}", "<p>{}</p>", "<h3>{}</h3>", "<ul><li>{}</li></ul>"]).format(_sentence(rng, rng.randint(1, 60)))
+        return rng.choice(["{}", "<p>{}</p>", "<h3>{}</h3>", "<ul><li>{}</li></ul>"]).format(say(_sentence(rng, rng.randint(1, 60))))
     return ""
 
 
-def _article(rng: random.Random, inside: bool) -> list[tuple[str, int]]:
+def _boilerplate(rng: random.Random, frames: list) -> str:
+    """One place of boilerplate. In a place whose name says nothing, what stands there always says something."""
+    if rng.random() < 0.2:
+        opening, closing = rng.choice(BARE)
+        kind = rng.choice(["menu", "comment", "teaser", "legal"])
+        one = rng.choice(SAYINGS[kind])
+        return opening + rng.choice([f"<h3>{one}</h3>", one, f"{one}: {_words(rng, rng.randint(1, 8))}", f"{one} {_words(rng, rng.randint(1, 4))}", _frame(rng, kind, 1.0)]) + closing
+    opening, closing, kind = rng.choice(frames)
+    return opening + _frame(rng, kind) + closing
+
+
+def _article(rng: random.Random, inside: bool, frames: list) -> list[tuple[str, int]]:
     """(markup, label) in order; inside: whether boilerplate may stand inside the article."""
     parts = [(rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h1 class='title'>{}</h1>"]).format(_words(rng, rng.randint(1, 10))), 1)] if rng.random() < 0.8 else []
     for _ in range(rng.randint(1, 9)):
         size = rng.choice([1, 2, 4, 8, 15, 30, 60, 100])
         text = _sentence(rng, size) if rng.random() < 0.9 else _words(rng, size)
+        if size > 8 and rng.random() < 0.15:  # articles use these words too
+            text = text.replace(" ", f" {rng.choice(sorted(CUES))} ", 1)
         if rng.random() < 0.15:
             text = text.replace(" ", " <a href='#x'>", 1) + "</a>" if " " in text else text
+        if rng.random() < 0.05 and " " in text:
+            text = text.replace(" ", f" <button>{_words(rng, 1)}</button> ", 1)
         parts.append((rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<ol><li>{}</li></ol>", "<div>{}</div>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<section><p>{}</p></section>", "{}<br>"]).format(text), 1))
         if inside and rng.random() < 0.2:
-            opening, closing, kind = rng.choice(FRAMES)
+            opening, closing, kind = rng.choice(frames)
             parts.append((opening + _frame(rng, kind) + closing, 0))
+        if inside and rng.random() < 0.05:
+            parts.append((f"<div><button>{_words(rng, rng.randint(1, 2))}</button></div>", 0))
     return parts
 
 
-def training_pages(count: int = 1500, seed: int = 3) -> list[tuple[str, list[int]]]:
+def training_pages(count: int = 2000, seed: int = 3, frames: list = FRAMES, holders: list = HOLDERS) -> list[tuple[str, list[int]]]:
     """Generated pages with the label of each of their blocks (1: article). Layouts vary; no real page is used."""
     rng, out = random.Random(seed), []
     while len(out) < count:
         if rng.random() < 0.04:  # bare text
             out.append((_sentence(rng, rng.randint(1, 80)), [1]))
             continue
-        frame = lambda: (lambda f: (f[0] + _frame(rng, f[2]) + f[1], 0))(rng.choice(FRAMES))
-        opening, closing = rng.choice(HOLDERS)
-        body = [frame() for _ in range(rng.randint(0, 4))] + [(opening, None)] + _article(rng, rng.random() < 0.6) + [(closing, None)] + [frame() for _ in range(rng.randint(0, 4))]
-        page, labels = "<html><head><title>t</title></head><body>", []
+        around = lambda: [(_boilerplate(rng, frames), 0) for _ in range(rng.randint(0, 4))]
+        opening, closing = rng.choice(holders)
+        body = around() + [(opening, None)] + _article(rng, rng.random() < 0.6, frames) + [(closing, None)] + around()
+        page, labels, before = "<html><head><title>t</title></head><body>", [], 0
         for markup, label in body:
-            before = len(blocks(page))
             page += markup
             grown = len(blocks(page))
             if label is not None:
                 labels += [label] * (grown - before)
+            before = grown
         if len(labels) == len(blocks(page)) and labels:
             out.append((page, labels))
     return out
@@ -366,7 +491,7 @@ def default_field() -> Field:
 def extract(page: str | None, field: Field) -> str:
     """The article's blocks joined by single spaces; empty for null, empty and text-less pages."""
     found = blocks(page or "")
-    return " ".join(b[0] for b, y in zip(found, field.viterbi(features(found))) if y)
+    return " ".join(b[0] for b, y in zip(found, field.viterbi(features(found, field.weights))) if y)
 
 
 def _extract(field: Field):
