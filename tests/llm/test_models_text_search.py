@@ -283,6 +283,38 @@ def test_template_language():
     assert chat_format.fold(chat_format.parse("a{{ 'b' ~ 2 }}{% if true %}c{% endif %}{{ x if false else 'd' }}")) == ("block", [("const", "ab2cd")])
 
 
+def test_template_errors_and_lists():
+    render = lambda s, **v: chat_format.Template(s).render(v)[0]
+    assert render("{{ l | length }}{{ 'abc' | length }}{{ d | length }}{{ 12 | length }}", l=["a", "b", "c"], d={"x": 1}) == "3312"
+    assert render("{{ '}}' }}{% if x == '%}' %}y{% endif %}{{ \"it's -}}\" }}", x="%}") == "}}yit's -}}"
+    assert render("{% for m in l %}{% for x in m %}{{ loop.index }}{% if loop.last %}.{% endif %}{% endfor %}{{ loop.index0 }};{% endfor %}", l=["ab", "c"]) == "12.0;1.1;"
+    for bad in ("{{ 1 < 'a' }}", "{{ 1 in 2 }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{{ " + "not " * 5000 + "x }}", "{{ " + " ~ ".join(["x"] * 20_000) + " }}", "{% if x %}" * 3000 + "{% endif %}" * 3000, "{{ 'a }}", "a {{ b", "a {% if x", "{# b"):
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.Template(bad)
+    with pytest.raises(chat_format.TemplateError):
+        render("{{ x < 1 }}", x="a")
+
+
+@pytest.mark.parametrize("source, streams", [
+    ("{{ 'BOS ' }}{% for m in messages %}[{{ loop.index }}{{ m.text }}{% for c in 'ab' %}{{ loop.index }}{% endfor %}{% if loop.last %}!{% endif %}]{% endfor %} END", True),
+    ("{{ messages | length }}{% for m in messages %}{{ m.role }}{{ messages[0].text }},{% endfor %}", False),
+    ("{% for k in 'xy' %}{% for m in messages %}{{ k }}{{ m.text }}{% endfor %}{% endfor %}", False),
+    ("no messages at all", False),
+])
+def test_segments_are_one_rendering(spark, monkeypatch, source, streams):
+    monkeypatch.setattr(chat_format, "SEGMENT_TURNS", 4)
+    template = chat_format.Template(source)
+    assert template.streams == streams
+    rows = [(conv, turn, "user", f"t{conv}.{turn}") for conv in (1, 2, 3) for turn in range((conv - 1) * 9 + 1)]
+    got = {}
+    for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), source).orderBy("conv_id", "segment").collect():
+        got.setdefault(r["conv_id"], []).append(r["text"])
+    for conv in (1, 2, 3):
+        said = [{"role": "user", "text": t} for c, _, _, t in rows if c == conv]
+        assert "".join(got[conv]) == template.render({"messages": said})[0]
+    assert (len(got[3]) > 1) == ("for m in messages" in source)
+
+
 def test_escape_is_reversible():
     rng, parts = random.Random(3), [*chat_format.CONTROL, "\\", "<", "|", "im_end", ">", "[", "\n", "é", "a"]
     for _ in range(3000):

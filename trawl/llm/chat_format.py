@@ -12,6 +12,7 @@ The source is parsed into a tree, constant parts of which are folded, and every
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,16 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-FILTERS: dict[str, Callable] = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, "escape": escape, "escape_line": escape_line, "string": str}
+def _length(value) -> int:
+    """Members of a list or mapping; characters of anything else as text."""
+    return len(value) if isinstance(value, (list, tuple, dict, Turns)) else len(_text(value))
+
+
+def _of_text(use: Callable[[str], str]) -> Callable:
+    return lambda value: use(_text(value))
+
+
+FILTERS: dict[str, Callable] = {"trim": _of_text(str.strip), "upper": _of_text(str.upper), "lower": _of_text(str.lower), "length": _length, "escape": _of_text(escape), "escape_line": _of_text(escape_line), "string": _of_text(str)}
 
 
 class TemplateError(ValueError):
@@ -49,7 +59,9 @@ class TemplateError(ValueError):
 
 # -- parsing: nodes are tuples, their first member the kind
 
-_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.S)
+_STRING = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
+#: Tags end at the first end sign outside of string literals.
+_TAG = re.compile(rf"\{{\{{(-?)((?:{_STRING}|(?!-?\}}\}})[^'\"])*+)(-?)\}}\}}|\{{%(-?)((?:{_STRING}|(?!-?%\}})[^'\"])*+)(-?)%\}}|\{{#.*?#\}}", re.S)
 _LEXEME = re.compile(r"\s*(?:(\d+)|([A-Za-z_]\w*)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(==|!=|<=|>=|[-+~<>|.()\[\],]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
@@ -157,11 +169,18 @@ class _Expression:
         return node
 
 
+def _plain(text: str) -> str:
+    """text, which may not start a tag: one that starts here is not closed."""
+    if found := re.search(r"\{[{%#]", text):
+        raise TemplateError(f"{found[0]!r} is not closed")
+    return text
+
+
 def parse(source: str) -> tuple:
     """The syntax tree of a template: ("block", nodes)."""
     pieces, at, trim = [], 0, False
     for m in _TAG.finditer(source):
-        text = source[at : m.start()]
+        text = _plain(source[at : m.start()])
         text = text.lstrip() if trim else text
         left, right = m[1] or m[4], m[3] or m[6]
         pieces.append(("text", text.rstrip() if left else text))
@@ -170,7 +189,8 @@ def parse(source: str) -> tuple:
         elif m[5] is not None:
             pieces.append(("tag", m[5].strip()))
         at, trim = m.end(), bool(right)
-    pieces.append(("text", source[at:].lstrip() if trim else source[at:]))
+    rest = _plain(source[at:])
+    pieces.append(("text", rest.lstrip() if trim else rest))
     position = 0
 
     def block(ends: tuple) -> tuple[tuple, str]:
@@ -220,6 +240,13 @@ def parse(source: str) -> tuple:
 
 
 def _binary(sign: str, a, b):
+    try:
+        return _operate(sign, a, b)
+    except TypeError as e:
+        raise TemplateError(f"{sign!r} does not take these values: {e}") from e
+
+
+def _operate(sign: str, a, b):
     if sign in ("+", "~"):
         return a + b if sign == "+" and not isinstance(a, str) and not isinstance(b, str) else _text(a) + _text(b)
     if sign == "==":
@@ -254,7 +281,7 @@ def fold(node: tuple) -> tuple:
         return ("const", _text(inner[1])) if inner[0] == "const" else ("output", inner)
     if kind == "filter":
         inner = fold(node[2])
-        return ("const", FILTERS[node[1]](_text(inner[1]))) if inner[0] == "const" else ("filter", node[1], inner)
+        return ("const", FILTERS[node[1]](inner[1])) if inner[0] == "const" else ("filter", node[1], inner)
     if kind == "not":
         inner = fold(node[1])
         return ("const", not inner[1]) if inner[0] == "const" else ("not", inner)
@@ -286,7 +313,7 @@ def fold(node: tuple) -> tuple:
 def _item(value, key):
     if isinstance(value, dict):
         return value.get(key)
-    if isinstance(value, (list, tuple)) and isinstance(key, int) and -len(value) <= key < len(value):
+    if isinstance(value, (list, tuple, Turns)) and isinstance(key, int) and -len(value) <= key < len(value):
         return value[key]
     return None
 
@@ -302,7 +329,7 @@ def _value(node: tuple) -> Callable[[dict], object]:
         return lambda scope: _item(of(scope), key(scope))
     if kind == "filter":
         use, of = FILTERS[node[1]], _value(node[2])
-        return lambda scope: use(_text(of(scope)))
+        return lambda scope: use(of(scope))
     if kind == "not":
         of = _value(node[1])
         return lambda scope: not of(scope)
@@ -317,69 +344,137 @@ def _value(node: tuple) -> Callable[[dict], object]:
     return lambda scope: _binary(sign, a(scope), b(scope))
 
 
-class _Sink:
-    """Text so far in pieces, its length, and the spans that stand under generation markers."""
+class Turns:
+    """Messages that are read when a template asks for them; ``forget``: each is read once and not kept."""
+
+    def __init__(self, source: Iterator, forget: bool = False):
+        self.source, self.forget, self.held = source, forget, []
+
+    def __iter__(self) -> Iterator:
+        if self.forget:
+            return self.source
+        return iter(self._all())
+
+    def _all(self) -> list:
+        self.held += self.source
+        return self.held
 
-    def __init__(self):
-        self.pieces, self.length, self.spans = [], 0, []
+    def __len__(self) -> int:
+        return len(self._all())
 
-    def write(self, text: str) -> None:
-        self.pieces.append(text)
-        self.length += len(text)
+    def __getitem__(self, k):
+        return self._all()[k]
 
 
-def _writer(node: tuple) -> Callable[[dict, _Sink], None]:
+#: What a template writes: a text, the start and the end of a generated part, or a place between two messages.
+MARK, UNMARK, BETWEEN = object(), object(), object()
+Writer = Callable[[dict], Iterator]
+
+
+def _writer(node: tuple) -> Writer:
     kind = node[0]
     if kind == "block":
         parts = [_writer(x) for x in node[1]]
 
-        def run(scope: dict, sink: _Sink) -> None:
+        def run(scope: dict) -> Iterator:
             for part in parts:
-                part(scope, sink)
+                yield from part(scope)
 
         return run
     if kind == "const":
-        return lambda scope, sink, v=_text(node[1]): sink.write(v)
+        fixed = (_text(node[1]),)
+        return lambda scope: fixed
     if kind == "output":
         of = _value(node[1])
-        return lambda scope, sink: sink.write(_text(of(scope)))
+        return lambda scope: (_text(of(scope)),)
     if kind == "set":
         of = _value(node[2])
-        return lambda scope, sink, k=node[1]: scope.__setitem__(k, of(scope))
+
+        def put(scope: dict) -> Iterator:
+            scope[node[1]] = of(scope)
+            return ()
+
+        return put
     if kind == "if":
         test, a, b = _value(node[1]), _writer(node[2]), _writer(node[3])
-        return lambda scope, sink: a(scope, sink) if test(scope) else b(scope, sink)
+        return lambda scope: a(scope) if test(scope) else b(scope)
     if kind == "generation":
         body = _writer(node[1])
 
-        def mark(scope: dict, sink: _Sink) -> None:
-            start = sink.length
-            body(scope, sink)
-            sink.spans.append((start, sink.length))
+        def mark(scope: dict) -> Iterator:
+            yield MARK
+            yield from body(scope)
+            yield UNMARK
 
         return mark
     items, body, name = _value(node[2]), _writer(node[3]), node[1]
 
-    def loop(scope: dict, sink: _Sink) -> None:
-        all_items, start = list(items(scope) or ()), int(scope.get("first_index") or 0)
-        for k, x in enumerate(all_items):
-            at = start + k
-            body(scope | {name: x, "loop": {"index0": at, "index": at + 1, "first": at == 0}}, sink)
+    def loop(scope: dict) -> Iterator:
+        given = items(scope)
+        ahead = iter(given if isinstance(given, (list, tuple, str, dict, Turns)) else ())
+        at, item = 0, next(ahead, MARK)
+        while item is not MARK:
+            after = next(ahead, MARK)
+            yield from body(scope | {name: item, "loop": {"index0": at, "index": at + 1, "first": at == 0, "last": after is MARK}})
+            if isinstance(given, Turns):
+                yield BETWEEN
+            at, item = at + 1, after
 
     return loop
 
 
+def _uses(node, name: str, looped: bool = False) -> list[bool]:
+    """For each use of the name: whether it is the list of a loop that itself stands in no loop."""
+    if not isinstance(node, (tuple, list)) or not node or node[0] == "const":
+        return []
+    if isinstance(node, tuple) and node[0] == "name":
+        return [False] if node[1] == name else []
+    if isinstance(node, tuple) and node[0] == "for":
+        own = [not looped] if node[2] == ("name", name) else _uses(node[2], name, looped)
+        return own + _uses(node[3], name, True)
+    return [u for x in node for u in _uses(x, name, looped)]
+
+
 class Template:
     """A compiled template; ``render(values)`` gives (text, spans under generation markers)."""
 
     def __init__(self, source: str):
-        self.tree = fold(parse(source))
-        self._write = _writer(self.tree)
+        try:
+            self.tree = fold(parse(source))
+            self._write = _writer(self.tree)
+            #: Whether the messages are looped over once and used nowhere else, so that they can be forgotten.
+            self.streams = _uses(self.tree, "messages") == [True]
+        except RecursionError as e:
+            raise TemplateError("the template is nested too deeply") from e
+
+    def events(self, values: dict) -> Iterator:
+        """What the template writes, in order: texts, MARK, UNMARK and BETWEEN."""
+        try:
+            yield from self._write(dict(values))
+        except RecursionError as e:
+            raise TemplateError("the template is nested too deeply") from e
+
+    def segments(self, values: dict, most_turns: int | None = None, most_chars: int | None = None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """One rendering in pieces (text, spans), cut between messages where one has got that long."""
+        pieces, length, spans, starts, turns = [], 0, [], [], 0
+        for e in self.events(values):
+            if e is MARK:
+                starts.append(length)
+            elif e is UNMARK:
+                spans.append((starts.pop(), length))
+            elif e is BETWEEN:
+                turns += 1
+                if not starts and ((most_turns and turns >= most_turns) or (most_chars and length >= most_chars)):
+                    yield "".join(pieces), spans
+                    pieces, length, spans, turns = [], 0, [], 0
+            else:
+                pieces.append(e)
+                length += len(e)
+        if pieces or spans:
+            yield "".join(pieces), spans
 
     def render(self, values: dict) -> tuple[str, list[tuple[int, int]]]:
-        sink = _Sink()
-        self._write(dict(values), sink)
-        return "".join(sink.pieces), sink.spans
+        return next(self.segments(values), ("", []))
 
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -388,40 +483,32 @@ CHAT_TEMPLATE = (
     "{% set start = '<|im_' ~ 'start|>' %}{% for m in messages %}{{ start }}{{ m.role | escape_line }}{{ '\\n' }}"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}<|im_end|>{{ '\\n' }}{% endfor %}"
 )
-#: Turns and characters of a segment, from which on the next begins.
+#: Turns and characters of an output row, from which on the next begins; the rendering goes on over all of them.
 SEGMENT_TURNS, SEGMENT_CHARS = 64, 1_000_000
 
 FORMATTED = "conv_id bigint, segment bigint, text string, mask array<struct<start:bigint,end:bigint>>"
 _ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("text", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[dict]]]:
+    """(conv_id, its messages) of sorted rows; messages that were not asked for are passed over."""
+    rows = ((c, {"role": role or "", "text": text or ""}) for batch in batches for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))))
+    return ((conv, (m for _, m in mine)) for conv, mine in itertools.groupby(rows, key=lambda r: r[0]))
+
+
 def _format(source: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(source)
-        conv, segment, seen, held, size = None, 0, 0, [], 0
-
-        def close() -> dict:
-            nonlocal segment, seen, held, size
-            text, spans = template.render({"messages": held, "first_index": seen})
-            row = {"conv_id": conv[0], "segment": segment, "text": text, "mask": [{"start": a, "end": b} for a, b in spans]}
-            segment, seen, held, size = segment + 1, seen + len(held), [], 0
-            return row
-
-        for batch in batches:
-            rows = []
-            for conv_id, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if conv != (conv_id,):
-                    if held:
-                        rows.append(close())
-                    conv, segment, seen = (conv_id,), 0, 0
-                held.append({"role": role or "", "text": text or ""})
-                size += len(text or "")
-                if len(held) >= SEGMENT_TURNS or size >= SEGMENT_CHARS:
-                    rows.append(close())
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        template, held, size = Template(source), [], 0
+        for conv, messages in _conversations(batches):
+            turns = Turns(messages, forget=template.streams)
+            for n, (text, spans) in enumerate(template.segments({"messages": turns}, SEGMENT_TURNS, SEGMENT_CHARS)):
+                held.append({"conv_id": conv, "segment": n, "text": text, "mask": [{"start": a, "end": b} for a, b in spans]})
+                size += len(text)
+                if size >= SEGMENT_CHARS:
+                    yield pa.RecordBatch.from_pylist(held, _ARROW)
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist([close()], _ARROW)
+            yield pa.RecordBatch.from_pylist(held, _ARROW)
 
     return run
 
@@ -430,7 +517,9 @@ def format_conversations(conversations: DataFrame, template: str = CHAT_TEMPLATE
     """Formatted conversations in segments: conv_id, segment (from 0), text, mask (spans of text in code points).
 
     Rows of a conversation are taken by turn, nulls first; ties by role and text. They stream through one sorted
-    partition, so a conversation of any length needs the memory of one segment; its text is the segments' in order.
+    partition and one rendering, whose text is the segments' in order. A template that loops over ``messages`` once and
+    uses them nowhere else needs the memory of one segment, however long a conversation is; any other holds the
+    messages of one conversation.
     Null texts and roles count as empty; rows without conv_id are a conversation of their own; repeated rows are turns
     of their own; an empty table gives an empty result; other columns are not looked at.
     """
