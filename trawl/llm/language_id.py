@@ -1,8 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
 The network reads a text in windows of WINDOW bytes, forwards and backwards, and gives every byte position a
-probability for each language; the mean over all positions of the whole text is the document's. It is trained by
-backpropagation through time on a bounded sample of labelled windows, equally many for each language.
+probability for each language; the mean over all positions of the whole text is the document's. Its state starts anew
+in each window, and its gates use a piecewise linear sigmoid. It is trained by backpropagation through time on a
+bounded sample of labelled windows from all over the sampled texts, equally many for each language.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from trawl.llm.common import byte_view, crc_remainder, crc_remainder_column
 
 WINDOW, HIDDEN = 96, 16
-#: Training: documents sampled at most, unless that is fewer than LEAST_DOCS for each language; characters taken at one
-#: place of each.
-SAMPLE_DOCS, LEAST_DOCS, SAMPLE_CHARS = 4000, 40, 400
+#: Training: documents sampled at most, unless that is fewer than LEAST_DOCS for each language, and windows of WINDOW
+#: characters taken from each, one from each of so many equal parts of its text.
+SAMPLE_DOCS, LEAST_DOCS, PLACES = 4000, 40, 6
 STEPS, BATCH, RATE = 200, 160, 0.012
 #: Windows that a task reads at a time.
 LANES = 2048
@@ -194,9 +195,10 @@ def _matrix(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list:
-    """Rows (text, lang): SAMPLE_CHARS characters at a place set by the id's hash, about as many for each language.
+    """Rows (texts, lang): PLACES windows from all over each sampled text, about as many texts for each language.
 
-    Only rows whose crc32(doc_id as text) mod 3 is not 1. Each row's key is uniform times its language's count, so
+    The parts of a text are equally long; the window's place in its part is set by the id's hash. A text of fewer than
+    PLACES windows is taken whole. Only rows whose crc32(doc_id as text) mod 3 is not 1. Each row's key is uniform times its language's count, so
     the smallest keys hold the languages evenly; every language is learned. A language with few rows gives
     all of them, and the others don't fill its share.
     """
@@ -207,11 +209,15 @@ def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list:
     most = max(most, LEAST_DOCS * len(counts))
     count = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) + 1) / 1_000_004
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
+    # the length is taken as a column of its own: substring in a lambda would count it again for every part
+    part = F.floor(F.col("length") / PLACES)
+    shift = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.greatest(part - WINDOW, F.lit(0)) + 1)
+    whole = F.col("length") <= PLACES * WINDOW
+    places = F.when(whole, F.array(F.col("text"))).otherwise(F.array(*[F.substr("text", (part * k + shift + 1).cast("int"), F.lit(WINDOW)) for k in range(PLACES)]))
     # keys lie evenly at one a unit in every language, so twice the wanted rows, and no more, pass this
     near = rows.filter(F.col("lang").isin(list(counts))).withColumn("key", uniform * count).filter(F.col("key") <= 2 * most / len(counts))
-    picked = near.select("key", "doc_id", "lang", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    return picked.orderBy("key", "doc_id", "lang", "text").limit(most).collect()
+    picked = near.withColumn("length", F.length("text")).select("key", "doc_id", "lang", places.alias("texts"))
+    return picked.orderBy("key", "doc_id", "lang", "texts").limit(most).collect()
 
 
 def train(docs: DataFrame) -> BiGru | None:
@@ -222,11 +228,9 @@ def train(docs: DataFrame) -> BiGru | None:
         return None
     number, windows, labels = {k: i for i, k in enumerate(languages)}, [], []
     for r in rows:
-        data = r["text"].encode()
-        for k in range(0, len(data), WINDOW):
-            if len(data) - k >= 16 or k == 0:
-                windows.append(data[k : k + WINDOW])
-                labels.append(number[r["lang"]])
+        for data in map(str.encode, r["texts"]):
+            windows += [data[k : k + WINDOW] for k in range(0, len(data), WINDOW)]
+            labels += [number[r["lang"]]] * -(-len(data) // WINDOW)
     net = BiGru(languages)
     return net.fit(windows, np.array(labels)) if len(languages) > 1 else net
 
