@@ -88,6 +88,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
                 hs = np.bincount(slot, h, count * BINS).reshape(count, BINS).cumsum(1)
                 gt, ht = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + RIDGE) + (gt - gs) ** 2 / (ht - hs + RIDGE) - gt**2 / (ht + RIDGE)
+                gain = np.round(gain, 9)  # equal splits tie whatever the order of the rows; the first feature and cut win
                 gain[(hs < LEAST / 8) | (ht - hs < LEAST / 8)] = -1
                 gain = gain[:, : len(edges[f])]
                 cut = gain.argmax(1)
