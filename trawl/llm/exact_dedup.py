@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -15,7 +15,7 @@ from trawl.llm.common import byte_view
 COLUMNS = "doc_id bigint, h128 binary, text_sha256 string"
 
 
-def _hashed(with_text: bool):
+def _hashed(with_text: bool, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_view(batch.column(1))
@@ -24,7 +24,7 @@ def _hashed(with_text: bool):
             spans = [view[i:j] for i, j in zip(ends, ends[1:])]
             out = [
                 batch.column(0).cast(pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s) for s in spans], pa.binary()),
+                pa.array([digest(s) for s in spans], pa.binary()),
                 pa.array([hashlib.sha256(s).hexdigest() for s in spans], pa.string()),
             ]
             names = ["doc_id", "h128", "text_sha256"]
@@ -36,25 +36,26 @@ def _hashed(with_text: bool):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays (``kept``). The texts are grouped by (128-bit hash, bytes): Spark compares the bytes of group
-    keys, so a hash collision makes two groups. Every task folds its copies to one row before the shuffle, so a group
-    of any size moves a row per task; the members meet their group in a join that adaptive execution can split.
+    keys, so a collision of ``digest`` makes two groups. Every task folds its copies to one row before the shuffle, so a
+    group of any size moves a row per task; the members meet their group by the 128-bit hash and the SHA-256 of the
+    bytes, in a join that adaptive execution can split.
 
     Null ids: never kept, and keep_id is null where a whole group has none. Rows that repeat both id and text are one
     document and share its verdict. An empty table gives an empty result; other columns of docs are not looked at.
     """
     pair = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     groups = (
-        pair.mapInArrow(_hashed(True), COLUMNS + ", norm binary")
+        pair.mapInArrow(_hashed(True, digest), COLUMNS + ", norm binary")
         .groupBy("h128", "text_sha256", "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h128", "text_sha256", "keep_id", "group_size")
     )
-    members = pair.mapInArrow(_hashed(False), COLUMNS)
+    members = pair.mapInArrow(_hashed(False, digest), COLUMNS)
     return members.join(groups, ["h128", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )
