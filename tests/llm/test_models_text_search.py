@@ -1,6 +1,7 @@
 """Language ID, quality, HTML extraction, chat formatting and neighbour search: held-out accuracy and brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -83,6 +84,57 @@ def test_every_language_is_sampled(spark):
     assert {r["lang"] for r in sample} == {f"l{k}" for k in range(150)} and len(sample) <= 150 * language_id.LEAST_DOCS
 
 
+def brute_language(net, data):
+    """Mean language probabilities of a text, byte by byte in plain arithmetic."""
+    squash = lambda v: min(1.0, max(0.0, 0.25 * v + 0.5))
+    p, size, total = net.p, language_id.HIDDEN, np.zeros(len(net.languages))
+    for k in range(0, len(data), language_id.WINDOW):
+        window, states = data[k : k + language_id.WINDOW], {}
+        for way, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h = [0.0] * size
+            for t in order:
+                inner = {g: [float(p[f"u{g}{way}"][:, j].astype(float) @ np.array(h)) for j in range(size)] for g in "zrn"}
+                given = {g: p[f"x{g}{way}"][window[t]] for g in "zrn"}
+                z, r = ([squash(given[g][j] + inner[g][j]) for j in range(size)] for g in "zr")
+                n = [np.tanh(given["n"][j] + r[j] * inner["n"][j]) for j in range(size)]
+                h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(size)]
+                states[way, t] = np.array(h)
+        for t in range(len(window)):
+            e = np.exp(states["f", t] @ p["of"].astype(float) + states["b", t] @ p["ob"].astype(float) + p["bias"])
+            total += e / e.sum()
+    return total / max(len(data), 1)
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The whole query on a small table: what is learned, and every document's verdict."""
+    rng = random.Random(5)
+    rows = [(k, spoken(rng, lang, rng.randint(1, 40)), lang) for k in range(60) for lang in [list(ALPHABETS)[k % 3]]]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "12 !?", "aa"), (103, "x", None), (104, "日本" * 40, "jj"), (105, "abcde " * 300, "aa")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    net = language_id.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert net.languages == sorted({lang for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 3 != 1})
+    got = {r["doc_id"]: r for r in registry.op8_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        r, means = got[i], brute_language(net, (t or "").encode())
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not any(map(str.isalpha, t or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["score"] == pytest.approx(means.max(), abs=1e-3) and r["score"] == pytest.approx(means[net.languages.index(r["lang_pred"])], abs=1e-3)
+
+
+def test_windows_come_from_all_over_a_text(spark):
+    long = "".join(chr(0x4E00 + k) for k in range(6000))
+    texts = language_id.training_sample(docs(spark, [(k, long if k % 2 else "short text", "aa") for k in range(12)]))
+    for r in texts:
+        if len(r["texts"]) == 1:
+            assert r["texts"] == ["short text"]
+        else:
+            assert len(r["texts"]) == language_id.PLACES and all(len(x) == language_id.WINDOW for x in r["texts"])
+            assert [long.index(x) // 1000 for x in r["texts"]] == list(range(language_id.PLACES))
+
+
 def test_languages_of_the_given_table(spark, sf_dir):
     got = registry.op8_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
     share = got.filter("held_out AND n_chars > 100").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a")).first()["a"]
@@ -128,6 +180,81 @@ def test_quality(spark):
     assert [r["score"] for r in none] == [0.5] * 3 and quality.quality_scores(docs(spark, []), labels).count() == 0
 
 
+def brute_statistics(text):
+    """The statistics of a text, counted one by one."""
+    data = (text or "").encode()
+    n = max(len(data), 1)
+    words = [w for w in data.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").split(b" ") if w]
+    lines, w = data.split(b"\n"), max(len(words), 1)
+    letters, capitals = sum(chr(b).isascii() and chr(b).isalpha() for b in data), sum(65 <= b <= 90 for b in data)
+    out = [math.log(1 + len(data)), math.log(1 + len(words)), letters / n, sum(b > 127 for b in data) / n, capitals / max(letters, 1), sum(48 <= b <= 57 for b in data) / n, sum(b in b" \t\n\r\x0b\x0c" for b in data) / n]
+    out += [sum(len(x) for x in words) / w, max([len(x) for x in words], default=0), len({*words}) / w, sum(words[k] == words[k + 1] for k in range(len(words) - 1)) / w, sum(x.isupper() for x in words) / w, sum(x[-1:] in (b".", b"!", b"?") for x in words) / w]
+    out += [sum(len(x) < 4 for x in words) / w, sum(x[:1].isupper() for x in words) / w, len(lines) / n, len({*lines}) / len(lines), max(len(x) for x in lines) / n, len(zlib.compress(data, 1)) / n]
+    return out + [sum(b == s[0] for b in data) / w for s in quality.SYMBOLS]
+
+
+def brute_boost(x, y):
+    """Scores of boosted trees that are grown node by node from lists of rows; returns a function of statistics."""
+    n, width = len(x), len(x[0])
+    columns = np.array(x).T
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS)[1:-1])) for c in columns]
+    base = math.log(np.clip(np.mean(y), 1e-4, 1 - 1e-4) / (1 - np.clip(np.mean(y), 1e-4, 1 - 1e-4)))
+    score, trees = np.full(n, base), []
+
+    def grow(rows, g, h, depth):
+        if depth == quality.DEPTH:
+            return quality.RATE * g[rows].sum() / (h[rows].sum() + quality.RIDGE)
+        best = (1e-9, None)
+        for f in range(width):
+            for e in edges[f]:
+                left = rows[columns[f][rows] <= e]
+                hl, hr = h[left].sum(), h[rows].sum() - h[left].sum()
+                if min(hl, hr) < quality.LEAST / 8:
+                    continue
+                gl, gr = g[left].sum(), g[rows].sum() - g[left].sum()
+                gain = gl**2 / (hl + quality.RIDGE) + gr**2 / (hr + quality.RIDGE) - (gl + gr) ** 2 / (hl + hr + quality.RIDGE)
+                gain = round(gain, 9)
+                if gain > best[0]:
+                    best = (gain, (f, e))
+        if best[1] is None:
+            return grow(rows, g, h, quality.DEPTH)
+        f, e = best[1]
+        return (f, e, grow(rows[columns[f][rows] <= e], g, h, depth + 1), grow(rows[columns[f][rows] > e], g, h, depth + 1))
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(quality.TREES):
+        p = 1 / (1 + np.exp(-score))
+        trees.append(grow(np.arange(n), y - p, p * (1 - p), 0))
+        score = score + [walk(trees[-1], row) for row in x]
+    return lambda row: 1 / (1 + math.exp(-(base + sum(walk(t, row) for t in trees))))
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """The whole query on a small table: statistics, trees and scores."""
+    rng, rows, marks = random.Random(6), [], []
+    for k in range(90):
+        good = rng.random() < 0.6
+        words = [rng.choice(["river", "Stone,", "cloud", "walks.", "é"] if good or rng.random() < 0.3 else ["BUY!!", "$$$", "12", "click|here"]) for _ in range(rng.randint(5, 60))]
+        rows.append((k, rng.choice([" ", "\n", " "]).join(words), None))
+        marks.append((k, int(good), 0))
+    rows += [(900, None, None), (901, "", None), (902, "z\n" * 500, None), (None, "river walks.", None), (5, rows[5][1], None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*marks, (6, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    label = {i: q for i, q, _ in marks}
+    taught = [(t, label[i]) for i, t, _ in rows if i in label and zlib.crc32(str(i).encode()) % 3 != 1]
+    score = brute_boost([brute_statistics(t) for t, _ in taught], np.array([q for _, q in taught], float))
+    got = registry.op6_quality(spark, str(tmp_path)).collect()
+    want = {i: score(brute_statistics(t)) for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_quality_of_the_given_table(spark, sf_dir):
     got = registry.op6_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out")
     share = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("a")).first()["a"]
