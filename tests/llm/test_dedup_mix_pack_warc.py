@@ -168,6 +168,36 @@ def test_mixing(spark):
     assert out.columns == table.columns and out.count() == sum(r["copies"] for r in got)
 
 
+def test_running_sums(spark):
+    rng, rows = random.Random(3), []
+    for g in ("a", "b", None, "c"):
+        rows += [(g, k, rng.randint(0, 9)) for k in range({"a": 900, None: 300}.get(g, 5))]  # one group holds most rows
+    rng.shuffle(rows)
+    got = mixing.running(spark.createDataFrame(rows, "g string, k int, n bigint"), ["g"], [F.col("k").desc()], {"before": F.col("n"), "place": F.lit(1)}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ahead = [n for g, k, n in rows if g == r["g"] and k > r["k"]]
+        assert (r["before"], r["place"]) == (sum(ahead), len(ahead))
+    plain = mixing.running(spark.createDataFrame(rows, "g string, k int, n bigint"), [], [F.col("g").asc_nulls_last(), F.col("k").asc()], {"place": F.lit(1)})
+    assert sorted(r["place"] for r in plain.collect()) == list(range(len(rows)))
+
+
+def test_many_sources(spark):
+    rows = [(k, "w " * (k % 7 + 1), f"s{k % 250}") for k in range(2000)]
+    sizes, targets = {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for r in mixing.mix_sources(docs(spark, rows)).collect():
+        targets[r["source"]] = r["target"]
+    assert targets == pytest.approx(brute_targets(sizes))
+
+
+def test_unmet_constraints_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix_sources(docs(spark, [(k, "w " * (k + 1), "ab"[k % 2]) for k in range(40)]))
+
+
 def test_mixing_runs_without_python(spark):
     plan = mixing.mix_sources(docs(spark, CASES))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

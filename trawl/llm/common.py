@@ -55,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(doc_id: Column, sha: Column) -> Column:
     """One key of a row's id, which may be null or repeated, and its text's digest."""
     return F.concat_ws("/", sha, F.coalesce(doc_id.cast("string"), F.lit("")))

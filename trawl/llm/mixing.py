@@ -9,19 +9,23 @@ method on the convex dual finds the lambdas; every iteration is a distributed ag
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import materialise
+from trawl.llm.common import materialise, quoted
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-#: Newton steps at most, and the relative miss of a token constraint at which they end.
-STEPS, TOLERANCE = 30, 1e-6
+#: Newton steps at most, the relative miss of a token constraint at which they end, and the digits of a tilt kept.
+STEPS, TOLERANCE, DIGITS = 100, 1e-6, 10
 #: Documents of equal source and size are ranked in groups of about so many.
 RANK_GROUP = 4096
+#: Running sums are whole numbers of this fraction of a copy: they don't depend on how rows are dealt to tasks.
+UNIT = 1 << 20
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -31,6 +35,31 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums of all rows before each one, within its group: columns of the names in ``sums``.
+
+    df is dealt to ranges of (group, order), whatever the size of a group. Within a range windows add up; what stands
+    before a range are the totals of those before it, one row for each range and group in it. Sums of whole numbers
+    are exact; order and group must tell rows apart.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g).asc_nulls_last() for g in group]
+    ranged = df.repartitionByRange(n, *keys, *order) if group or order else df
+    dealt = materialise(ranged.withColumn("range__", F.spark_partition_id()), "mix-ranges")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = ahead(Window.partitionBy("range__", *group).orderBy(*order))
+    within = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{k}__") for k, c in sums.items()])
+    totals = dealt.groupBy("range__", *group).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    ranges = ahead(Window.partitionBy(*(group or [F.lit(0)])).orderBy("range__"))  # a row for each range (and group in it)
+    bases = totals.select(F.col("range__").alias("of__"), *[F.col(g).alias(f"{g}__g") for g in group], *[F.coalesce(F.sum(k).over(ranges), F.lit(0)).alias(f"{k}__b") for k in sums])
+    same = F.col("range__") == F.col("of__")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}__g"))
+    joined = within.join(bases, same)
+    return joined.select(*df.columns, *[(F.col(f"{k}__") + F.col(f"{k}__b")).alias(k) for k in sums])
+
+
 def source_targets(hist: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
     """source, source_size, target from the counts of (source, size, n).
 
@@ -39,18 +68,19 @@ def source_targets(hist: DataFrame, weights: tuple = WEIGHTS, share: float = SHA
     level is that of the first source in this order which stays below its cap.
     """
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    capped = totals.withColumn("weight", pick).withColumn("cap", (F.col("source_size") * MOST_COPIES).cast("double"))
-    by_level = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    budget = F.sum("source_size").over(everything) * F.lit(float(share))
-    filled = F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    leveled = capped.withColumn("level", (budget - filled) / open_weight)
+    placed = running(totals, [], [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    capped = placed.select("source", "source_size", pick.alias("weight"), (F.col("source_size") * MOST_COPIES).alias("cap"))
+    whole = capped.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if whole["size"] is None:
+        return capped.select("source", "source_size", F.lit(None).cast("double").alias("target"))
+    height = F.col("cap") / F.col("weight")
+    filled = running(capped, [], [height.asc(), F.col("source").asc_nulls_last()], {"filled": F.col("cap"), "passed": F.col("weight")})
+    leveled = filled.withColumn("level", (F.lit(whole["size"] * float(share)) - F.col("filled")) / (F.lit(whole["weight"]) - F.col("passed")))
     # the first source whose cap lies above its level sets the level of all after it
-    water = leveled.withColumn("water", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)["level"])
-    return water.select("source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
+    water = leveled.agg(F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(height.alias("height"), "passed", "level")))["level"].alias("water")).first()["water"]
+    target = F.col("cap").cast("double") if water is None else F.least(F.col("cap").cast("double"), F.lit(water) * F.col("weight"))
+    return capped.select("source", "source_size", target.alias("target"))
 
 
 def _rate(tilt: Column, size: Column, scale: Column) -> Column:
@@ -61,7 +91,8 @@ def dual_tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
     """source, scale, tilt: safeguarded Newton on the dual of each source, all sources in each distributed step.
 
     Null where the target is 0 or the full 2 copies: there the rate is that bound itself. Each iterate is a small
-    table of one row a source in the shared folder.
+    table of one row a source in the shared folder. Tilts are rounded, so that the order of sums leaves no trace in
+    them. Raises if the steps end before the constraints are met.
     """
     scales = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
     inside = (F.col("target") > 0) & (F.col("target") < MOST_COPIES * F.col("source_size") * (1 - 1e-12))
@@ -87,8 +118,8 @@ def dual_tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
         )
         state = materialise(new, "mix-tilt")
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= TOLERANCE:
-            break
-    return state
+            return state.withColumn("tilt", F.round("tilt", DIGITS))
+    raise RuntimeError(f"the token constraints are not met after {STEPS} Newton steps")
 
 
 def cell_copies(hist: DataFrame, tilts: DataFrame) -> DataFrame:
@@ -102,10 +133,10 @@ def cell_copies(hist: DataFrame, tilts: DataFrame) -> DataFrame:
     cells = hist.join(tilts.select(F.col("source").alias("of"), "source_size", "target", "scale", "tilt"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     bound = F.when(F.col("target") > 0, F.lit(float(MOST_COPIES))).otherwise(F.lit(0.0))
     cells = cells.withColumn("expected", F.col("n") * F.coalesce(_rate(F.col("tilt"), F.col("size"), F.col("scale")), bound))
-    down = Window.partitionBy("source").orderBy(F.col("size").desc(), "part")
-    so_far = F.sum("expected").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum("expected").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    cells = cells.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("n") * MOST_COPIES, F.floor(so_far + 0.5) - F.floor(before + 0.5))).cast("bigint"))
+    cells = cells.withColumn("units", F.round(F.col("expected") * UNIT).cast("bigint"))
+    cells = running(cells, ["source"], [F.col("size").desc(), F.col("part")], {"before": F.col("units")})
+    whole = lambda units: F.shiftright(units + UNIT // 2, UNIT.bit_length() - 1)
+    cells = cells.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("n") * MOST_COPIES, whole(F.col("before") + F.col("units")) - whole(F.col("before")))).cast("bigint"))
     # the residual of a source, met by copies more or fewer in one cell of each class of sizes
     cells = cells.withColumn("class", F.floor(4 * F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
     free = (F.col("size") > 0) & F.col("tilt").isNotNull()
@@ -152,9 +183,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE)
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs."""
-    takes = mix.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(takes, docs.doc_id.eqNullSafe(F.col("_of")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
-
+    """The rows of docs as often as the mix takes them, with the columns of docs; names of its columns don't matter."""
+    of, copies, copy = (f"mix_{x}_{uuid.uuid4().hex}" for x in ("of", "copies", "copy"))
+    takes = mix.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(copies)).withColumnRenamed("doc_id", of)
+    joined = docs.join(takes, F.col("doc_id").cast("bigint").eqNullSafe(F.col(of)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*map(quoted, docs.columns))

@@ -10,6 +10,7 @@ enter: the join sees distinct fingerprints only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import byte_view, materialise, row_key
+from trawl.llm.common import byte_view, materialise, quoted, row_key
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -253,5 +254,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
     rows, classes = _classes(given.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, key string"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    keep = rows.join(classes, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").select(*docs.columns)
+    name = f"near_key_{uuid.uuid4().hex}"  # docs may have columns of any name
+    keep = rows.join(classes, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(name))
+    return docs.withColumn(name, key).join(keep, name, "left_semi").select(*map(quoted, docs.columns))
