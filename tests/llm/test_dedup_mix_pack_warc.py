@@ -299,6 +299,19 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages(spark, [])).count() == 0
 
 
+def test_warc_with_many_false_headers(spark, monkeypatch):
+    """Payloads full of record headers, in chains of their own, verified by joins, and records over many buckets."""
+    monkeypatch.setattr(warc, "CANDIDATES", 20)
+    monkeypatch.setattr(warc, "BUCKET", 500)
+    fake = "".join(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" for k in range(70))
+    rows = [(k, "u", f"{fake}{k}" if k % 3 == 0 else "WARC/1.0\r\n" * k) for k in range(30)]
+    got = {r["page_id"]: r for r in warc.warc_round_trip(pages(spark, rows).coalesce(2)).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        assert got[i]["payload_bytes"] == len(h) and got[i]["record_type"] == "response"
+        assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+
+
 def test_warc_minimum(spark):
     got = {r["page_id"]: r["record_type"] for r in warc.warc_round_trip(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]), min_bytes=5).collect()}
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}

@@ -26,8 +26,11 @@ from trawl.llm.common import materialise, scratch_path
 
 MAGIC = "WARC/1.0\r\n"
 CRLF = "\r\n"
-#: An archive holds so many records at most; its candidates, some 100 bytes each, are verified by one task.
-RECORDS_PER_FILE = 20_000
+#: An archive holds so many records at most. Up to CANDIDATES of its candidates, some 100 bytes each, are verified by
+#: one task; of archives with more (payloads can hold any number of record headers), by joins over all tasks.
+RECORDS_PER_FILE, CANDIDATES = 20_000, 200_000
+#: Bytes of an archive that are matched with the records over them at a time.
+BUCKET = 65_536
 #: Revisits up to this number are broadcast to the writer (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -172,6 +175,24 @@ def reachable(start: np.ndarray, follows: np.ndarray, first: int) -> np.ndarray:
     return reach[:n]
 
 
+def reachable_by_joins(candidates: DataFrame) -> DataFrame:
+    """(file, start) of the candidates that the chain from each file's start reaches, by pointer jumping over all tasks.
+
+    Every round doubles how far the jumps reach and adds what they reach from all records found so far; a jump that
+    leads to no candidate ends there. Rounds follow the logarithm of the longest chain.
+    """
+    steps = candidates.select("file", "start", "next")
+    there = candidates.select("file", F.col("start").alias("next"))
+    jumps = materialise(steps.join(there, ["file", "next"], "left_semi").select("file", "start", "next"), "warc-jumps")
+    reached = materialise(candidates.filter(F.col("start") == len(MAGIC)).select("file", "start").distinct(), "warc-reached")
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, ["file", "start"]).select("file", F.col("next").alias("start"))
+        reached = materialise(reached.unionByName(ahead).distinct(), "warc-reached")
+        onward = jumps.select("file", F.col("start").alias("next"), F.col("next").alias("then"))
+        jumps = materialise(jumps.join(onward, ["file", "next"]).select("file", "start", F.col("then").alias("next")), "warc-jumps")
+    return reached
+
+
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("start", kind="stable").reset_index(drop=True)
     # the segment before the first magic line of a file is empty, so its chain starts behind that separator
@@ -192,8 +213,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     before = F.sum("consumed").over(_before())
     bases = ends.select("file", "block", F.coalesce(before, F.lit(0)).cast("bigint").alias("base"))
     placed = found.filter("start IS NOT NULL").join(bases, ["file", "block"])
-    placed = placed.withColumn("start", F.col("start") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).drop("base")
-    records = materialise(placed.groupBy("file").applyInPandas(_verify, placed.schema), "warc-records")
+    placed = materialise(placed.withColumn("start", F.col("start") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).drop("base"), "warc-placed")
+    sizes = placed.groupBy("file").agg(F.count(F.lit(1)).alias("candidates"))
+    crowded = sizes.filter(F.col("candidates") > CANDIDATES).select("file")
+    records = placed.join(crowded, "file", "left_anti").groupBy("file").applyInPandas(_verify, placed.schema)
+    if not crowded.isEmpty():
+        many = placed.join(crowded, "file", "left_semi")
+        records = records.unionByName(many.join(reachable_by_joins(many), ["file", "start"], "left_semi"))
+    records = materialise(records, "warc-records")
     done = records.filter("whole")
     split = records.filter("NOT whole").select("file", F.col("start").alias("first"), F.col("next").alias("last"))
     if not split.isEmpty():
@@ -222,10 +249,14 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(spark: SparkSession, path: str, split: DataFrame, bases: DataFrame) -> DataFrame:
-    """Records that span segments: their segments are grouped by record, so a task holds one record at a time."""
+    """Records that span segments: their segments are grouped by record, so a task holds one record at a time.
+
+    Segments meet the record over them by the bucket of bytes that they start in.
+    """
     pieces = _segments(spark, path).mapInArrow(_offsets, "file string, block bigint, at bigint, data binary")
-    pieces = pieces.join(bases, ["file", "block"]).withColumn("at", F.col("at") + F.col("base"))
-    mine = pieces.join(split, "file").filter("at >= first AND at < last")
+    pieces = pieces.join(bases, ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    over = split.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / BUCKET), F.floor((F.col("last") - 1) / BUCKET))))
+    mine = pieces.join(over, ["file", "bucket"]).filter("at >= first AND at < last")
 
     def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
