@@ -1,8 +1,10 @@
 """The pipeline against a brute-force version of each stage over the smallest documents."""
 
+import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -92,3 +94,65 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert exact.columns == docs.columns and sorted([(r["doc_id"], lower(r["text"])) for r in exact.collect()], key=str) == want
     near = corpus_pipeline.drop_near_copies(spark, exact, "")
     assert near.columns == docs.columns and sorted([(r["doc_id"], lower(r["text"])) for r in near.collect()], key=str) == want
+
+
+CLASHES = ["_keep", "_key", "_of", "_copies", "_copy", "key", "fp", "root", "rank", "copies", "size", "target", "of", "at", "part", "score", "lang_pred", "keep_id", "kept", "h128", "a.b", "length", "task"]
+
+
+def odd_table(spark, rows):
+    """rows of (doc_id, text, lang, source) with further columns named like what stages and operators use inside."""
+    extra = ", ".join(f"`{c}` string" for c in CLASHES)
+    full = [(*r, len(r[1] or ""), *[f"{c}{k}" for c in CLASHES]) for k, r in enumerate(rows)]
+    return spark.createDataFrame(full, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+
+
+def odd_rows():
+    rng = random.Random(3)
+    words = {"aa": "abcde", "bb": "fghij"}
+    said = lambda lang, n: " ".join("".join(rng.choice(words[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(k, said(("aa", "bb")[k % 2], rng.randint(5, 60)), ("aa", "bb")[k % 2], ("s1", "s2", None)[k % 3]) for k in range(60)]
+    rows += [(100, None, "aa", "s1"), (101, "", "bb", "s1"), (None, said("aa", 30), None, None), (None, said("bb", 30), None, "s1"), (102, "a" * 300_000, "aa", "s2"), (103, said("aa", 30_000), "aa", "s1"), (104, "12 34", "aa", "s2")]
+    rows += [rows[3], rows[3], (105, rows[3][1].upper(), "bb", "s2"), (7, said("aa", 20), "aa", "s1")]
+    return rows
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stage_edges(spark, k):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and the empty table, stage by stage."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = odd_rows()
+    docs = odd_table(spark, rows)
+    given = [tuple(r) for r in docs.collect()]
+    out = stage(spark, docs, "")
+    got = [tuple(r) for r in out.collect()]
+    assert stage(spark, docs.limit(0), "").count() == 0
+    if name == "packing":
+        lengths = [len(packing.token_ids(t or "", packing.default_tokenizer())) + 1 for _, t, _, _ in rows]
+        assert sum(r[out.columns.index("length")] for r in got) == sum(lengths)
+        assert {r[0] for r in got} == {r[0] for r in rows}
+        return
+    assert out.columns == docs.columns and set(got) <= set(given)  # every column of every row as it was
+    texts = [r[1] for r in got]
+    if name == "language_id":
+        assert sorted(map(str, got)) == sorted(str(r) for r in given if r[1] and any(map(str.isalpha, r[1])))
+    if name == "exact_dedup":
+        assert sorted(lower(t) for t in texts) == sorted({lower(t) for _, t, _, _ in rows})
+        ids = {lower(r[1]): r[0] for r in got}
+        for text, i in ids.items():
+            known = [x for x, t, _, _ in rows if lower(t) == text and x is not None]
+            assert i == max(known, default=None)
+    if name == "near_dedup":
+        prints = {fingerprint(t) for _, t, _, _ in rows}
+        assert {fingerprint(t) for t in texts} <= prints and len({lower(t) for t in texts}) == len({fingerprint(t) for t in texts})
+        for t in {t for _, t, _, _ in rows}:
+            assert any((fingerprint(t) ^ fingerprint(x)).bit_count() <= 2 for x in texts)
+    if name == "source_mixing":
+        words = lambda t: len((t or "").split())
+        total = sum(words(t) for _, t, _, _ in rows)
+        assert abs(sum(map(words, texts)) - 1.5 * total) <= 0.02 * total + 15_000  # half of the longest document
+        assert all(got.count(r) <= 2 * given.count(r) for r in set(got))
+
+
+def test_language_stage_with_nothing_to_learn(spark):
+    docs = odd_table(spark, [(1, "some text", None, "s")])
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 0

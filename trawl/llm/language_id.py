@@ -273,8 +273,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, net: BiGru | None, least_score: float) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with at least least_score."""
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predict(net)
@@ -284,4 +283,5 @@ def keep_identified(docs: DataFrame, net: BiGru | None, least_score: float) -> D
             keep = [lang != UNKNOWN and score >= least_score for lang, score in zip(found.column(2).to_pylist(), found.column(3).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
