@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from trawl import cli
 from trawl.model import CHANGES, FILES, Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators import index, lines, overlay
-from trawl.operators.search import count_results, search
-from trawl.sources.build import build, build_if_missing, is_stale, report_frame
+from trawl.operators.batch import search_batch
+from trawl.operators.search import count_results, indexed_search, search
+from trawl.sources import walk as walk_module
+from trawl.sources.build import build, build_if_missing, is_stale, report_frame, spawn_build, spawn_if_missing
 from trawl.sources.files import build_report, direct_scan, scan
 from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, status
+from trawl.sources.walk import walk
 from trawl.streaming import changes as streams
 
 
@@ -251,3 +254,211 @@ def test_cli(spark, tmp_path):
     assert "[c]\t" in run("search", "main", "-l") and "noise.log" not in run("search", "noise")
     assert run("status").strip().endswith("fresh")
     assert run("db", "list").startswith("t\t")
+
+
+def odd_bytes(root):
+    """Files that are not UTF-8, beside one that is."""
+    root.mkdir(parents=True, exist_ok=True)
+    for name, data in {"ok.txt": "é needle\n".encode(), "latin.txt": "caf\xe9 needle\n".encode("latin-1"), "cut.txt": "needle 日本".encode()[:-1], "pic.png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR", "short.png": b"\x89PNG\r\n\x1a", "utf16.txt": "needle".encode("utf-16"), "empty.txt": b""}.items():
+        (root / name).write_bytes(data)
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    odd_bytes(tmp_path)
+    found = {r["path"].rpartition("/")[2]: (r["gate"], r["content"]) for r in scan(spark, str(tmp_path)).collect()}
+    assert found["ok.txt"] == ("text", "é needle\n") and found["latin.txt"] == ("text", "caf� needle\n")
+    assert found["cut.txt"] == ("text", "needle 日本".encode()[:-1].decode("utf-8", "replace")) and found["short.png"] == ("text", b"\x89PNG\r\n\x1a".decode("utf-8", "replace"))
+    assert found["pic.png"] == ("binary", None) and found["utf16.txt"] == ("binary", None) and found["empty.txt"] == ("text", "")
+    assert [p.rpartition("/")[2] for p in find(scan(spark, str(tmp_path)), "needle", layers=Layers.CONTENT)] == ["cut.txt", "latin.txt", "ok.txt"]
+    made = build(spark, str(tmp_path), SnapshotStore(spark, f"{tmp_path}/../s_{tmp_path.name}"), index=True)
+    assert (made["content_docs"], made["skipped_binary"], made["denied"]) == (5, 2, 0)
+    touched = spark.createDataFrame([(k, str(p)) for k, p in enumerate(sorted(tmp_path.iterdir()))], "seq int, path string")
+    got = {r["path"].rpartition("/")[2]: r["content"] for r in streams.records_of(touched, str(tmp_path)).collect()}
+    assert got == {k: v[1] for k, v in found.items()}
+
+
+def test_cli_on_files_that_are_not_utf8(spark, tmp_path):
+    odd_bytes(tmp_path / "t")
+
+    def run(*args):
+        out = io.StringIO()
+        cli.main(["--home", str(tmp_path / "home"), *args], spark, out)
+        return out.getvalue()
+
+    run("index", str(tmp_path / "t"), "--name", "t")
+    assert run("search", "needle", "--content", "--count") == "3\n" and run("search", "NEEDLE", "-i", "--count") == "3\n"
+    assert run("search", "needle", "-n", "-e", "txt").count("needle") == 3
+    (tmp_path / "t" / "new.txt").write_text("needle too")
+    (tmp_path / "t" / "latin.txt").unlink()
+    assert run("update", "t") == "2 changed paths\n"
+    assert run("search", "needle", "--content").split() == [f"{tmp_path}/t/{n}.txt" for n in ("cut", "new", "ok")]
+    assert run("update", "t") == "2 changed paths\n"  # nothing new
+
+
+def test_walk_prunes_and_counts(spark, tmp_path):
+    tree(tmp_path)
+    for k in range(30):
+        (tmp_path / f"deep/{'/'.join('abcdefg'[: k % 7 + 1])}/n{k}").mkdir(parents=True)
+    (tmp_path / "deep/a/.gitignore").write_text("b/\n!keep.txt\n*.txt\n")
+    (tmp_path / "deep/a/keep.txt").write_text("x")
+    (tmp_path / "deep/a/n0/keep.txt").write_text("x")
+    (tmp_path / "_odd=1").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path)
+    rows = walk(spark, str(tmp_path)).collect()
+    names = sorted(r["path"][len(str(tmp_path)) + 1 :] for r in rows)
+    assert len(names) == len(set(names)) and "_odd=1" in names and "link" in names and not any(n.startswith("link/") for n in names)
+    assert "node_modules" not in names and ".git" not in names and "deep/a" in names and "deep/a/b" not in names and "deep/a/keep.txt" not in names
+    assert ".git/config" in [r["path"][len(str(tmp_path)) + 1 :] for r in walk(spark, str(tmp_path), hidden=True, use_ignore_files=False).collect()]
+
+
+def test_walk_hands_directories_back(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"d{k % 5}/e{k % 8}/f{k}").mkdir(parents=True)
+        (tmp_path / f"d{k % 5}/e{k % 8}/f{k}/x.txt").write_text("x")
+    (tmp_path / ".gitignore").write_text("f7\n")
+    whole = sorted(map(str, walk(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr("trawl.sources.walk.DIRECTORIES", 3)
+    run = walk_module._walk(str(tmp_path), frozenset(walk_module.SKIP_DIRS), (), False, True)
+    import pyarrow as pa
+
+    waiting, seen = [(str(tmp_path), "[]")], []
+    while waiting:  # the rounds by hand: workers have the module's own number
+        batch = pa.RecordBatch.from_arrays([pa.array([w[0] for w in waiting]), pa.array([w[1] for w in waiting])], ["path", "rules"])
+        rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+        waiting = [(r["path"], r["rules"]) for r in rows if r["denied"] is None]
+        seen += [r["path"] for r in rows if r["denied"] is False]
+    assert sorted(seen) == sorted(r["path"] for r in walk(spark, str(tmp_path)).collect()) and len(whole) == len(seen)
+
+
+def test_denied_directories_are_counted(spark, tmp_path, monkeypatch):
+    run = walk_module._walk(str(tmp_path), frozenset(), (), False, True)
+    (tmp_path / "shut").mkdir()
+    real = walk_module._entries
+
+    def entries(store, path):
+        if path.endswith("shut"):
+            raise PermissionError(path)
+        return real(store, path)
+
+    monkeypatch.setattr(walk_module, "_entries", entries)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(tmp_path)]), pa.array(["[]"])], ["path", "rules"])
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["path"].rpartition("/")[2], r["denied"]) for r in rows) == [("shut", False), ("shut", True)]
+
+
+def test_late_changes_after_a_compaction(spark, tmp_path):
+    over, store = streams.Overlay(spark, f"{tmp_path}/over"), SnapshotStore(spark, f"{tmp_path}/cold")
+    store.publish(table(spark, {"a": "cold", "b": "cold", "c": "cold"}))
+    change = lambda *rows: spark.createDataFrame([(s, op, p, False, 1, s, c) for s, op, p, c in rows], CHANGES)
+    over.apply(change((10, "upsert", "a", "ten"), (11, "delete", "b", None)), 0)
+    assert streams.compact(spark, over, store)
+    over.apply(change((5, "upsert", "late", "five"), (6, "upsert", "a", "six"), (7, "upsert", "b", "seven"), (9, "upsert", "c", "nine")), 1)
+    view = {r["path"]: r["content"] for r in streams.current(over, store.snapshot()).collect()}
+    assert view == {"a": "ten", "c": "nine", "late": "five"}
+    # a batch that comes while a compaction runs stays
+    p = over.pointer()
+    over.apply(change((20, "upsert", "meanwhile", "x")), 2)
+    over.clear(p)
+    assert paths(over.state()) == ["meanwhile"]
+
+
+def test_deltas_are_folded_and_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FOLD_AT", 4)
+    over, want = streams.Overlay(spark, f"{tmp_path}/over"), {}
+    for k in range(11):
+        rows = [(k * 10 + j, "upsert", f"p{(k + j) % 5}", False, 1, 1, f"{k}.{j}") for j in range(3)]
+        over.apply(spark.createDataFrame(rows, CHANGES), k)
+        want |= {r[2]: r[6] for r in rows}
+    assert {r["path"]: r["content"] for r in over.state().collect()} == want and len(over.pointer()["deltas"]) < 4
+    kept = [f for f in over.files.folders(over.root)]
+    assert len(kept) <= 2 * 4 + 1  # the deltas in use and those of the fold before
+
+
+def test_old_versions_are_removed(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/s")
+    made = [store.publish(table(spark, {f"f{k}": "x"})) for k in range(4)]
+    there = {f.rpartition("/")[2] for f in store.files.folders(store.root)}
+    assert there == {m["version"].rpartition("/")[2] for m in made[-2:]} and paths(store.snapshot()) == ["f3"]
+
+
+def test_capture_equals_a_new_scan(spark, tmp_path):
+    root = tmp_path / "t"
+    tree(root)
+    store, log = SnapshotStore(spark, f"{tmp_path}/s"), f"{root}/data/log"
+    build(spark, str(root), store)
+    over = streams.Overlay(spark, f"{tmp_path}/over")
+    (root / "a.rs").write_text("fn other() {}\n")
+    (root / "sub/b.md").unlink()
+    (root / "fresh").mkdir()
+    (root / "fresh/x.txt").write_bytes(b"caf\xe9")
+    for _ in range(2):  # the log lies in the tree: what it holds is no change
+        streams.capture(spark, str(root), streams.current(over, store.snapshot().drop("gate")), log, own=(f"{root}/data",))
+        streams.watch(spark, log, f"{tmp_path}/over", once=True).awaitTermination()
+        view = {r["path"]: r["content"] for r in streams.current(over, store.snapshot().drop("gate")).filter(~F.col("path").startswith(f"{root}/data")).collect()}
+        again = {r["path"]: r["content"] for r in scan(spark, str(root), ignore=[f"{root}/data"]).collect()}
+        assert {k: v for k, v in view.items() if not k.endswith(("/sub", "/fresh"))} == {k: v for k, v in again.items() if not k.endswith(("/sub", "/fresh"))}
+    assert streams.read_changes and spark.read.parquet(log).filter(F.col("path").contains("/data/")).count() == 0
+    assert streams.compact(spark, over, store) and find(store.snapshot(), "other", layers=Layers.CONTENT) == [f"{root}/a.rs"]
+
+
+def test_background_build(spark, tmp_path):
+    tree(tmp_path / "t")
+    store = SnapshotStore(spark, f"{tmp_path}/s")
+    job = spawn_if_missing(spark, str(tmp_path / "t"), store, cap=50)
+    assert job.result(120)["filename_docs"] == 9 and job.done() and spawn_if_missing(spark, str(tmp_path / "t"), store) is None
+    assert store.lock() and spawn_build(spark, str(tmp_path / "t"), store) is None
+    store.unlock()
+    with pytest.raises(Exception):  # noqa: B017
+        spawn_build(spark, str(tmp_path / "t"), SnapshotStore(spark, f"{tmp_path}/u"), nonsense=1).result(60)
+
+
+def test_written_index_equals_scan(spark, tmp_path):
+    rng = random.Random(14)
+    contents = {f"p{k}": None if k % 9 == 0 else "".join(rng.choice("abcAé ") for _ in range(rng.randint(0, 40))) for k in range(80)}
+    files = table(spark, contents)
+    written = index.ContentIndex.build(files.repartition(3), f"{tmp_path}/i")
+    plain = index.content_postings(files).cache()
+    for needle in ["abc", "ab", "a", "é a", "caA", "zzz", "aé", "abca", "Abc", "", "p1"]:
+        for case in (Case.INSENSITIVE, Case.SENSITIVE):
+            want = find(files, needle, layers=Layers.CONTENT, case=case)
+            assert paths(written.search(needle, case is Case.SENSITIVE)) == want
+            for layers in (Layers.CONTENT, Layers.BOTH):
+                request = SearchRequest(needle, opts=Options(layers=layers, case=case))
+                assert [tuple(r) for r in indexed_search(written, request).collect()] == [tuple(r) for r in search(files, request).collect()]
+        if len(needle.encode()) >= 3:
+            assert paths(written.candidates(needle)) == paths(index.candidates(plain, needle))
+            assert written.rarest_trigram(needle).first() == index.rarest_trigram(plain, needle).first()
+    assert sorted(map(tuple, written.frequencies().collect())) == sorted(map(tuple, index.document_frequencies(plain).collect()))
+    plan = written._rows(["616263"])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(trigram" in plan.replace("In(trigram", "EqualTo(trigram")
+
+
+def test_batch_equals_single_searches(spark):
+    rng = random.Random(15)
+    files = table(spark, {"/" + "".join(rng.choice("abcAB/.éΣ_") for _ in range(rng.randint(1, 14))) + str(k): None for k in range(120)})
+    queries = ["a", "ab", "A", "é", "aB", "/a", "1", "12", "b/c", "Σ", "nothing here", "", "_", "a.b", ".A"] + ["".join(rng.choice("abcAB/") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    got = {}
+    for r in search_batch(files, queries).collect():
+        got.setdefault(r["query"], []).append(r["path"])
+    for q in set(queries):
+        assert sorted(got.get(q, [])) == find(files, q, layers=Layers.FILENAME, raw=True), q
+    assert search_batch(files, []).count() == 0
+
+
+def test_match_offsets(spark):
+    files = table(spark, {"a": "éAbab ab", "b": None, "c": "aaaa", "d": ""})
+    got = lambda q, s=False: sorted((r["path"], r["byte_offset"]) for r in lines.match_offsets(files, q, s).collect())
+    assert got("ab") == [("a", 2), ("a", 4), ("a", 7)] and got("ab", True) == [("a", 4), ("a", 7)] and got("aa") == [("c", 0), ("c", 2)] and got("") == []
+
+
+def test_literal_atoms_change_nothing(spark):
+    rng = random.Random(16)
+    files = table(spark, {f"p{k}": "".join(rng.choice("abkKKiİ. \n") for _ in range(rng.randint(0, 12))) for k in range(150)})
+    from trawl.functions.patterns import java_regex
+
+    for pattern in ("abb?", "a+bb", "abk", "[ab]aba", "ab.ba", "bab{2}", r"\bab", "aba*b", "bka", "a b", r"ab\.", "^abb", "aib"):
+        for sensitive in (True, False):
+            want = sorted(r["path"] for r in files.filter(F.col("content").rlike(java_regex(pattern, sensitive))).collect())
+            assert find(files, pattern, layers=Layers.CONTENT, regex=True, case=Case.SENSITIVE if sensitive else Case.INSENSITIVE) == want, pattern

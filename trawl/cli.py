@@ -1,8 +1,9 @@
-"""A thin command line over the API: search, lines, index, db, config, status, direct."""
+"""A thin command line over the API: search, lines, index, update, db, config, status, direct."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 
 from trawl.functions.display import exec_command, highlight, long_line
 from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
+from trawl.operators.index import ContentIndex
 from trawl.operators.lines import render, search_lines
-from trawl.operators.search import search
+from trawl.operators.overlay import overlay_length
+from trawl.operators.search import indexed_search, search, uses_index
 from trawl.sources.build import build, counters
 from trawl.sources.files import direct_scan
-from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, status
+from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, index_path, status
+from trawl.streaming.changes import Overlay, capture, current, watch
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("trawl")
-    p.add_argument("--home", default="/tmp/trawl-home", help="folder of registry, settings and snapshots")
+    p.add_argument("--home", help="folder of registry, settings and snapshots, shared by all executors; on a single machine ~/.trawl")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search")
     s.add_argument("query")
@@ -43,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--name", default="default")
     i.add_argument("--skip", action="append", default=[])
     i.add_argument("--max-file-size", type=int)
-    for flag in ("--force", "--no-content", "--one-file-system", "--hidden"):
+    for flag in ("--force", "--no-content", "--no-index", "--one-file-system", "--hidden"):
         i.add_argument(flag, action="store_true")
     d = sub.add_parser("db")
     d.add_argument("action", choices=["add", "remove", "list"])
@@ -53,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("action", choices=["show", "add", "remove", "list"])
     c.add_argument("pattern", nargs="?")
     sub.add_parser("status")
+    u = sub.add_parser("update", help="take up what has changed on disk since the last build")
+    u.add_argument("name")
     return p
 
 
@@ -72,7 +78,17 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         results = [direct_scan(spark, r, a.query, request.opts, a.scope) for r in roots]
     else:
         chosen = [registry.get(a.db)] if a.db else registry.records
-        results = [s for r in chosen if (s := SnapshotStore(spark, r.path).snapshot()) is not None]
+        lines_only = a.line_number or a.context is not None
+        results, single = [], None
+        for r in chosen:
+            snapshots, over = SnapshotStore(spark, r.path), Overlay(spark, f"{r.path}/overlay")
+            if (cold := snapshots.snapshot()) is None:
+                continue
+            fresh = bool(over.pointer()["deltas"])
+            results.append(current(over, cold.drop("gate"), db=r.name) if fresh else cold.drop("gate"))
+            path = index_path(snapshots.manifest()["version"])
+            if len(chosen) == 1 and not fresh and not lines_only and uses_index(request) and store.exists(path):
+                single = ContentIndex(spark, path)
     if not results:
         raise SystemExit("nothing is indexed yet")
     files = results[0]
@@ -86,7 +102,7 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         for r in render(hits, a.context is not None).orderBy("path", "line_no").toLocalIterator():
             print(r["rendered"], file=out)
         return
-    found = files if a.direct else search(files, request)
+    found = files if a.direct else indexed_search(single, request) if single else search(files, request)
     if a.count:
         print(found.count(), file=out)
         return
@@ -102,6 +118,10 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("trawl").getOrCreate()
+    if not a.home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SystemExit("--home must name a folder that all executors share")
+        a.home = os.path.expanduser("~/.trawl")
     store = FileStore(spark)
     registry_file, settings_file = f"{a.home}/registry.json", f"{a.home}/settings.json"
     registry, settings = Registry.load(store, registry_file), Settings.load(store, settings_file)
@@ -112,12 +132,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         if a.one_file_system:
             print("--one-file-system has no meaning here: object stores have no mounts", file=sys.stderr)
         extra = {"cap": a.max_file_size} if a.max_file_size else {}
-        made = build(spark, a.root, SnapshotStore(spark, at), a.force, db=a.name, skip=tuple(a.skip), ignore=settings.ignore, hidden=a.hidden, content=not a.no_content, **extra)
+        made = build(spark, a.root, SnapshotStore(spark, at), a.force, db=a.name, skip=tuple(a.skip), ignore=settings.ignore, hidden=a.hidden, content=not a.no_content, index=not (a.no_content or a.no_index), **extra)
         if made is None:
             raise SystemExit("another build is running")
         print(counters(made), file=out)
         registry.upsert(Database(a.name, a.root, at))
         registry.save(store, registry_file)
+    elif a.command == "update":
+        r = registry.get(a.name)
+        snapshots, over, log = SnapshotStore(spark, r.path), Overlay(spark, f"{r.path}/overlay"), f"{r.path}/log"
+        if (cold := snapshots.snapshot()) is None:
+            raise SystemExit("nothing is indexed yet")
+        capture(spark, r.root, current(over, cold, db=r.name), log, own=(a.home,), ignore=settings.ignore)
+        watch(spark, log, f"{r.path}/overlay", cold=r.path, once=True).awaitTermination()
+        print(overlay_length(over.state()).first()["paths"], "changed paths", file=out)
     elif a.command == "db":
         if a.action == "add":
             registry.upsert(Database(a.name, a.root, f"{a.home}/snapshots/{a.name}"))

@@ -27,8 +27,6 @@ def glob_match(c: Column, glob: str, by_byte: bool = False) -> Column:
     return c.rlike(glob_regex(glob))
 
 
-#: Escapes that the query dialect has besides punctuation.
-_ESCAPES = set("wWdDsSbBAzntrfvpPxuU0aBQ")
 _POSIX = {"alpha": r"\p{IsAlphabetic}", "digit": "0-9", "alnum": r"\p{IsAlphabetic}0-9", "upper": "A-Z", "lower": "a-z", "space": r"\s", "word": r"\w", "punct": r"\p{Punct}", "xdigit": "0-9A-Fa-f", "cntrl": r"\p{Cntrl}", "blank": r" \t", "print": r"\p{Print}", "graph": r"\p{Graph}"}
 
 

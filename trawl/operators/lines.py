@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.patterns import java_regex, quote
 from trawl.functions.text import ascii_fold, fold_needle, lines
-from trawl.model import SearchRequest
+from trawl.model import Case, Options, SearchRequest
 from trawl.operators.filters import path_filter
 from trawl.operators.search import content_predicate, select_db
 
@@ -37,6 +40,30 @@ def _marked(query: str, request: SearchRequest) -> Column:
     return F.transform(lines(F.regexp_replace(plain, _match_regex(query, request), MARK + "$0")), lambda x: x.contains(MARK))
 
 
+def match_offsets(files: DataFrame, needle: str, sensitive: bool = False) -> DataFrame:
+    """(db, path, byte_offset) of every occurrence of a literal in the contents, from the left and without overlaps.
+
+    Offsets count bytes of UTF-8 from 0. Only contents that hold the literal leave the scan.
+    """
+    rows = files.filter(F.col("content").isNotNull() & content_predicate(needle, Options(case=Case.SENSITIVE if sensitive else Case.INSENSITIVE)))
+    wanted = (needle if sensitive else fold_needle(needle)).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, offsets = [], []
+            for k, data in enumerate(batch.column(2).to_pylist()):
+                data = data if sensitive else data.lower()  # bytes.lower folds A-Z alone
+                found = data.find(wanted)
+                while found >= 0:
+                    at.append(k)
+                    offsets.append(found)
+                    found = data.find(wanted, found + len(wanted))
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(offsets, pa.int64())], ["db", "path", "byte_offset"])
+
+    return rows.select("db", "path", F.encode("content", "UTF-8").alias("data")).mapInArrow(run, "db string, path string, byte_offset bigint")
+
+
 def search_lines(files: DataFrame, request: SearchRequest, context: int | None = None) -> DataFrame:
     """Line hits: db, path, line_no (from 1), text. With context, blocks of up to that many lines on either side.
 

@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 
 from trawl.functions.display import kind_weight
 from trawl.functions.patterns import java_regex
-from trawl.functions.text import ascii_fold, basename, depth, fold_needle
+from trawl.functions.text import ascii_fold, basename, depth, fold_needle, required_literal
 from trawl.model import Layers, Options, PathMode, SearchRequest, Sort
+from trawl.operators.index import ContentIndex
 from trawl.operators.filters import path_filter
 from trawl.plans import boolquery, findexpr
 
+#: Characters of a regular expression's literal from which on it is worth a look of its own.
+ATOM = 3
+
+
+def _regex(subject: Column, pattern: str, sensitive: bool) -> Column:
+    """Whether the pattern is found; a literal that every match holds is looked for first."""
+    found = subject.rlike(java_regex(pattern, sensitive))
+    atom = required_literal(pattern, sensitive)
+    if not atom or len(atom) < ATOM:
+        return found
+    return (subject if sensitive else ascii_fold(subject)).contains(atom) & found
+
 
 def name_predicate(query: str, opts: Options) -> Column:
     """Whether a path matches: regular expression, or boolean query of substrings; malformed ones are one substring."""
@@ -23,7 +36,7 @@ def name_predicate(query: str, opts: Options) -> Column:
     sensitive = opts.case.sensitive(query)
     path = basename(F.col("path")) if opts.path_mode == PathMode.BASENAME else F.col("path")
     if opts.regex:
-        return path.rlike(java_regex(query, sensitive))
+        return _regex(path, query, sensitive)
 
     def term(word: str) -> Column:
         return path.contains(word) if sensitive else F.lower(path).contains(word.lower())
@@ -42,7 +55,7 @@ def content_predicate(query: str, opts: Options) -> Column:
         return F.lit(False)
     sensitive, content = opts.case.sensitive(query), F.col("content")
     if opts.regex:
-        return content.rlike(java_regex(query, sensitive))
+        return _regex(content, query, sensitive)
 
     def term(word: str) -> Column:
         return content.contains(word) if sensitive else ascii_fold(content).contains(fold_needle(word))
@@ -105,13 +118,48 @@ def matches(files: DataFrame, request: SearchRequest) -> DataFrame:
     return merged
 
 
-def search(files: DataFrame, request: SearchRequest) -> DataFrame:
-    """Results of a request over files(db, path, is_dir, size, mtime, content): filtered, then sorted, then limited."""
-    out = matches(files, request)
+def uses_index(request: SearchRequest) -> bool:
+    """Whether the content layer of the request is one literal of three bytes or more."""
+    opts = request.opts
+    plain = not opts.regex and (not opts.boolean_content or boolquery.parse(request.query) is None)
+    return opts.layers != Layers.FILENAME and plain and len(fold_needle(request.query).encode()) >= 3
+
+
+def indexed_matches(index: ContentIndex, request: SearchRequest) -> DataFrame:
+    """``matches`` over the files of a written index: paths are scanned without contents, contents through the index."""
+    if not uses_index(request):
+        return matches(index.docs.drop("doc"), request)
+    opts = request.opts
+    tree = findexpr.parse(opts.expr) if opts.expr else None
+    files = select_db(index.docs.drop("doc"), request.db)
+    keep, meta = path_filter(opts, request.scope), ("db", "path", "is_dir", "size", "mtime")
+    held = index.holding(request.query, opts.case.sensitive(request.query))
+    held = held if request.db is None else held.filter(F.col("db") == request.db)
+    hits = held.filter(keep).select(*meta, F.lit(False).alias("by_name"), F.lit(True).alias("by_content"))
+    if opts.layers == Layers.BOTH:
+        named = files.filter(keep & F.coalesce(name_predicate(request.query, opts), F.lit(False)))
+        hits = hits.unionByName(named.select(*meta, F.lit(True).alias("by_name"), F.lit(False).alias("by_content")))
+    merged = merge_hits(hits)
+    if tree is not None:
+        merged = merged.filter(findexpr.column(tree, reference_times(files, findexpr.references(tree)), opts.byte_glob))
+    return merged
+
+
+def indexed_search(index: ContentIndex, request: SearchRequest) -> DataFrame:
+    """``search`` over the files of a written index."""
+    return ordered(indexed_matches(index, request), request)
+
+
+def ordered(out: DataFrame, request: SearchRequest) -> DataFrame:
     if columns := order_columns(request.opts.sort):
         out = out.orderBy(*columns)
     return out if request.cap is None else out.limit(request.cap)
 
 
+def search(files: DataFrame, request: SearchRequest) -> DataFrame:
+    """Results of a request over files(db, path, is_dir, size, mtime, content): filtered, then sorted, then limited."""
+    return ordered(matches(files, request), request)
+
+
 def count_results(files: DataFrame, request: SearchRequest) -> DataFrame:
     return search(files, request).agg(F.count(F.lit(1)).alias("total"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +11,9 @@ from trawl.functions import display, text
 from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators import filters, index, lines, overlay
 from trawl.operators.batch import search_batch
-from trawl.operators.search import count_results, matches, order_columns, search
+from trawl.operators.search import count_results, indexed_search, matches, order_columns, search
 from trawl.sources import corpora, files
+from trawl.sources.store import SnapshotStore, scratch
 from trawl.streaming import changes as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ FILENAME, CONTENT = Layers.FILENAME, Layers.CONTENT
 add("kind_merge", docs_search("note"), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')"))
 add("kind_merge_the", docs_search("the"), result_sql("contains(lower(path), 'the')", f"contains({LOW}, 'the')"))
 add("name_substr_ci", docs_search("note", layers=FILENAME), result_sql("contains(lower(path), 'note')"))
-add("name_substr_cs", docs_search("note", layers=FILENAME, case=Case.SENSITIVE), result_sql("contains(path, 'note')"))
+add("name_substr_cs", docs_search("ote_1", layers=FILENAME, case=Case.SENSITIVE), result_sql("contains(path, 'ote_1')"))
 add("smart_case_upper", docs_search("Note", layers=FILENAME), result_sql("contains(path, 'Note')"))
 add("force_insensitive", docs_search("NOTE", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note')"))
 add("short_query", docs_search("no"), result_sql("contains(lower(path), 'no')", f"contains({LOW}, 'no')"))
@@ -59,9 +59,11 @@ add("bool_implicit_and", docs_search("note /fr/", layers=FILENAME), result_sql("
 add("bool_or", docs_search("/de/ OR /es/", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(path, '/de/') OR contains(path, '/es/')"))
 add("bool_not", docs_search("note NOT /en/", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note') AND NOT contains(lower(path), '/en/')"))
 add("bool_parens", docs_search("(/de/ OR /es/) AND NOT note", layers=FILENAME, case=Case.INSENSITIVE), result_sql("(contains(path, '/de/') OR contains(path, '/es/')) AND NOT contains(lower(path), 'note')"))
-add("bool_malformed", docs_search("note AND", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'note and')"))
+add("bool_malformed", docs_search("NOT", layers=FILENAME, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'not')"))
 add("bool_content", docs_search("the AND NOT was", layers=CONTENT, case=Case.INSENSITIVE, boolean_content=True), result_sql("false", f"contains({LOW}, 'the') AND NOT contains({LOW}, 'was')"))
 add("content_boolean_literal", docs_search("the and", layers=CONTENT), result_sql("false", f"contains({LOW}, 'the and')"))
+add("raw_literal", docs_search("NOT", layers=FILENAME, raw=True, case=Case.INSENSITIVE), result_sql("contains(lower(path), 'not')"))
+add("lone_term", docs_search("(doc_1)", layers=FILENAME), result_sql("contains(lower(path), 'doc_1')"))
 
 
 def bool_setops(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +77,7 @@ def bool_setops(spark: SparkSession, sf: str) -> DataFrame:
 add("bool_setops", bool_setops, "SELECT path FROM docs WHERE (contains(lower(path), '/de/') OR contains(lower(path), '/es/')) AND NOT contains(lower(path), 'note')")
 
 # -- modes and layers
-add("basename_mode", docs_search("src1", layers=FILENAME, path_mode=PathMode.BASENAME), result_sql("contains(lower(regexp_extract(path, '[^/]*$')), 'src1')"))
+add("basename_mode", docs_search("c", layers=FILENAME, path_mode=PathMode.BASENAME), result_sql("contains(lower(regexp_extract(path, '[^/]*$')), 'c')"))
 add("basename_note", docs_search("note_1", path_mode=PathMode.BASENAME, layers=FILENAME), result_sql("contains(lower(regexp_extract(path, '[^/]*$')), 'note_1')"))
 add("layer_filename", docs_search("en", layers=FILENAME), result_sql("contains(lower(path), 'en')"))
 add("layer_content", docs_search("en", layers=CONTENT), result_sql("false", f"contains({LOW}, 'en')"))
@@ -84,10 +86,12 @@ add("content_cs", docs_search("The", layers=CONTENT), result_sql("false", "conta
 add("content_non_ascii", docs_search("é", layers=CONTENT), result_sql("false", f"contains({LOW}, 'é')"))
 
 # -- regular expressions
-add("name_regex", docs_search("note_[0-9]+5\\.[a-z]+$", layers=FILENAME, regex=True), result_sql("regexp_matches(path, '(?i)note_[0-9]+5\\.[a-z]+$')"))
+add("name_regex", docs_search("note_[0-9]+6\\.[a-z]+$", layers=FILENAME, regex=True), result_sql("regexp_matches(path, '(?i)note_[0-9]+6\\.[a-z]+$')"))
 add("content_regex", docs_search("[a-z]+tion\\s+of", layers=CONTENT, regex=True), result_sql("false", "regexp_matches(content, '(?i)[a-z]+tion[ \\t\\n\\r\\f\\v]+of')"))
 add("regex_alternation", docs_search("/de/|/es/|zzzzzz", layers=FILENAME, regex=True), result_sql("regexp_matches(path, '(?i)/de/|/es/|zzzzzz')"))
 add("regex_both_layers", docs_search("[Nn]ote", regex=True), result_sql("regexp_matches(path, '[Nn]ote')", "regexp_matches(content, '[Nn]ote')"))
+add("regex_literal_atom", docs_search("Ing[a-z]*\\s+the", layers=CONTENT, regex=True, case=Case.SENSITIVE), result_sql("false", "regexp_matches(content, 'Ing[a-z]*[ \\t\\n\\r\\f\\v]+the')"))
+add("regex_atom_insensitive", docs_search("the[a-z]+ wa", layers=CONTENT, regex=True), result_sql("false", "regexp_matches(content, '(?i)the[a-z]+ wa')"))
 add("regex_no_atom", docs_search("[0-9]{5}", regex=True), result_sql("regexp_matches(path, '[0-9]{5}')", "regexp_matches(content, '[0-9]{5}')"))
 
 # -- filters
@@ -153,7 +157,7 @@ add("sort_path_limit", ranked("note", Sort.PATH, 30), ranked_sql("path", 30))
 add("sort_kind", ranked("note", Sort.KIND, 40), ranked_sql(f"{WEIGHT}, path", 40))
 add("limit_zero", docs_search("note", limit=0), result_sql("false"))
 add("count_only", lambda spark, sf: count_results(corpora.docs(spark, sf), SearchRequest("note")), f"SELECT count(*) AS total FROM docs WHERE contains(lower(path), 'note') OR contains({LOW}, 'note')")
-add("count_limited", lambda spark, sf: count_results(corpora.docs(spark, sf), SearchRequest("e", limit=7)), "SELECT CAST(7 AS BIGINT) AS total")
+add("count_limited", lambda spark, sf: count_results(corpora.docs(spark, sf), SearchRequest("e", limit=7)), f"SELECT CAST(least(7, count(*)) AS BIGINT) AS total FROM docs WHERE contains(lower(path), 'e') OR contains({LOW}, 'e')")
 
 # -- lines
 LINES = "line AS (SELECT path, content, unnest(l) AS text, generate_subscripts(l, 1) AS line_no, len(l) AS n FROM (SELECT path, content, CASE WHEN ends_with(content, chr(10)) THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END AS l FROM docs WHERE content <> ''))"
@@ -175,19 +179,37 @@ add("line_context", docs_lines("thand", 1), CONTEXT_BLOCK)
 add("line_render", lambda spark, sf: lines.render(docs_lines("thand")(spark, sf)), f", {LINES} SELECT path, CAST(line_no AS INT) AS line_no, path || ':' || line_no || ':' || text AS rendered FROM line WHERE contains({LOW_TEXT}, 'thand')")
 add("line_count", lambda spark, sf: docs_lines("thand")(spark, sf).agg(F.count(F.lit(1)).alias("total")), f", {LINES} SELECT count(*) AS total FROM line WHERE contains({LOW_TEXT}, 'thand')")
 
+OFFSETS = f"SELECT path, CAST(coalesce(list_sum([strlen(x) for x in l[1:i]]), 0) + (i - 1) * 5 AS BIGINT) AS byte_offset FROM (SELECT path, l, unnest(range(1, len(l))) AS i FROM (SELECT path, string_split({LOW}, 'thand') AS l FROM docs WHERE content IS NOT NULL))"
+add("match_offsets", lambda spark, sf: lines.match_offsets(corpora.docs(spark, sf), "thand").drop("db"), OFFSETS)
+
 # -- building
 TRIGRAMS = "hexed AS (SELECT path, content, hex(encode(" + LOW + ")) AS h FROM docs), gram AS (SELECT DISTINCT path, substr(h, CAST(2 * i + 1 AS BIGINT), 6) AS trigram FROM (SELECT path, h, unnest(range(0, length(h) // 2 - 2)) AS i FROM hexed))"
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
-    """The text gate with low thresholds, so that every verdict occurs."""
+    """The text gate with its defaults on whole texts."""
     d = corpora.docs(spark, sf)
-    data = F.encode("content", "UTF-8")
-    return d.select("path", files.gate(F.col("size"), data, F.col("content"), cap=2000, trigram_limit=500).alias("gate"))
+    return d.select("path", files.gate(F.col("size"), F.encode("content", "UTF-8")).alias("gate"))
+
 
+def gated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate on bytes that are no UTF-8, hold a NUL or are very long, made of every document by its number; and the
+    length of the text that a build keeps, in which every bad byte is one replacement character."""
+    d = corpora.docs(spark, sf).filter(F.col("content").isNotNull()).withColumn("n", F.regexp_extract("path", r"_(\d+)\.", 1).cast("bigint") % 4)
+    data, unit = F.encode("content", "UTF-8"), F.octet_length("content")
+    long = F.encode(F.repeat("content", (F.floor(F.lit(files.SIZE_CAP) / F.greatest(unit, F.lit(1))) + 1).cast("int")), "UTF-8")
+    made = F.when(F.col("n") == 0, F.concat(F.lit(b"caf\xe9 \xff"), data)).when(F.col("n") == 1, F.concat(data, F.lit(b"\x00"))).when((F.col("n") == 2) & (unit > 100_000), long).otherwise(data)
+    rows = d.select("path", made.alias("data"))
+    judged = rows.select("path", "data", files.gate(F.octet_length("data"), F.col("data")).alias("gate"))
+    return judged.select("path", "gate", F.when(F.col("gate") == "text", F.length(files.lossy(F.col("data")))).cast("bigint").alias("chars"))
 
-GATED = f", {TRIGRAMS}, counts AS (SELECT path, count(*) AS n FROM gram GROUP BY path), gate AS (SELECT d.path, CASE WHEN size > 2000 THEN 'large' WHEN coalesce(n, 0) > 500 THEN 'binary' ELSE 'text' END AS gate FROM docs d LEFT JOIN counts c USING (path))"
+
+GATED = f", {TRIGRAMS}, counts AS (SELECT path, count(*) AS n FROM gram GROUP BY path), gate AS (SELECT d.path, CASE WHEN content IS NULL THEN 'unreadable' WHEN size > 1048576 THEN 'large' WHEN contains(substr(content, 1, 8192), chr(0)) THEN 'binary' WHEN coalesce(n, 0) > 20000 THEN 'binary' ELSE 'text' END AS gate FROM docs d LEFT JOIN counts c USING (path))"
 add("text_gate", gated, f"{GATED} SELECT path, gate FROM gate")
+GATED_BYTES = """SELECT path, gate, CASE WHEN gate = 'text' THEN length(content) + CASE n WHEN 0 THEN 6 WHEN 1 THEN 1 ELSE 0 END END AS chars FROM (
+    SELECT path, content, n, CASE WHEN n = 1 AND strlen(content) < 8192 THEN 'binary' WHEN n = 2 AND strlen(content) > 100000 THEN 'large' WHEN strlen(content) > 1048576 THEN 'large' ELSE 'text' END AS gate
+    FROM (SELECT path, content, doc_id % 4 AS n FROM docs WHERE content IS NOT NULL))"""
+add("text_gate_bytes", gated_bytes, GATED_BYTES)
 add("build_report", lambda spark, sf: files.build_report(gated(spark, sf)).drop("denied"), f"{GATED} SELECT count(*) AS filename_docs, count(*) FILTER (gate = 'text') AS content_docs, count(*) FILTER (gate = 'binary') AS skipped_binary, count(*) FILTER (gate = 'large') AS skipped_large FROM gate")
 
 
@@ -205,19 +227,36 @@ add("ignore_globs", kept_paths(ignore=("*.zip", "corpus/de/", "!Note_0.zip", "sr
 add("latest_per_path", lambda spark, sf: corpora.everything(spark, sf).dropDuplicates(["path"]).groupBy("db").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).withColumn("bytes", F.col("bytes").cast("bigint")), "SELECT db, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT db, path, size FROM docs UNION ALL SELECT db, path, size FROM web UNION ALL SELECT db, path, size FROM chat UNION ALL SELECT db, path, size FROM bench UNION ALL SELECT db, path, size FROM parts) GROUP BY db", ("docs", "pages", "chat", "bench", "parts"))
 
 # -- the trigram index
+_WRITTEN: dict[tuple[str, str], str] = {}
+
 
+def written_index(spark: SparkSession, sf: str) -> index.ContentIndex:
+    """The index of the documents, written once for each session and folder, and read by all queries after that."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        path = scratch(spark, "index")
+        index.ContentIndex.build(corpora.docs(spark, sf), path)
+        _WRITTEN[key] = path
+    return index.ContentIndex(spark, _WRITTEN[key])
 
-def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return index.content_postings(corpora.docs(spark, sf))
 
+def indexed(query: str, **opts) -> Query:
+    request = SearchRequest(query, opts=Options(**{"sort": Sort.NONE} | opts))
+    return lambda spark, sf: indexed_search(written_index(spark, sf), request)
 
-add("trigram_df", lambda spark, sf: index.document_frequencies(postings(spark, sf)), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram GROUP BY trigram")
-add("posting_lookup", lambda spark, sf: index.lookup(postings(spark, sf), "746865").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram = '746865'")
+
+add("trigram_df", lambda spark, sf: written_index(spark, sf).frequencies(), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram GROUP BY trigram")
+add("posting_lookup", lambda spark, sf: written_index(spark, sf).lookup("746865").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram = '746865'")
 NEEDLE = "IN (SELECT substr(hex(encode('license')), CAST(2 * i + 1 AS BIGINT), 6) FROM range(0, 5) t(i))"
-add("rarest_trigram", lambda spark, sf: index.rarest_trigram(postings(spark, sf), "License"), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram WHERE trigram {NEEDLE} GROUP BY trigram ORDER BY df, trigram LIMIT 1")
-add("index_candidates", lambda spark, sf: index.candidates(postings(spark, sf), "license").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram {NEEDLE} GROUP BY path HAVING count(*) = 5")
-add("index_search", lambda spark, sf: index.index_search(corpora.docs(spark, sf), postings(spark, sf), "license").select("path"), f"SELECT path FROM docs WHERE contains({LOW}, 'license')")
-add("distinct_trigrams", lambda spark, sf: index.distinct_trigrams(corpora.docs(spark, sf)), f", {TRIGRAMS} SELECT d.path, CAST(coalesce(n, 0) AS INT) AS n_trigrams FROM docs d LEFT JOIN (SELECT path, count(*) AS n FROM gram GROUP BY path) USING (path)")
+add("rarest_trigram", lambda spark, sf: written_index(spark, sf).rarest_trigram("License"), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram WHERE trigram {NEEDLE} GROUP BY trigram ORDER BY df, trigram LIMIT 1")
+add("index_candidates", lambda spark, sf: written_index(spark, sf).candidates("license").select("path"), f", {TRIGRAMS} SELECT path FROM gram WHERE trigram {NEEDLE} GROUP BY path HAVING count(*) = 5")
+add("index_search", lambda spark, sf: written_index(spark, sf).search("license").select("path"), f"SELECT path FROM docs WHERE contains({LOW}, 'license')")
+add("indexed_content_ci", indexed("license", layers=CONTENT), result_sql("false", f"contains({LOW}, 'license')"))
+add("indexed_kind_merge", indexed("note"), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')"))
+add("indexed_sensitive", indexed("License", ext=("rs", "md")), result_sql("contains(path, 'License')", "contains(content, 'License')", f"{EXT} IN ('rs', 'md')"))
+add("indexed_short", indexed("no"), result_sql("contains(lower(path), 'no')", f"contains({LOW}, 'no')"))
+add("postings_without_index", lambda spark, sf: index.document_frequencies(index.content_postings(corpora.docs(spark, sf))), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram GROUP BY trigram")
+add("distinct_trigrams", lambda spark, sf: index.distinct_trigrams_of(corpora.docs(spark, sf)), f", {TRIGRAMS} SELECT d.path, CAST(coalesce(n, 0) AS INT) AS n_trigrams FROM docs d LEFT JOIN (SELECT path, count(*) AS n FROM gram GROUP BY path) USING (path)")
 
 # -- several databases
 add("multi_db_union", lambda spark, sf: search(corpora.overlapping(spark, sf), SearchRequest("note", opts=Options(sort=Sort.NONE))), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')", source="both_dbs"), ("overlapping",))
@@ -248,32 +287,23 @@ add("overlay_lines", lambda spark, sf: lines.search_lines(merged_docs(spark, sf)
 add("overlay_len", lambda spark, sf: overlay.overlay_length(corpora.changes(spark, sf)), " SELECT count(DISTINCT path) AS paths FROM log", LOG)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder in the cluster's shared place for a stream's log, state and checkpoint."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or '/tmp/checkpoints/trawl').rstrip('/')}/overlay-{uuid.uuid4().hex}"
-
-
 def overlay_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same state, gathered by the stream from a log of several files, then merged with the cold rows."""
-    root = scratch(spark)
+    root = scratch(spark, "overlay")
     streams.append_log(_ordered(spark, sf).repartition(3, "seq"), f"{root}/log")
     streams.latest_of_stream(spark, f"{root}/log", f"{root}/overlay")
     return streams.current(streams.Overlay(spark, f"{root}/overlay"), corpora.docs(spark, sf), db="docs").select("path", "content")
 
 
 def _ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """seq from the time and, within one microsecond, the event's number."""
-    c = corpora.changes(spark, sf)
-    first = c.agg(F.min("at.us").alias("m")).first()["m"] or 0
-    return c.withColumn("seq", (F.col("at.us") - first) * 1000 + F.pmod(F.col("at.event_id"), F.lit(1000)))
+    """seq: the place of a change among its path's, by time and then by the event's number."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("at.us", "at.event_id"))
+    return corpora.changes(spark, sf).withColumn("seq", place.cast("bigint"))
 
 
 def overlay_compact(spark: SparkSession, sf: str) -> DataFrame:
     """Log, stream, compaction into a new cold version; the overlay is empty then and the snapshot is the merged view."""
-    from trawl.sources.store import SnapshotStore
-
-    root = scratch(spark)
+    root = scratch(spark, "overlay")
     store, over = SnapshotStore(spark, f"{root}/cold"), streams.Overlay(spark, f"{root}/overlay")
     store.publish(corpora.docs(spark, sf))
     over.apply(_ordered(spark, sf), 0)
@@ -281,6 +311,20 @@ def overlay_compact(spark: SparkSession, sf: str) -> DataFrame:
     return streams.current(over, store.snapshot()).select("path", "content")
 
 
+def overlay_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other change comes after a compaction that has taken up the rest, later ones of the same paths among them."""
+    root = scratch(spark, "overlay")
+    store, over = SnapshotStore(spark, f"{root}/cold"), streams.Overlay(spark, f"{root}/overlay")
+    store.publish(corpora.docs(spark, sf))
+    log = _ordered(spark, sf)
+    late = F.col("at.event_id") % 2 == 1
+    over.apply(log.filter(~late), 0)
+    streams.compact(spark, over, store)
+    over.apply(log.filter(late), 1)
+    return streams.current(over, store.snapshot(), db="docs").select("path", "content")
+
+
+add("overlay_late", overlay_late, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 add("overlay_stream", overlay_stream, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 add("overlay_compact", overlay_compact, f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 

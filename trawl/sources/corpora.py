@@ -54,11 +54,9 @@ def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two databases that share paths."""
-    key = F.regexp_extract("path", r"_(\d+)\.", 1).cast("bigint")
-    a = docs(spark, sf_dir, "docs_a").filter(key % 3 != 0)
-    b = docs(spark, sf_dir, "docs_b").filter(key % 2 == 0)
-    return a.unionByName(b)
+    """Two databases that share all paths; the second one's files are a minute younger."""
+    b = docs(spark, sf_dir, "docs_b")
+    return docs(spark, sf_dir, "docs_a").unionByName(b.withColumn("mtime", F.col("mtime") + 60))
 
 
 def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +69,6 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("bigint").alias("doc_id"), "event_type", "props")
     content = F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.concat("event_type", F.lit(" "), F.coalesce("props", F.lit(""))))
     out = e.join(doc_paths(spark, sf_dir), "doc_id").withColumn("content", content)
-    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id") % 1_000_000
     delete = F.col("event_type") == "error"
     return out.select(
         F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").alias("at"), F.col("event_id").cast("bigint").alias("seq"), F.when(delete, "delete").otherwise("upsert").alias("op"), "path",
@@ -86,6 +83,6 @@ SQL = {
     "chat": "chat AS (SELECT 'chat' AS db, '/chat/' || conv_id || '/' || turn || '_' || role || '.md' AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) AS size, CAST(1700000000 AS BIGINT) AS mtime, text AS content FROM conversations)",
     "bench": "bench AS (SELECT 'bench' AS db, '/bench/item_' || item_id || '.txt' AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) AS size, CAST(1700000000 AS BIGINT) AS mtime, text AS content FROM benchmark)",
     "parts": "parts AS (SELECT 'parts' AS db, '/parts/' || p_brand || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.' || lower(p_type) AS path, false AS is_dir, CAST(p_size AS BIGINT) AS size, CAST(1700000000 AS BIGINT) AS mtime, CAST(NULL AS VARCHAR) AS content FROM part)",
-    "overlapping": f"both_dbs AS (SELECT 'docs_a' AS db, {_DOC_PATH} AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) AS size, 1700000000 + doc_id * 3600 AS mtime, text AS content FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'docs_b', {_DOC_PATH}, false, CAST(strlen(text) AS BIGINT), 1700000000 + doc_id * 3600, text FROM documents WHERE doc_id % 2 = 0)",
+    "overlapping": f"both_dbs AS (SELECT 'docs_a' AS db, {_DOC_PATH} AS path, false AS is_dir, CAST(strlen(text) AS BIGINT) AS size, 1700000000 + doc_id * 3600 AS mtime, text AS content FROM documents UNION ALL SELECT 'docs_b', {_DOC_PATH}, false, CAST(strlen(text) AS BIGINT), 1700000060 + doc_id * 3600, text FROM documents)",
     "changes": "log AS (SELECT e.ts, e.event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, d.path, CASE WHEN event_type = 'view' THEN NULL ELSE event_type || ' ' || coalesce(props, '') END AS content FROM events e JOIN docs d ON d.doc_id = e.user_id)",
 }

@@ -1,4 +1,4 @@
-"""Files from a file system: the binary reader, the text gate, and what is skipped."""
+"""Files from a file system: the text gate, what is skipped, and scans of a tree with contents."""
 
 from __future__ import annotations
 
@@ -6,25 +6,32 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.patterns import IgnoreRule, ignore_rule, ignored
-from trawl.functions.text import ascii_fold, trigrams
+from trawl.functions.text import ascii_fold, trigram_count
+from trawl.sources.walk import SKIP_DIRS, file_system, is_walkable, walk
 
 SIZE_CAP, NUL_WINDOW, TRIGRAM_LIMIT = 1_048_576, 8192, 20_000
-IGNORE_FILES = (".gitignore", ".ignore")
-SKIP_DIRS = ("node_modules", "target", "build", "dist", ".next", "__pycache__", ".venv")
+#: Bytes of contents that a task reads, about.
+READ = 64 << 20
 
 
-def gate(size: Column, data: Column, content: Column, cap: int = SIZE_CAP, trigram_limit: int = TRIGRAM_LIMIT, window: int = NUL_WINDOW) -> Column:
-    """text, binary, large or unreadable: over the cap; a NUL in the first bytes; too many distinct trigrams."""
+def gate(size: Column, data: Column, cap: int = SIZE_CAP, trigram_limit: int = TRIGRAM_LIMIT, window: int = NUL_WINDOW) -> Column:
+    """text, binary, large or unreadable: over the cap; a NUL in the first bytes; too many distinct trigrams.
+
+    It looks at the bytes alone, so data of any encoding gets its verdict. Trigrams are counted only where there are
+    bytes enough for so many.
+    """
     nul = F.contains(F.substring(data, 1, window), F.lit(b"\x00"))
-    return (
-        F.when(data.isNull(), "unreadable").when(size > cap, "large").when(nul, "binary")
-        .when(F.size(trigrams(ascii_fold(content))) > trigram_limit, "binary").otherwise("text")
-    )
+    many = (F.octet_length(data) > trigram_limit + 2) & (trigram_count(data) > trigram_limit)
+    return F.when(data.isNull(), "unreadable").when(size > cap, "large").when(nul, "binary").when(many, "binary").otherwise("text")
+
+
+def lossy(data: Column) -> Column:
+    """Bytes as text; what is not valid UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def in_skipped_dir(path: Column, is_dir: Column, names: tuple[str, ...] = SKIP_DIRS) -> Column:
@@ -50,29 +57,6 @@ def compile_ignores(patterns: list[str], root: str) -> list[IgnoreRule]:
     return [r for p in patterns if (r := ignore_rule(p, root))]
 
 
-def directory_rules(ignore_files: DataFrame, root: str) -> list[IgnoreRule]:
-    """Rules of the .gitignore and .ignore files (path, content) of a tree, each anchored where it lies.
-
-    The files are read on the driver: one small file for a directory that has any; nearer ones come later and so win.
-    """
-    rows = sorted(ignore_files.select("path", "content").collect(), key=lambda r: (r["path"].count("/"), r["path"]))
-    out = []
-    for r in rows:
-        at = r["path"].rpartition("/")[0]
-        inner = at[len(root.rstrip("/")) :].strip("/")
-        for line in (r["content"] or "").splitlines():
-            line, sign = line.strip(), ""
-            if line.startswith("!"):
-                line, sign = line[1:], "!"
-            if not line or line.startswith("#"):
-                continue
-            if inner:
-                line = f"/{inner}{line}" if line.startswith("/") else f"/{inner}/{line}" if "/" in line.rstrip("/") else f"/{inner}/**/{line}"
-            if rule := ignore_rule(sign + line):
-                out.append(rule)
-    return out
-
-
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path, mtime, size of all files under root; contents are not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -92,63 +76,82 @@ def directories(files: DataFrame, root: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max("mtime").alias("mtime")).select("path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"), "mtime")
 
 
-def overlooked(root: str, hidden: bool) -> list[tuple[str, int, int]]:
-    """(path, size, mtime) of the files that Spark's readers pass over: names with a leading dot or underscore on the way.
-
-    Listed on the driver, as Spark lists its inputs. Without hidden, of those with a dot only the ignore files are kept.
-    """
-    store, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    out = []
-    for info in store.get_file_info(pafs.FileSelector(base, recursive=True)):
-        parts = info.path[len(base) :].strip("/").split("/")
-        dotted = [p for p in parts if p.startswith(".")]
-        wanted = hidden or not dotted or (len(dotted) == 1 and parts[-1] in IGNORE_FILES)
-        if info.is_file and wanted and any(p.startswith(("_", ".")) for p in parts):
-            out.append((info.path, info.size, info.mtime_ns // 1_000_000_000))
-    return out
-
-
-def _read_files(root: str, cap: int):
+def _read_files(root: str):
     def run(batches):
-        store, _ = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        store, _ = file_system(root)
         for batch in batches:
             data = []
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path in batch.column(0).to_pylist():
                 try:
-                    data.append(store.open_input_stream(path).read() if size <= cap else None)
+                    with store.open_input_stream(path) as f:
+                        data.append(f.read())
                 except OSError:
                     data.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], ["path", "size", "mtime", "data"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "data"])
 
     return run
 
 
-def scan(spark: SparkSession, root: str, db: str = "default", cap: int = SIZE_CAP, skip: tuple[str, ...] = (), ignore: list[str] | None = None, hidden: bool = False, content: bool = True, use_ignore_files: bool = True) -> DataFrame:
-    """All files and directories under root as files(..., gate): content only where the gate says text.
+def with_contents(spark: SparkSession, root: str, walked: DataFrame, cap: int = SIZE_CAP) -> DataFrame:
+    """Rows of a walk with content and gate: (path, is_dir, size, mtime, content, gate); content only of text.
 
-    Files over the cap are never read: the size limit goes down to the reader. One row per path.
+    Files over the cap are never read. Only paths are dealt out, by the bytes to be read; contents stay where they are
+    read.
     """
-    top = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    raw = reader.load(root).select(_plain("path").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("content").alias("data"))
-    if rest := overlooked(root, hidden):
-        listed = spark.createDataFrame(rest, "path string, size bigint, mtime bigint")
-        raw = raw.unionByName(listed.mapInArrow(_read_files(root, cap), "path string, size bigint, mtime bigint, data binary"))
-    rules = compile_ignores(ignore or [], top)
-    if use_ignore_files:
-        marks = raw.filter(F.regexp_extract("path", r"([^/]*)$", 1).isin(*IGNORE_FILES) & (F.col("size") <= cap))
-        rules = directory_rules(marks.select("path", F.decode("data", "UTF-8").alias("content")), top) + rules
-    relative = F.substr(F.col("path"), F.lit(len(top) + 2))
-    no = F.lit(False)
+    none = F.lit(None).cast("string")
+    rows = walked.filter("NOT denied")
+    read = rows.filter((F.col("size") <= cap) & F.col("regular")).select("path", "size", "mtime")
+    held = read.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    tasks = max(1, min(held["n"], max(spark.sparkContext.defaultParallelism, -(-(held["bytes"] or 0) // READ))))
+    found = read.repartition(tasks).mapInArrow(_read_files(root), "path string, size bigint, mtime bigint, data binary")
+    verdict = gate(F.col("size"), F.col("data"), cap)
+    texts = found.select("path", F.lit(False).alias("is_dir"), "size", "mtime", "data", verdict.alias("gate")).select("path", "is_dir", "size", "mtime", F.when(F.col("gate") == "text", lossy(F.col("data"))).alias("content"), "gate")
+    reason = F.when(F.col("is_dir"), none).when(F.col("size") > cap, "large").otherwise("unreadable")
+    rest = rows.filter(~((F.col("size") <= cap) & F.col("regular"))).select("path", "is_dir", "size", "mtime", none.alias("content"), reason.alias("gate"))
+    return texts.unionByName(rest)
+
+
+def _by_reader(spark: SparkSession, root: str, cap: int, skip: tuple, ignore: list[str], hidden: bool, content: bool) -> DataFrame:
+    """A scan through Spark's own file reader, for stores that only it can open: names with a leading dot or underscore
+    are not seen, nor are ignore files."""
+    top, no, none = root.rstrip("/"), F.lit(False), F.lit(None).cast("string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = raw.select(_plain("path").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("content").alias("data"))
+    inner_top = _plain_root(top)
+    columns = ("path", no.alias("is_dir"), "size", "mtime")
     if content:
-        small = raw.filter(F.col("size") <= cap).select("path", no.alias("is_dir"), "size", "mtime", F.decode("data", "UTF-8").alias("content"), gate(F.col("size"), F.col("data"), F.decode("data", "UTF-8"), cap).alias("gate"))
-        large = raw.filter(F.col("size") > cap).select("path", no.alias("is_dir"), "size", "mtime", F.lit(None).cast("string").alias("content"), F.lit("large").alias("gate"))
-        found = small.unionByName(large)
+        small = raw.filter(F.col("size") <= cap).select(*columns, gate(F.col("size"), F.col("data"), cap).alias("gate"), "data")
+        found = small.select("path", "is_dir", "size", "mtime", F.when(F.col("gate") == "text", lossy(F.col("data"))).alias("content"), "gate")
+        found = found.unionByName(raw.filter(F.col("size") > cap).select(*columns, none.alias("content"), F.lit("large").alias("gate")))
+    else:
+        found = raw.select(*columns, none.alias("content"), none.alias("gate"))
+    dirs = directories(raw.select("path", "mtime"), inner_top).select("path", "is_dir", "size", "mtime", none.alias("content"), none.alias("gate"))
+    relative = F.substr(F.col("path"), F.lit(len(inner_top) + 2))
+    return found.unionByName(dirs).filter(kept(relative, F.col("is_dir"), skip, compile_ignores(ignore, inner_top), hidden))
+
+
+def _plain_root(root: str) -> str:
+    import re
+
+    return re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root)
+
+
+def scan(spark: SparkSession, root: str, db: str = "default", cap: int = SIZE_CAP, skip: tuple[str, ...] = (), ignore: list[str] | None = None, hidden: bool = False, content: bool = True, use_ignore_files: bool = True, walked: DataFrame | None = None) -> DataFrame:
+    """All files and directories under root as files(..., gate): content only where the gate says text.
+
+    The tree is listed on the executors (or taken from ``walked``) and its small files are read there; bytes of any
+    encoding are taken. One row per path, without a shuffle of contents.
+    """
+    none = F.lit(None).cast("string")
+    if walked is None and not is_walkable(root):
+        out = _by_reader(spark, root, cap, skip, ignore or [], hidden, content)
     else:
-        found = raw.select("path", no.alias("is_dir"), "size", "mtime", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("gate"))
-    dirs = directories(raw.select("path", "mtime"), top).select("path", "is_dir", "size", "mtime", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("gate"))
-    out = found.unionByName(dirs).filter(kept(relative, F.col("is_dir"), skip, rules, hidden)).dropDuplicates(["path"])
-    return out.select(F.lit(db).alias("db"), "path", "is_dir", "size", "mtime", F.when(F.col("gate") == "text", F.col("content")).alias("content"), "gate")
+        walked = walk(spark, root, skip, ignore, hidden, use_ignore_files) if walked is None else walked
+        if content:
+            out = with_contents(spark, root, walked, cap)
+        else:
+            out = walked.filter("NOT denied").select("path", "is_dir", "size", "mtime", none.alias("content"), none.alias("gate"))
+    return out.select(F.lit(db).alias("db"), "path", "is_dir", "size", "mtime", "content", "gate")
 
 
 def build_report(scanned: DataFrame) -> DataFrame:

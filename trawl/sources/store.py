@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import time
 import uuid
@@ -14,6 +15,33 @@ from pyspark.sql import functions as F
 from trawl.functions.display import status_state
 
 
+LOCAL_SCRATCH = "/tmp/checkpoints/trawl"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of its own on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_SCRATCH
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        FileStore(spark).delete(path)
+    except Exception:  # the session has ended; the shared folder's own clean-up takes it
+        pass
+
+
 class FileStore:
     """Small text files through Hadoop's file system, so driver and executors see the same store."""
 
@@ -64,6 +92,12 @@ class FileStore:
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)
 
+    def folders(self, path: str) -> list[str]:
+        """The folders directly under path."""
+        if not self.exists(path):
+            return []
+        return [s.getPath().toString() for s in self._fs(path).listStatus(self._path(path)) if s.isDirectory()]
+
 
 class SnapshotStore:
     """Versions of a files table under root; MANIFEST.json names the current one."""
@@ -76,15 +110,19 @@ class SnapshotStore:
         return json.loads(text) if text else None
 
     def publish(self, files: DataFrame, facts: Callable[[], dict] = dict) -> dict:
-        """Write files as a new version and point the manifest at it; readers of the old version keep it.
+        """Write files as a new version and point the manifest at it; readers of the version before keep it.
 
-        facts() is asked after the write and goes into the manifest.
+        Versions older than that are removed. facts() is asked after the write and goes into the manifest.
         """
         path = f"{self.root}/v={time.time_ns()}-{uuid.uuid4().hex[:8]}"
         files.write.option("compression", "zstd").parquet(path)
         written = self.spark.read.parquet(path)
-        manifest = {"version": path, "build_time": int(time.time()), "docs": written.count()} | facts()
+        before = self.manifest() or {}
+        manifest = {"version": path, "before": before.get("version"), "build_time": int(time.time()), "docs": written.count()} | facts()
         self.files.replace(f"{self.root}/MANIFEST.json", json.dumps(manifest))
+        if before.get("before"):  # the version just replaced stays for its readers, the one before it goes
+            self.files.delete(before["before"])
+            self.files.delete(index_path(before["before"]))
         return manifest
 
     def snapshot(self) -> DataFrame | None:
@@ -111,6 +149,11 @@ class SnapshotStore:
         return self.files.exists(f"{self.root}/BUILDING")
 
 
+def index_path(version: str) -> str:
+    """Where the content index of a version lies."""
+    return f"{version}.index"
+
+
 @dataclass(frozen=True)
 class Database:
     name: str
