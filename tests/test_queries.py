@@ -53,6 +53,16 @@ def test_entry_imports_without_llm(tmp_path):
     assert said.stdout.split() == ["True", str(len(registry.queries()))]
 
 
+@pytest.mark.parametrize("library", ["xxhash", "tokenizers"])
+def test_entry_imports_without_a_library_of_llm(tmp_path, library):
+    """Without a library that only the training-data operators need, the search queries stay."""
+    (tmp_path / f"{library}.py").write_text(f"raise ImportError('no {library} here', name='{library}')")
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0 and 'kind_merge' in e.queries())"
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == ["True"]
+
+
 def test_nothing_outside_imports_llm():
     for folder, _, names in os.walk(os.path.join(ROOT, "trawl")):
         if os.path.basename(folder) != "llm":
