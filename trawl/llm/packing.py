@@ -224,19 +224,21 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 
 
 def _placed(table: pd.DataFrame):
+    """Adds sequence_id and offset in place of the rank, which is the last column; all others pass as they are."""
     by_length = {k: g.sort_values("first").to_numpy(np.int64) for k, g in table.groupby("length")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lengths, ranks = pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
-            sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            lengths, ranks = batch.column(names.index("length")).to_numpy(), batch.column(len(names)).to_numpy()
+            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
             for length in np.unique(lengths):
                 at, rows = np.nonzero(lengths == length)[0], by_length[length]
                 row = rows[np.searchsorted(rows[:, 1], ranks[at], side="right") - 1]
                 k = ranks[at] - row[:, 1]
                 sequence[at] = row[:, 4] + k // row[:, 3]
                 offset[at] = row[:, 5] + k % row[:, 3] * length
-            yield pdf.drop(columns=["rank"]).assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
@@ -250,6 +252,8 @@ def default_tokenizer() -> str:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 32-bit little-endian).
 
+    With ids, the checksum is that of the ids in their place; without, it is taken when the text is cut.
+
     A document is its ids and end_id; null and empty texts are end_id alone. It is cut only where it is longer than
     capacity. Pieces of repeated rows are packed like any others. An empty table gives an empty result; other columns
     of docs are not looked at. The tokenised pieces are written once to the shared folder, so a lost task can't
@@ -257,16 +261,18 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """
     spark = docs.sparkSession
     pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = PIECES if with_ids else T.StructType([f for f in PIECES if f.name != "ids"])
+    kept = T.StructType([f for f in PIECES if f.name != ("ids_crc32" if with_ids else "ids")])
     pieces = materialise(pair.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity, end_id), PIECES).select(*[f.name for f in kept]), "pack-pieces")
     per_task = materialise(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     if not histogram:
-        return spark.createDataFrame([], T.StructType([*[f for f in kept if f.name not in ("task", "nth")], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+        more = [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", *(["ids_crc32"] if with_ids else []))]
+        return spark.createDataFrame([], T.StructType([*[f for f in kept if f.name not in ("task", "nth")], *more]))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("base"))
     meta = pieces.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "task", "nth")
     names = [f for f in kept if f.name not in ("task", "nth")]
     columns = [f.name for f in names]
     schema = T.StructType([*names, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return meta.select(*columns, "rank").mapInPandas(_placed(places(pack_plan(histogram, capacity))), schema)
+    packed = meta.select(*columns, "rank").mapInArrow(_placed(places(pack_plan(histogram, capacity))), schema)
+    return packed.withColumn("ids_crc32", F.crc32("ids")) if with_ids else packed

@@ -35,7 +35,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return op4.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
