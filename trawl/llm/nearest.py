@@ -425,7 +425,7 @@ class _Search:
     """
 
     def __init__(self, k: int, repeats: int, space: Space, ids: np.ndarray, queries: np.ndarray, row: np.ndarray, lists: np.ndarray):
-        self.k, self.enough, self.space, self.ids, self.queries = k, (k + 1) * repeats, space, ids, queries
+        self.k, self.repeats, self.enough, self.space, self.ids, self.queries = k, repeats, (k + 1) * repeats, space, ids, queries
         order = np.argsort(lists, kind="stable")
         self.row, self.lists = row[order], lists[order]
         self.power = 2.0 ** -np.ceil(np.log2(np.abs(queries).max(1)))
@@ -438,6 +438,7 @@ class _Search:
         small = (vectors * self.space.scale).astype(np.float32)
         order = np.argsort(lists, kind="stable")
         row, lists = row[order], lists[order]
+        several = len(row) > len(ids)
         held, size, limit = [], 0, min(HELD, 4 * self.k * len(self.ids))  # bounds grow with every fold
         for name in np.unique(lists):
             qs = self.row[np.searchsorted(self.lists, name) : np.searchsorted(self.lists, name, "right")]
@@ -454,23 +455,26 @@ class _Search:
                     held.append((some[i], part[j]))
                     size += len(i)
                     if size > limit:
-                        self._fold(ids, vectors, held)
+                        self._fold(ids, vectors, held, several)
                         held, size = [], 0
-        self._fold(ids, vectors, held)
+        self._fold(ids, vectors, held, several)
 
-    def _fold(self, ids: np.ndarray, vectors: np.ndarray, held: list) -> None:
+    def _fold(self, ids: np.ndarray, vectors: np.ndarray, held: list, several: bool) -> None:
         if not held:
             return
         q, v = (np.concatenate(x) for x in zip(*held))
-        key = np.unique(q * len(ids) + v)  # a vector that stands in several lists comes once
-        q, v = key // len(ids), key % len(ids)
+        if several:  # a vector that stands in several lists comes once
+            key = np.unique(q * len(ids) + v)
+            q, v = key // len(ids), key % len(ids)
         other = self.ids[q] != ids[v]
         q, v = q[other], v[other]
         score = np.concatenate([np.zeros(0), *((self.queries[q[a : a + 65_536]] * vectors[v[a : a + 65_536]]).sum(1) for a in range(0, len(q), 65_536))])
         q, found, score = np.concatenate([self.q, q]), np.concatenate([self.found, ids[v]]), np.concatenate([self.score, score])
-        order = np.lexsort((-score, found, q))
-        order = order[_starts(q[order], found[order])]
-        order = order[np.lexsort((found[order], -score[order], q[order]))]
+        order = np.lexsort((found, -score, q))
+        if self.repeats > 1:  # an id that several rows have comes once, by its best score
+            by_id = np.lexsort((-score, found, q))
+            order = by_id[_starts(q[by_id], found[by_id])]
+            order = order[np.lexsort((found[order], -score[order], q[order]))]
         rank = _rank(q[order])
         order, rank = order[rank < self.k], rank[rank < self.k]
         self.q, self.found, self.score = q[order], found[order], score[order]
