@@ -102,7 +102,7 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         for r in render(hits, a.context is not None).orderBy("path", "line_no").toLocalIterator():
             print(r["rendered"], file=out)
         return
-    found = files if a.direct else indexed_search(single, request) if single else search(files, request)
+    found = files if a.direct else indexed_search(single, request) if single else search(files, request, unique=len(results) == 1)
     if a.count:
         print(found.count(), file=out)
         return

@@ -25,19 +25,26 @@ def _match_regex(query: str, request: SearchRequest) -> str:
     return quote(query) if sensitive else "(?i)" + quote(fold_needle(query))
 
 
-def _marked(query: str, request: SearchRequest) -> Column:
-    """An array of booleans: whether a match begins in each line.
+def _hit_lines(rows: DataFrame, request: SearchRequest) -> DataFrame:
+    """rows with ``lines``, and ``hits``: (line_no, text) of the lines in which a match begins.
 
-    A literal without a line feed lies in one line. Otherwise all matches of the whole content get a mark in front, so
-    anchors keep to the content's ends; marks that the content has itself are taken out before.
+    A literal without a line feed lies in one line, so each line is looked at by itself. Otherwise all matches of the
+    whole content get a mark in front, so anchors keep to the content's ends; marks that the content has itself are
+    taken out before.
     """
-    sensitive = request.opts.case.sensitive(query)
+    query, sensitive = request.query, request.opts.case.sensitive(request.query)
+    split = rows.withColumn("lines", lines(F.col("content")))
+    each = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
     if not request.opts.regex and "\n" not in query:
         if sensitive:
-            return F.transform(lines(F.col("content")), lambda x: x.contains(query))
-        return F.transform(lines(ascii_fold(F.col("content"))), lambda x: x.contains(fold_needle(query)))
+            return split.withColumn("hits", F.filter(each, lambda s: s["text"].contains(query)))
+        return split.withColumn("hits", F.filter(each, lambda s: ascii_fold(s["text"]).contains(fold_needle(query))))
     plain = F.replace(F.col("content"), F.lit(MARK), F.lit(""))
-    return F.transform(lines(F.regexp_replace(plain, _match_regex(query, request), MARK + "$0")), lambda x: x.contains(MARK))
+    marked = lines(F.regexp_replace(plain, _match_regex(query, request), MARK + "$0"))
+    # zipped, not looked up by number: an expression inside a lambda would be computed anew for every line
+    pairs = F.zip_with("lines", marked, lambda x, m: F.struct(x.alias("text"), m.contains(MARK).alias("hit")))
+    numbered = F.transform(pairs, lambda s, i: F.struct((i + 1).alias("line_no"), s["text"].alias("text"), s["hit"].alias("hit")))
+    return split.withColumn("hits", F.filter(numbered, lambda s: s["hit"]))
 
 
 def match_offsets(files: DataFrame, needle: str, sensitive: bool = False) -> DataFrame:
@@ -72,16 +79,15 @@ def search_lines(files: DataFrame, request: SearchRequest, context: int | None =
     """
     rows = select_db(files, request.db).filter(path_filter(request.opts, request.scope))
     rows = rows.filter(F.col("content").isNotNull() & content_predicate(request.query, request.opts))
-    rows = rows.select("db", "path", F.col("content").endswith("\n").alias("closed"), lines(F.col("content")).alias("lines"), _marked(request.query, request).alias("marks"))
-    count = F.size("lines")
-    numbers = F.filter(F.sequence(F.lit(1), count), lambda i: F.element_at("marks", i))
+    rows = _hit_lines(rows, request)
     if context is None:
-        hits = rows.filter(count > 0).select("db", "path", "lines", F.explode(numbers).alias("line_no"))
-        out = hits.select("db", "path", "line_no", F.element_at("lines", F.col("line_no")).alias("text"))
+        # outer, for a plain explode adds a filter that computes the hits a second time
+        out = rows.select("db", "path", F.explode_outer("hits").alias("hit")).filter("hit IS NOT NULL").select("db", "path", "hit.line_no", "hit.text")
     else:
-        rows = rows.filter(count > 0).withColumn("hits", numbers).filter(F.size("hits") > 0)
-        firsts = F.array_distinct(F.transform("hits", lambda n: F.greatest(F.lit(1), n - context)))
-        blocks = rows.select("db", "path", "lines", "closed", F.array_min("hits").alias("earliest"), F.explode(firsts).alias("line_no"))
+        rows = rows.filter(F.size("hits") > 0)
+        numbers = F.transform("hits", lambda h: h["line_no"])
+        firsts = F.array_distinct(F.transform(numbers, lambda n: F.greatest(F.lit(1), n - context)))
+        blocks = rows.select("db", "path", "lines", F.col("content").endswith("\n").alias("closed"), F.array_min(numbers).alias("earliest"), F.explode(firsts).alias("line_no"))
         match = F.when(F.col("line_no") > 1, F.col("line_no") + context).otherwise(F.col("earliest"))
         last = F.least(F.size("lines"), match + context)
         text = F.array_join(F.slice("lines", F.col("line_no"), last - F.col("line_no") + 1), "\n")

@@ -75,14 +75,17 @@ def select_db(files: DataFrame, db: str | None) -> DataFrame:
     return mine
 
 
+def kind_of(by_name: Column, by_content: Column) -> Column:
+    return F.when(by_name & by_content, "both").when(by_content, "content").otherwise("filename")
+
+
 def merge_hits(flagged: DataFrame) -> DataFrame:
     """Rows (db, path, is_dir, size, mtime, by_name, by_content) merged by path: the first database's metadata, and the kind."""
     merged = flagged.groupBy("path").agg(
         F.min_by(F.struct("is_dir", "size", "mtime"), F.struct("db", "size", "mtime", "is_dir")).alias("meta"),
         F.max("by_name").alias("by_name"), F.max("by_content").alias("by_content"),
     )
-    kind = F.when(F.col("by_name") & F.col("by_content"), "both").when(F.col("by_content"), "content").otherwise("filename")
-    return merged.select("path", "meta.is_dir", "meta.size", "meta.mtime", kind.alias("kind"))
+    return merged.select("path", "meta.is_dir", "meta.size", "meta.mtime", kind_of(F.col("by_name"), F.col("by_content")).alias("kind"))
 
 
 def reference_times(files: DataFrame, names: set[str]) -> dict[str, int]:
@@ -102,8 +105,11 @@ def order_columns(sort: Sort) -> list[Column]:
     return [kind, path] if sort == Sort.KIND else [kind, depth(F.col("path")).asc(), path]
 
 
-def matches(files: DataFrame, request: SearchRequest) -> DataFrame:
-    """All results, neither sorted nor limited: path, is_dir, size, mtime, kind."""
+def matches(files: DataFrame, request: SearchRequest, unique: bool = False) -> DataFrame:
+    """All results, neither sorted nor limited: path, is_dir, size, mtime, kind.
+
+    ``unique``: the caller knows that no path comes twice in files, as in any one database; then nothing is shuffled.
+    """
     opts = request.opts
     tree = findexpr.parse(opts.expr) if opts.expr else None
     rows = select_db(files, request.db)
@@ -112,7 +118,8 @@ def matches(files: DataFrame, request: SearchRequest) -> DataFrame:
     by_content = F.coalesce(content_predicate(request.query, opts), no) if opts.layers != Layers.FILENAME else no
     rows = rows.filter(path_filter(opts, request.scope))
     flagged = rows.select("db", "path", "is_dir", "size", "mtime", by_name.alias("by_name"), by_content.alias("by_content")).filter("by_name OR by_content")
-    merged = merge_hits(flagged)
+    kind = kind_of(F.col("by_name"), F.col("by_content"))
+    merged = flagged.select("path", "is_dir", "size", "mtime", kind.alias("kind")) if unique else merge_hits(flagged)
     if tree is not None:
         merged = merged.filter(findexpr.column(tree, reference_times(files, findexpr.references(tree)), opts.byte_glob))
     return merged
@@ -156,9 +163,9 @@ def ordered(out: DataFrame, request: SearchRequest) -> DataFrame:
     return out if request.cap is None else out.limit(request.cap)
 
 
-def search(files: DataFrame, request: SearchRequest) -> DataFrame:
+def search(files: DataFrame, request: SearchRequest, unique: bool = False) -> DataFrame:
     """Results of a request over files(db, path, is_dir, size, mtime, content): filtered, then sorted, then limited."""
-    return ordered(matches(files, request), request)
+    return ordered(matches(files, request, unique), request)
 
 
 def count_results(files: DataFrame, request: SearchRequest) -> DataFrame:

@@ -38,13 +38,15 @@ def result_sql(by_name: str, by_content: str = "false", where: str = "true", sou
 
 
 def docs_search(query: str, scope: str | None = None, limit: int | None = None, **opts) -> Query:
-    return lambda spark, sf: search(corpora.docs(spark, sf), SearchRequest(query, scope, limit, opts=Options(**{"sort": Sort.NONE} | opts)))
+    """A search over the documents, whose paths hold their numbers and so come once."""
+    return lambda spark, sf: search(corpora.docs(spark, sf), SearchRequest(query, scope, limit, opts=Options(**{"sort": Sort.NONE} | opts)), unique=True)
 
 
 FILENAME, CONTENT = Layers.FILENAME, Layers.CONTENT
 
 # -- both layers, case
 add("kind_merge", docs_search("note"), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')"))
+add("kind_merge_shuffled", lambda spark, sf: search(corpora.docs(spark, sf), SearchRequest("note", opts=Options(sort=Sort.NONE))), result_sql("contains(lower(path), 'note')", f"contains({LOW}, 'note')"))
 add("kind_merge_the", docs_search("the"), result_sql("contains(lower(path), 'the')", f"contains({LOW}, 'the')"))
 add("name_substr_ci", docs_search("note", layers=FILENAME), result_sql("contains(lower(path), 'note')"))
 add("name_substr_cs", docs_search("ote_1", layers=FILENAME, case=Case.SENSITIVE), result_sql("contains(path, 'ote_1')"))
@@ -140,7 +142,7 @@ def ranked(query: str, sort: Sort, limit: int) -> Query:
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         request = SearchRequest(query, limit=limit, opts=Options(sort=sort))
-        found = search(corpora.docs(spark, sf), request)
+        found = search(corpora.docs(spark, sf), request, unique=True)
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_columns(sort)))
         return found.select("path", "kind", place.alias("place"))
 
