@@ -223,26 +223,6 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "last", "each", "sequence", "offset"])
 
 
-def _placed(table: pd.DataFrame):
-    """Adds sequence_id and offset in place of the rank, which is the last column; all others pass as they are."""
-    by_length = {k: g.sort_values("first").to_numpy(np.int64) for k, g in table.groupby("length")}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names[:-1]
-            lengths, ranks = batch.column(names.index("length")).to_numpy(), batch.column(len(names)).to_numpy()
-            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-            for length in np.unique(lengths):
-                at, rows = np.nonzero(lengths == length)[0], by_length[length]
-                row = rows[np.searchsorted(rows[:, 1], ranks[at], side="right") - 1]
-                k = ranks[at] - row[:, 1]
-                sequence[at] = row[:, 4] + k // row[:, 3]
-                offset[at] = row[:, 5] + k % row[:, 3] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    return run
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -273,6 +253,11 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     meta = pieces.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "task", "nth")
     names = [f for f in kept if f.name not in ("task", "nth")]
     columns = [f.name for f in names]
-    schema = T.StructType([*names, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    packed = meta.select(*columns, "rank").mapInArrow(_placed(places(pack_plan(histogram, capacity))), schema)
+    # every step of the plan uses up a length, and a sequence holds few different ones, so the ranges are few whatever
+    # the corpus is: at most capacity steps of sqrt(2 x capacity) lengths, 40 bytes each
+    ranges = spark.createDataFrame(places(pack_plan(histogram, capacity))).withColumnsRenamed({"length": "of", "offset": "at"})
+    nth = F.col("rank") - F.col("first")
+    within = F.pmod(nth, F.col("each"))  # one sequence may take several pieces of a length
+    placed = meta.join(F.broadcast(ranges), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    packed = placed.select(*columns, (F.col("sequence") + (nth - within) / F.col("each")).cast("bigint").alias("sequence_id"), (F.col("at") + within * F.col("length")).cast("bigint").alias("offset"))
     return packed.withColumn("ids_crc32", F.crc32("ids")) if with_ids else packed
