@@ -11,8 +11,9 @@ from trawl.model import CHANGES, FILES, Case, Layers, Options, PathMode, SearchR
 from trawl.operators import index, lines, overlay
 from trawl.operators.batch import search_batch
 from trawl.operators.search import count_results, indexed_search, search
+from trawl.sources import files as files_module
 from trawl.sources import walk as walk_module
-from trawl.sources.build import build, build_if_missing, is_stale, report_frame, spawn_build, spawn_if_missing
+from trawl.sources.build import build, build_if_missing, is_stale, report_frame, safety_net, spawn_build, spawn_if_missing
 from trawl.sources.files import build_report, direct_scan, scan
 from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, status
 from trawl.sources.walk import walk
@@ -196,7 +197,9 @@ def test_scan(spark, tmp_path):
     report = build_report(found).first()
     assert (report["filename_docs"], report["content_docs"], report["skipped_binary"], report["skipped_large"]) == (6, 3, 1, 1)
     assert find(found, "main") == [f"{tmp_path}/a.rs", f"{tmp_path}/sub/b.md"]
-    assert paths(direct_scan(spark, str(tmp_path), "HIDDEN")) == [f"{tmp_path}/secret/hidden.rs"]
+    assert paths(direct_scan(spark, str(tmp_path), "hidden")) == [f"{tmp_path}/secret/hidden.rs"] == paths(direct_scan(spark, str(tmp_path), "HIDDEN", Options(case=Case.INSENSITIVE)))
+    assert paths(direct_scan(spark, str(tmp_path), "HIDDEN")) == [] and paths(direct_scan(spark, str(tmp_path), "i.js")) == [f"{tmp_path}/node_modules/pkg/i.js"]
+    assert paths(direct_scan(spark, str(tmp_path), "s", ignore=["secret", "pkg"], scope=f"{tmp_path}/node_modules")) == [f"{tmp_path}/node_modules"]
 
 
 def test_records_of_touched_files(spark, tmp_path):
@@ -254,6 +257,7 @@ def test_cli(spark, tmp_path):
     assert "[c]\t" in run("search", "main", "-l") and "noise.log" not in run("search", "noise")
     assert run("status").strip().endswith("fresh")
     assert run("db", "list").startswith("t\t")
+    assert run("search", "main", "--direct", "--count") == "0\n" and run("search", "b.md", "--direct", "--limit", "1").endswith("sub/b.md\n")
 
 
 def odd_bytes(root):
@@ -462,3 +466,45 @@ def test_literal_atoms_change_nothing(spark):
         for sensitive in (True, False):
             want = sorted(r["path"] for r in files.filter(F.col("content").rlike(java_regex(pattern, sensitive))).collect())
             assert find(files, pattern, layers=Layers.CONTENT, regex=True, case=Case.SENSITIVE if sensitive else Case.INSENSITIVE) == want, pattern
+
+
+def test_scan_through_sparks_reader(spark, tmp_path):
+    """What a store gives that only Spark's readers can open: the same but for empty files and names with a leading dot
+    or underscore."""
+    tree(tmp_path)
+    odd_bytes(tmp_path / "odd")
+    ignore = ["*.log", "secret", "*.tmp"]
+    got = files_module._by_reader(spark, str(tmp_path), 50, (), ignore, False, True)
+    key = lambda df: {r["path"]: (r["gate"], r["content"]) for r in df.collect() if not r["is_dir"] and "__init__" not in r["path"] and r["size"]}
+    assert key(got) == key(scan(spark, str(tmp_path), cap=50, ignore=ignore)) and not files_module.is_walkable("nosuchstore://x/y")
+    names = files_module._by_reader(spark, str(tmp_path), 50, (), ignore, False, False)
+    assert sorted(paths(names)) == sorted(paths(got))
+
+
+def test_safety_net_rebuilds(spark, tmp_path):
+    tree(tmp_path / "t")
+    store, rounds = SnapshotStore(spark, f"{tmp_path}/s"), iter([False, False, True, True, True, True])
+    safety_net(spark, str(tmp_path / "t"), store, every=0, stop=lambda: next(rounds))
+    first = store.manifest()
+    assert first["filename_docs"] == 9 and store.snapshot().count() == first["docs"]
+
+
+def test_watching_in_intervals(spark, tmp_path):
+    """The stream with its debounce interval takes up what is added while it runs; skipped and ignored paths stay out."""
+    import time
+
+    log, over = f"{tmp_path}/log", streams.Overlay(spark, f"{tmp_path}/over")
+    change = lambda *rows: spark.createDataFrame([(s, "upsert", p, False, 1, s, "x") for s, p in rows], CHANGES)
+    streams.append_log(change((1, "/a"), (2, "/node_modules/b"), (3, "/noise.log")), log)
+    rules = lambda: files_module.compile_ignores(["*.log"], "/")
+    query = streams.watch(spark, log, f"{tmp_path}/over", rules=rules)
+    try:
+        for more, want in ((None, ["/a"]), ((4, "/c"), ["/a", "/c"])):
+            if more:
+                streams.append_log(change(more), log)
+            until = time.time() + 60
+            while paths(over.state()) != want and time.time() < until:
+                time.sleep(0.2)
+            assert paths(over.state()) == want
+    finally:
+        query.stop()

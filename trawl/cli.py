@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search")
     s.add_argument("query")
-    for flag in ("-i", "-s", "--regex", "--filename", "--content", "--basename", "--count", "--null", "--direct"):
+    for flag in ("-i", "-s", "--regex", "--filename", "--content", "--basename", "--count", "--null", "--direct", "--hidden"):
         s.add_argument(flag, action="store_true")
     s.add_argument("-l", "--long", action="store_true")
     s.add_argument("-n", "--line-number", action="store_true")
@@ -71,11 +71,11 @@ def request_of(a: argparse.Namespace) -> SearchRequest:
     return SearchRequest(a.query, a.scope, a.limit, a.db, opts)
 
 
-def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, out) -> None:
+def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, out, ignore: list[str]) -> None:
     registry, request = Registry.load(store, f"{a.home}/registry.json"), request_of(a)
     if a.direct:
         roots = [r.root for r in registry.records if a.db in (None, r.name)]
-        results = [direct_scan(spark, r, a.query, request.opts, a.scope) for r in roots]
+        results = [direct_scan(spark, r, a.query, request.opts, a.scope, ignore, a.hidden) for r in roots]
     else:
         chosen = [registry.get(a.db)] if a.db else registry.records
         lines_only = a.line_number or a.context is not None
@@ -102,6 +102,8 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         for r in render(hits, a.context is not None).orderBy("path", "line_no").toLocalIterator():
             print(r["rendered"], file=out)
         return
+    if a.direct and request.cap is not None:
+        files = files.limit(request.cap)
     found = files if a.direct else indexed_search(single, request) if single else search(files, request, unique=len(results) == 1)
     if a.count:
         print(found.count(), file=out)
@@ -126,7 +128,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     registry_file, settings_file = f"{a.home}/registry.json", f"{a.home}/settings.json"
     registry, settings = Registry.load(store, registry_file), Settings.load(store, settings_file)
     if a.command == "search":
-        print_search(spark, a, store, out)
+        print_search(spark, a, store, out, settings.ignore)
     elif a.command == "index":
         at = f"{a.home}/snapshots/{a.name}"
         if a.one_file_system:

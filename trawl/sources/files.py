@@ -112,8 +112,8 @@ def with_contents(spark: SparkSession, root: str, walked: DataFrame, cap: int =
 
 
 def _by_reader(spark: SparkSession, root: str, cap: int, skip: tuple, ignore: list[str], hidden: bool, content: bool) -> DataFrame:
-    """A scan through Spark's own file reader, for stores that only it can open: names with a leading dot or underscore
-    are not seen, nor are ignore files."""
+    """A scan through Spark's own file reader, for stores that only it can open: empty files and names with a leading dot
+    or underscore are not seen, nor are ignore files."""
     top, no, none = root.rstrip("/"), F.lit(False), F.lit(None).cast("string")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     raw = raw.select(_plain("path").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("content").alias("data"))
@@ -160,11 +160,20 @@ def build_report(scanned: DataFrame) -> DataFrame:
     return scanned.agg(F.count(F.lit(1)).alias("filename_docs"), count("text").alias("content_docs"), F.lit(None).cast("bigint").alias("denied"), count("binary").alias("skipped_binary"), count("large").alias("skipped_large"))
 
 
-def direct_scan(spark: SparkSession, root: str, query: str, opts=None, scope: str | None = None) -> DataFrame:
-    """Search over freshly listed files: lower-case substring of the path and path filters only; size and mtime are 0."""
+def direct_scan(spark: SparkSession, root: str, query: str, opts=None, scope: str | None = None, ignore: list[str] | None = None, hidden: bool = False) -> DataFrame:
+    """Search over a fresh listing: substring of the path by the request's case, and path filters; size and mtime are 0.
+
+    Hidden and ignored names are left out, the build's skip list is not asked. An empty query finds nothing.
+    """
     from trawl.model import Options
     from trawl.operators.filters import path_filter
 
-    hits = list_files(spark, root).filter(F.lower("path").contains(query.lower()) if query else F.lit(False)).filter(path_filter(opts or Options(), scope))
+    opts = opts or Options()
+    if is_walkable(root):
+        listed = walk(spark, root, ignore=ignore, hidden=hidden, skip_list=()).filter("NOT denied").select("path", "is_dir")
+    else:
+        listed = list_files(spark, root).select("path", F.lit(False).alias("is_dir"))
+    found = F.col("path").contains(query) if opts.case.sensitive(query) else F.lower("path").contains(query.lower())
+    hits = listed.filter(found if query else F.lit(False)).filter(path_filter(opts, scope))
     zero = F.lit(0).cast("bigint")
-    return hits.select("path", F.lit(False).alias("is_dir"), zero.alias("size"), zero.alias("mtime"), F.lit("filename").alias("kind"))
+    return hits.select("path", "is_dir", zero.alias("size"), zero.alias("mtime"), F.lit("filename").alias("kind"))

@@ -145,7 +145,7 @@ def _walk(root: str, skip: frozenset, fixed: tuple[str, ...], hidden: bool, use_
     return run
 
 
-def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = (), ignore: list[str] | None = None, hidden: bool = False, use_ignore_files: bool = True) -> DataFrame:
+def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = (), ignore: list[str] | None = None, hidden: bool = False, use_ignore_files: bool = True, skip_list: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     """What a build takes of the tree under root: path, is_dir, size, mtime, regular, denied.
 
     ``denied`` rows are directories that may not be listed; they stand beside the directory's own row. Explicit ignore
@@ -153,7 +153,7 @@ def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = (), ignore: lis
     """
     _, base = file_system(root)
     frontier = spark.createDataFrame([(base.rstrip("/") or "/", "[]")], "path string, rules string")
-    run = _walk(root, frozenset((*SKIP_DIRS, *skip)), tuple(ignore or []), hidden, use_ignore_files)
+    run = _walk(root, frozenset((*skip_list, *skip)), tuple(ignore or []), hidden, use_ignore_files)
     rounds: list[str] = []
     tasks = 1
     while tasks:
