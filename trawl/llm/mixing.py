@@ -23,7 +23,7 @@ MOST_COPIES = 2
 #: Newton steps at most, the relative miss of a token constraint at which they end, and the digits of a tilt kept.
 STEPS, TOLERANCE, DIGITS = 100, 1e-6, 10
 #: Documents of equal source and size are ranked in groups of about so many.
-RANK_GROUP = 4096
+RANK_GROUP = 512
 #: Running sums are whole numbers of this fraction of a copy: they don't depend on how rows are dealt to tasks.
 UNIT = 1 << 20
 
