@@ -359,6 +359,13 @@ def test_pages_without_an_article_element():
         assert html_text.extract(page, field) == want, page
 
 
+def test_boilerplate_words_within_an_article_stay():
+    field = html_text.default_field()
+    parts = ["Plain start of it.", "Sign up to see more. password=b8a6bab61dc0d4e3d1", "Copyright 2020 Someone. All rights reserved.", "Search", "Subscribe to our newsletter", "a | b | c | d", "Comments", "Last words here."]
+    page = "<nav><a href=/>Home</a></nav><article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in parts) + "</article><footer>Copyright</footer>"
+    assert html_text.extract(page, field) == " ".join(["Title", *parts])
+
+
 def test_extraction_of_unseen_layouts():
     field = html_text.default_field()
     held, right, total = html_text.training_pages(150, seed=99), 0, 0

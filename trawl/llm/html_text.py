@@ -258,7 +258,8 @@ def features(page_blocks: list[Block], known: Container[str] | None = None) -> l
     out, last = [], len(page_blocks) - 1
     for k, (text, node, linked, pressed) in enumerate(page_blocks):
         words = text.count(" ") + 1
-        inherited, cues = _inherited(node, known), _cues(text)
+        inherited = _inherited(node, known)
+        cues = _cues(text) if "outside" in inherited else set()  # within an article element, words alone prove nothing
         out.append([
             *inherited, *node.own, "any", f"words:{_bucket(words, (2, 5, 10, 20, 40, 80))}", f"links:{_bucket(linked, (0.0, 0.3, 0.7))}", f"buttons:{_bucket(pressed, (0.0, 0.7))}", *cues, f"cues:{min(len(cues), 3)}:{_bucket(words, (6, 15))}",
             f"end:{'stop' if text[-1] in '.!?…:”\"' else 'open'}", f"copy:{'©' in text[:200] or '(c)' in text[:200].lower()}", f"first:{k == 0}", f"last:{k == last}",
