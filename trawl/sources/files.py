@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.patterns import IgnoreRule, ignore_rule, ignored
-from trawl.functions.text import ascii_fold, trigram_count
+from trawl.functions.text import trigram_count
 from trawl.sources.walk import SKIP_DIRS, file_system, is_walkable, walk
 
 SIZE_CAP, NUL_WINDOW, TRIGRAM_LIMIT = 1_048_576, 8192, 20_000
@@ -131,8 +132,6 @@ def _by_reader(spark: SparkSession, root: str, cap: int, skip: tuple, ignore: li
 
 
 def _plain_root(root: str) -> str:
-    import re
-
     return re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root)
 
 
