@@ -44,10 +44,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    block: bytes of a row group, which a task holds while it writes; Parquet's own size if not given.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block) if block else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

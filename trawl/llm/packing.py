@@ -30,8 +30,8 @@ from trawl.llm.common import byte_view, materialise
 CAPACITY, END_ID = 2048, 1
 #: Token strings that are kept per task; beyond it the cache starts anew.
 CACHE_ENTRIES = 400_000
-#: Pieces per Arrow batch.
-BATCH = 2_000
+#: Pieces per Arrow batch, and bytes of the row groups that they are written in.
+BATCH, ROW_GROUP = 1_000, 8 << 20
 
 
 # -- tokenising
@@ -242,7 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     spark = docs.sparkSession
     pair = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = T.StructType([f for f in PIECES if f.name != ("ids_crc32" if with_ids else "ids")])
-    pieces = materialise(pair.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity, end_id), PIECES).select(*[f.name for f in kept]), "pack-pieces")
+    pieces = materialise(pair.mapInArrow(_cut(tokenizer or default_tokenizer(), capacity, end_id), PIECES).select(*[f.name for f in kept]), "pack-pieces", ROW_GROUP)
     per_task = materialise(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     if not histogram:
