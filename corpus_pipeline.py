@@ -67,13 +67,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their token ids, and their places in sequences.
+    """The pieces of all documents and their places in sequences; checksums are those of the token ids in their places.
 
     Null and empty texts are one end id. Long texts are cut into pieces; every id of every row lies in exactly one.
     Repeated rows are packed each for itself; which of equally long pieces takes which place is open. A null doc_id
     stays null. An empty table gives an empty result. Other columns are not looked at.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs).drop("ids")
 
 
 STAGES = [
