@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -209,8 +208,9 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[di
     return plan
 
 
-def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
-    """For each length, the ranges of ranks [first, last) that a pattern takes, and where it puts them."""
+def places(plan: list[tuple[dict[int, int], int]]) -> list[tuple]:
+    """(length, first, last, each, sequence, offset): the ranges of ranks [first, last) of a length that a pattern takes,
+    so many in each of its sequences, and where it puts them."""
     rows, used, sequence = [], {}, 0
     for pattern, times in plan:
         offset = 0
@@ -220,7 +220,7 @@ def places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
             used[length] = first + m * times
             offset += m * length
         sequence += times
-    return pd.DataFrame(rows, columns=["length", "first", "last", "each", "sequence", "offset"])
+    return rows
 
 
 def default_tokenizer() -> str:
@@ -255,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     columns = [f.name for f in names]
     # every step of the plan uses up a length, and a sequence holds few different ones, so the ranges are few whatever
     # the corpus is: at most capacity steps of sqrt(2 x capacity) lengths, 40 bytes each
-    ranges = spark.createDataFrame(places(pack_plan(histogram, capacity))).withColumnsRenamed({"length": "of", "offset": "at"})
+    ranges = spark.createDataFrame(places(pack_plan(histogram, capacity)), "of bigint, first bigint, last bigint, each bigint, sequence bigint, at bigint")
     nth = F.col("rank") - F.col("first")
     within = F.pmod(nth, F.col("each"))  # one sequence may take several pieces of a length
     placed = meta.join(F.broadcast(ranges), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
