@@ -10,7 +10,7 @@ from trawl import cli
 from trawl.model import CHANGES, FILES, Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators import index, lines, overlay
 from trawl.operators.batch import search_batch
-from trawl.operators.search import count_results, indexed_search, search
+from trawl.operators.search import Indexed, count_results, indexed_search, search
 from trawl.sources import files as files_module
 from trawl.sources import walk as walk_module
 from trawl.sources.build import build, build_if_missing, is_stale, report_frame, safety_net, spawn_build, spawn_if_missing
@@ -430,7 +430,7 @@ def test_written_index_equals_scan(spark, tmp_path):
             assert paths(written.search(needle, case is Case.SENSITIVE)) == want
             for layers in (Layers.CONTENT, Layers.BOTH):
                 request = SearchRequest(needle, opts=Options(layers=layers, case=case))
-                assert [tuple(r) for r in indexed_search(written, request).collect()] == [tuple(r) for r in search(files, request).collect()]
+                assert [tuple(r) for r in indexed_search([Indexed('d', written)], request).collect()] == [tuple(r) for r in search(files, request).collect()]
         if len(needle.encode()) >= 3:
             assert paths(written.candidates(needle)) == paths(index.candidates(plain, needle))
             assert written.rarest_trigram(needle).first() == index.rarest_trigram(plain, needle).first()
@@ -439,6 +439,23 @@ def test_written_index_equals_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "EqualTo(trigram" in plan.replace("In(trigram", "EqualTo(trigram")
 
 
+def test_indexes_under_overlays_of_several_databases(spark, tmp_path):
+    rng = random.Random(17)
+    word = lambda: rng.choice(["needle", "Needle", "hay", "xneedley", "é"])
+    databases, merged = [], None
+    for db in ("r1", "r2"):
+        cold = table(spark, {f"{rng.choice(['needle', 'dir'])}/p{k}": word() for k in range(25)}, db)
+        rows = [(k, rng.choice(["upsert", "upsert", "delete"]), p, False, 5, k, rng.choice([word(), None])) for k, p in enumerate([r["path"] for r in cold.limit(8).collect()] + [f"new/{db}needle", "new/both"])]
+        changes = spark.createDataFrame(rows, CHANGES) if db == "r1" else None
+        databases.append(Indexed(db, index.ContentIndex.build(cold, f"{tmp_path}/{db}"), changes))
+        files = overlay.merged(cold, changes, db=db) if changes is not None else cold
+        merged = files if merged is None else merged.unionByName(files)
+    for request in (SearchRequest("needle"), SearchRequest("Needle", opts=Options(layers=Layers.CONTENT)), SearchRequest("needle", scope="dir", limit=7), SearchRequest("needle", db="r2"), SearchRequest("ne"), SearchRequest("n[e]+dle", opts=Options(regex=True)), SearchRequest("needle", opts=Options(expr="-newer dir/p1 -o -size -6c"))):
+        assert [tuple(r) for r in indexed_search(databases, request).collect()] == [tuple(r) for r in search(merged, request).collect()], request
+    with pytest.raises(ValueError, match="r1, r2"):
+        indexed_search(databases, SearchRequest("needle", db="nope"))
+
+
 def test_batch_equals_single_searches(spark):
     rng = random.Random(15)
     files = table(spark, {"/" + "".join(rng.choice("abcAB/.éΣ_") for _ in range(rng.randint(1, 14))) + str(k): None for k in range(120)})

@@ -14,7 +14,7 @@ from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators.index import ContentIndex
 from trawl.operators.lines import render, search_lines
 from trawl.operators.overlay import overlay_length
-from trawl.operators.search import indexed_search, search, uses_index
+from trawl.operators.search import Indexed, indexed_search, search, uses_index
 from trawl.sources.build import build, counters
 from trawl.sources.files import direct_scan
 from trawl.sources.store import Database, FileStore, Registry, Settings, SnapshotStore, index_path, status
@@ -78,17 +78,16 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         results = [direct_scan(spark, r, a.query, request.opts, a.scope, ignore, a.hidden) for r in roots]
     else:
         chosen = [registry.get(a.db)] if a.db else registry.records
-        lines_only = a.line_number or a.context is not None
-        results, single = [], None
+        results, databases = [], []
         for r in chosen:
             snapshots, over = SnapshotStore(spark, r.path), Overlay(spark, f"{r.path}/overlay")
             if (cold := snapshots.snapshot()) is None:
                 continue
-            fresh = bool(over.pointer()["deltas"])
-            results.append(current(over, cold.drop("gate"), db=r.name) if fresh else cold.drop("gate"))
+            changes = over.state() if over.pointer()["deltas"] else None
+            results.append(cold.drop("gate") if changes is None else current(over, cold, db=r.name))
             path = index_path(snapshots.manifest()["version"])
-            if len(chosen) == 1 and not fresh and not lines_only and uses_index(request) and store.exists(path):
-                single = ContentIndex(spark, path)
+            if store.exists(path):
+                databases.append(Indexed(r.name, ContentIndex(spark, path), changes))
     if not results:
         raise SystemExit("nothing is indexed yet")
     files = results[0]
@@ -104,7 +103,7 @@ def print_search(spark: SparkSession, a: argparse.Namespace, store: FileStore, o
         return
     if a.direct and request.cap is not None:
         files = files.limit(request.cap)
-    found = files if a.direct else indexed_search(single, request) if single else search(files, request, unique=len(results) == 1)
+    found = files if a.direct else indexed_search(databases, request) if uses_index(request) and len(databases) == len(results) else search(files, request, unique=len(results) == 1)
     if a.count:
         print(found.count(), file=out)
         return

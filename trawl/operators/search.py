@@ -5,6 +5,9 @@ One scan decides both layers' flags for every row; only the hits, without their
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +15,13 @@ from trawl.functions.display import kind_weight
 from trawl.functions.patterns import java_regex
 from trawl.functions.text import ascii_fold, basename, depth, fold_needle, required_literal
 from trawl.model import Layers, Options, PathMode, SearchRequest, Sort
-from trawl.operators.index import ContentIndex
+from trawl.operators import overlay
 from trawl.operators.filters import path_filter
+from trawl.operators.index import ContentIndex
 from trawl.plans import boolquery, findexpr
 
+#: What results say of a file.
+META = ("path", "is_dir", "size", "mtime")
 #: Characters of a regular expression's literal from which on it is worth a look of its own.
 ATOM = 3
 
@@ -105,24 +111,31 @@ def order_columns(sort: Sort) -> list[Column]:
     return [kind, path] if sort == Sort.KIND else [kind, depth(F.col("path")).asc(), path]
 
 
+def flagged(files: DataFrame, request: SearchRequest) -> DataFrame:
+    """The rows that either layer takes: db, path, is_dir, size, mtime, by_name, by_content."""
+    opts, no = request.opts, F.lit(False)
+    by_name = F.coalesce(name_predicate(request.query, opts), no) if opts.layers != Layers.CONTENT else no
+    by_content = F.coalesce(content_predicate(request.query, opts), no) if opts.layers != Layers.FILENAME else no
+    rows = files.filter(path_filter(opts, request.scope))
+    return rows.select("db", *META, by_name.alias("by_name"), by_content.alias("by_content")).filter("by_name OR by_content")
+
+
+def judged(hits: DataFrame, files: DataFrame, request: SearchRequest, unique: bool = False) -> DataFrame:
+    """Flagged rows merged by path, and what the find expression leaves of them; files give its reference times."""
+    kind = kind_of(F.col("by_name"), F.col("by_content"))
+    merged = hits.select(*META, kind.alias("kind")) if unique else merge_hits(hits)
+    if request.opts.expr:
+        tree = findexpr.parse(request.opts.expr)
+        merged = merged.filter(findexpr.column(tree, reference_times(files, findexpr.references(tree)), request.opts.byte_glob))
+    return merged
+
+
 def matches(files: DataFrame, request: SearchRequest, unique: bool = False) -> DataFrame:
     """All results, neither sorted nor limited: path, is_dir, size, mtime, kind.
 
     ``unique``: the caller knows that no path comes twice in files, as in any one database; then nothing is shuffled.
     """
-    opts = request.opts
-    tree = findexpr.parse(opts.expr) if opts.expr else None
-    rows = select_db(files, request.db)
-    no = F.lit(False)
-    by_name = F.coalesce(name_predicate(request.query, opts), no) if opts.layers != Layers.CONTENT else no
-    by_content = F.coalesce(content_predicate(request.query, opts), no) if opts.layers != Layers.FILENAME else no
-    rows = rows.filter(path_filter(opts, request.scope))
-    flagged = rows.select("db", "path", "is_dir", "size", "mtime", by_name.alias("by_name"), by_content.alias("by_content")).filter("by_name OR by_content")
-    kind = kind_of(F.col("by_name"), F.col("by_content"))
-    merged = flagged.select("path", "is_dir", "size", "mtime", kind.alias("kind")) if unique else merge_hits(flagged)
-    if tree is not None:
-        merged = merged.filter(findexpr.column(tree, reference_times(files, findexpr.references(tree)), opts.byte_glob))
-    return merged
+    return judged(flagged(select_db(files, request.db), request), files, request, unique)
 
 
 def uses_index(request: SearchRequest) -> bool:
@@ -132,29 +145,54 @@ def uses_index(request: SearchRequest) -> bool:
     return opts.layers != Layers.FILENAME and plain and len(fold_needle(request.query).encode()) >= 3
 
 
-def indexed_matches(index: ContentIndex, request: SearchRequest) -> DataFrame:
-    """``matches`` over the files of a written index: paths are scanned without contents, contents through the index."""
+def indexed_flags(index: ContentIndex, request: SearchRequest) -> DataFrame:
+    """``flagged`` over the files of a written index: paths are scanned without contents, contents through the index.
+
+    A path that both layers take has a row of each.
+    """
+    files, opts = index.docs.drop("doc"), request.opts
     if not uses_index(request):
-        return matches(index.docs.drop("doc"), request)
-    opts = request.opts
-    tree = findexpr.parse(opts.expr) if opts.expr else None
-    files = select_db(index.docs.drop("doc"), request.db)
-    keep, meta = path_filter(opts, request.scope), ("db", "path", "is_dir", "size", "mtime")
-    held = index.holding(request.query, opts.case.sensitive(request.query))
-    held = held if request.db is None else held.filter(F.col("db") == request.db)
-    hits = held.filter(keep).select(*meta, F.lit(False).alias("by_name"), F.lit(True).alias("by_content"))
+        return flagged(files, request)
+    held = index.holding(request.query, opts.case.sensitive(request.query)).filter(path_filter(opts, request.scope))
+    hits = held.select("db", *META, F.lit(False).alias("by_name"), F.lit(True).alias("by_content"))
     if opts.layers == Layers.BOTH:
-        named = files.filter(keep & F.coalesce(name_predicate(request.query, opts), F.lit(False)))
-        hits = hits.unionByName(named.select(*meta, F.lit(True).alias("by_name"), F.lit(False).alias("by_content")))
-    merged = merge_hits(hits)
-    if tree is not None:
-        merged = merged.filter(findexpr.column(tree, reference_times(files, findexpr.references(tree)), opts.byte_glob))
-    return merged
+        hits = hits.unionByName(flagged(files, replace(request, opts=replace(opts, layers=Layers.FILENAME))))
+    return hits
+
+
+@dataclass(frozen=True)
+class Indexed:
+    """A database as searches see it: a written index, and the changes since (as an overlay's), if there are any."""
+
+    db: str
+    index: ContentIndex
+    changes: DataFrame | None = None
+
+    def files(self) -> DataFrame:
+        cold = self.index.docs.drop("doc")
+        return cold if self.changes is None else overlay.merged(cold, self.changes, db=self.db)
+
+    def flags(self, request: SearchRequest) -> DataFrame:
+        """The cold hits that no change shadows, and those among the changed files, which are scanned."""
+        hits = indexed_flags(self.index, request)
+        if self.changes is None:
+            return hits
+        last = overlay.latest(self.changes)
+        fresh = overlay.live(last).select(F.lit(self.db).alias("db"), "path", *overlay.META)
+        return overlay.suppress(hits, last).unionByName(flagged(fresh, request))
+
+
+def indexed_matches(databases: list[Indexed], request: SearchRequest) -> DataFrame:
+    """``matches`` over several databases, each through its index."""
+    files = reduce(DataFrame.unionByName, [d.files() for d in databases])
+    select_db(files, request.db)  # an unknown name raises
+    hits = reduce(DataFrame.unionByName, [d.flags(request) for d in databases])
+    return judged(hits if request.db is None else hits.filter(F.col("db") == request.db), files, request)
 
 
-def indexed_search(index: ContentIndex, request: SearchRequest) -> DataFrame:
-    """``search`` over the files of a written index."""
-    return ordered(indexed_matches(index, request), request)
+def indexed_search(databases: list[Indexed], request: SearchRequest) -> DataFrame:
+    """``search`` over several databases, each through its index."""
+    return ordered(indexed_matches(databases, request), request)
 
 
 def ordered(out: DataFrame, request: SearchRequest) -> DataFrame:

@@ -11,7 +11,7 @@ from trawl.functions import display, text
 from trawl.model import Case, Layers, Options, PathMode, SearchRequest, Sort
 from trawl.operators import filters, index, lines, overlay
 from trawl.operators.batch import search_batch
-from trawl.operators.search import count_results, indexed_search, matches, order_columns, search
+from trawl.operators.search import Indexed, count_results, indexed_search, matches, order_columns, search
 from trawl.sources import corpora, files
 from trawl.sources.store import SnapshotStore, scratch
 from trawl.streaming import changes as streams
@@ -244,7 +244,7 @@ def written_index(spark: SparkSession, sf: str) -> index.ContentIndex:
 
 def indexed(query: str, **opts) -> Query:
     request = SearchRequest(query, opts=Options(**{"sort": Sort.NONE} | opts))
-    return lambda spark, sf: indexed_search(written_index(spark, sf), request)
+    return lambda spark, sf: indexed_search([Indexed("docs", written_index(spark, sf))], request)
 
 
 add("trigram_df", lambda spark, sf: written_index(spark, sf).frequencies(), f", {TRIGRAMS} SELECT trigram, count(*) AS df FROM gram GROUP BY trigram")
@@ -285,6 +285,8 @@ add("overlay_latest", lambda spark, sf: last_changes(spark, sf).select("path", "
 add("overlay_suppress", lambda spark, sf: overlay.suppress(corpora.docs(spark, sf), last_changes(spark, sf)).select("path"), f", {LAST} SELECT path FROM docs WHERE path NOT IN (SELECT path FROM last)", LOG)
 add("overlay_merge", lambda spark, sf: merged_docs(spark, sf).select("path", "content"), f", {LAST}, {MERGED} SELECT path, content FROM merged", LOG)
 add("overlay_search", lambda spark, sf: matches(merged_docs(spark, sf), SearchRequest("click")).select("path", "kind"), f", {LAST}, {MERGED} SELECT path, CASE WHEN contains(lower(path), 'click') AND coalesce(contains({LOW}, 'click'), false) THEN 'both' WHEN contains({LOW}, 'click') THEN 'content' ELSE 'filename' END AS kind FROM merged WHERE contains(lower(path), 'click') OR contains({LOW}, 'click')", LOG)
+add("overlay_indexed", lambda spark, sf: indexed_search([Indexed("docs", written_index(spark, sf), _ordered(spark, sf))], SearchRequest("click", opts=Options(sort=Sort.NONE))).select("path", "kind"), f", {LAST}, {MERGED} SELECT path, CASE WHEN contains(lower(path), 'click') AND coalesce(contains({LOW}, 'click'), false) THEN 'both' WHEN contains({LOW}, 'click') THEN 'content' ELSE 'filename' END AS kind FROM merged WHERE contains(lower(path), 'click') OR contains({LOW}, 'click')", LOG)
+add("overlay_indexed_the", lambda spark, sf: indexed_search([Indexed("docs", written_index(spark, sf), _ordered(spark, sf))], SearchRequest("the", opts=Options(layers=CONTENT, sort=Sort.NONE))).select("path", "kind"), f", {LAST}, {MERGED} SELECT path, 'content' AS kind FROM merged WHERE contains({LOW}, 'the')", LOG)
 add("overlay_lines", lambda spark, sf: lines.search_lines(merged_docs(spark, sf), SearchRequest("purchase")).select("path", "line_no", "text"), f", {LAST}, {MERGED} SELECT path, CAST(i AS INT) AS line_no, l[i] AS text FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM merged WHERE content IS NOT NULL)) WHERE contains(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'purchase')", LOG)
 add("overlay_len", lambda spark, sf: overlay.overlay_length(corpora.changes(spark, sf)), " SELECT count(DISTINCT path) AS paths FROM log", LOG)
 
