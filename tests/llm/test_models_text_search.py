@@ -616,6 +616,15 @@ def test_short_cells_and_blocks_find_the_same(spark, monkeypatch):
     assert recall(whole, want) == 1.0
 
 
+def test_one_id_for_all_rows(spark, monkeypatch):
+    """A sample by the ids' hashes may hold no row then."""
+    monkeypatch.setattr(nearest, "SAMPLE", 10)
+    for one in (20, 40, 60):
+        rows = [(one, [float(k), 1.0]) for k in range(1, 60)] + [(one + 1, [1.0, 2.0])]
+        got = nearest.nearest_neighbours(vectors(spark, rows)).collect()
+        assert [(r["query_id"], r["vec_id"]) for r in got] == [(one, one + 1)]
+
+
 def test_lists_are_balanced():
     rng = np.random.default_rng(14)
     points = np.concatenate([rng.normal(size=(3000, 12)), 5 + 0.3 * rng.normal(size=(1000, 12))])

@@ -258,6 +258,20 @@ def _squares(scale: float):
     return run
 
 
+def _train(space: Space):
+    """Centroids and weights of a sample that one task reads: SAMPLE vectors at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [matrix(b.column(0)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        x = np.unique(np.concatenate(parts), axis=0)
+        centroids, weights = balanced_centroids(space.vectors(x), len(x) // PER_CENTROID)
+        yield pa.RecordBatch.from_arrays([lists_column(centroids.ravel(), np.full(len(centroids), centroids.shape[1]), pa.float64()), pa.array(weights)], ["centroid", "weight"])
+
+    return run
+
+
 def _post(graph: CentroidGraph, space: Space):
     """Every vector with the lists that it stands in, its own first."""
 
@@ -535,9 +549,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = K, prune: f
     clean, space = clean.filter(F.col("width") == common["width"]), Space(common["top"])
     kind = clean.schema["embedding"].dataType.simpleString()
     space.radius = clean.select("embedding").mapInArrow(_squares(space.scale), "square double").agg(F.max("square")).first()[0] ** 0.5
-    sample = hash_sample(clean.select("vec_id", "embedding"), "vec_id", SAMPLE, common["n"], 3).collect()
-    x = np.unique(np.array([r["embedding"] for r in sample], float), axis=0)
-    graph = CentroidGraph(*balanced_centroids(space.vectors(x), len(x) // PER_CENTROID))
+    own = clean.select("vec_id", "embedding")
+    for sample in (hash_sample(own, "vec_id", SAMPLE, common["n"], 3), own.limit(SAMPLE)):  # the latter where few ids hold all rows
+        trained = sample.select("embedding").coalesce(1).mapInArrow(_train(space), "centroid array<double>, weight double").collect()  # SAMPLE / PER_CENTROID rows at most
+        if trained:
+            break
+    graph = CentroidGraph(np.array([r["centroid"] for r in trained]), np.array([r["weight"] for r in trained]))
 
     same = Window.partitionBy("key").orderBy("vec_id")
     few = clean.withColumn("copy", F.dense_rank().over(same)).filter(F.col("copy") <= k + 1)
