@@ -439,6 +439,16 @@ def test_written_index_equals_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "EqualTo(trigram" in plan.replace("In(trigram", "EqualTo(trigram")
 
 
+def test_many_candidates_meet_in_a_join(spark, tmp_path, monkeypatch):
+    files = table(spark, {f"p{k}": f"{'some longer needle' if k % 3 else 'other'} {k}" for k in range(90)})
+    written = index.ContentIndex.build(files, f"{tmp_path}/i")
+    few = paths(written.search("some longer needle 1"))
+    for name in ("LISTED", "LOOKED_UP"):
+        monkeypatch.setattr(index, name, 3)
+        assert paths(written.search("some longer needle 1")) == few == find(files, "some longer needle 1", layers=Layers.CONTENT)
+        assert len(paths(written.search("needle"))) == 60 and paths(written.search("no such needle")) == []
+
+
 def test_indexes_under_overlays_of_several_databases(spark, tmp_path):
     rng = random.Random(17)
     word = lambda: rng.choice(["needle", "Needle", "hay", "xneedley", "é"])

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import ascii_fold, distinct_trigrams, fold_needle, needle_trigrams, trigram_key
 
-#: Trigrams of a needle that a search looks up: the rarest ones.
-LOOKED_UP = 4
+#: Trigrams of a needle that a search looks up: all, or of more the rarest ones.
+LOOKED_UP = 6
+#: Candidates up to this number go into the scan's filter as a list; more meet the files in a join.
+LISTED = 10_000
 
 
 def content_postings(files: DataFrame) -> DataFrame:
@@ -163,18 +165,21 @@ class ContentIndex:
     def holding(self, needle: str, sensitive: bool = False) -> DataFrame:
         """The files, with all their columns, whose content holds the needle; shorter than three bytes, by a scan.
 
-        The rarest trigrams select, and what they select is verified.
+        The trigrams select, and what they select is verified.
         """
         if not needle:
             return self.docs.filter(F.lit(False)).drop("doc")
-        keys = needle_trigrams(fold_needle(needle))
-        rows = self.docs
-        if keys:
+        keys, rows = needle_trigrams(fold_needle(needle)), self.docs
+        if len(keys) > LOOKED_UP:
             known = {r["trigram"]: r["df"] for r in self.grams.filter(F.col("trigram").isin([int(k, 16) for k in keys])).collect()}  # a row for each trigram of the needle
             if len(known) < len(keys):
                 return self.docs.filter(F.lit(False)).drop("doc")
-            rare = sorted(keys, key=lambda k: (known[int(k, 16)], k))[:LOOKED_UP]
-            rows = rows.join(self._having(rare), "doc", "left_semi")
+            keys = sorted(keys, key=lambda k: (known[int(k, 16)], k))[:LOOKED_UP]
+        if keys:
+            selected = self._having(keys)
+            few = [r["doc"] for r in selected.limit(LISTED + 1).collect()]
+            # a list keeps the contents where they are read; a join with unknown sizes would shuffle them first
+            rows = rows.filter(F.col("doc").isin(few or [None])) if len(few) <= LISTED else rows.join(selected, "doc", "left_semi")
         return rows.filter(_holds(needle, sensitive)).drop("doc")
 
     def search(self, needle: str, sensitive: bool = False) -> DataFrame:
