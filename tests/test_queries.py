@@ -37,6 +37,31 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+@pytest.fixture(scope="module")
+def twins(sf_dir, tmp_path_factory):
+    """The smallest tables, with every page also under the other scheme: two addresses, one path."""
+    import duckdb
+
+    out = tmp_path_factory.mktemp("twins")
+    c = duckdb.connect()
+    for t in TABLES:
+        if t != "pages":
+            os.symlink(f"{sf_dir}/{t}.parquet", out / f"{t}.parquet")
+    c.execute(f"CREATE TABLE given AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    other = "CASE WHEN starts_with(url, 'https:') THEN 'http' || substr(url, 6) ELSE 'https' || substr(url, 5) END"
+    c.execute(f"COPY (FROM given UNION ALL SELECT page_id + 1000000, {other}, html || ' was' FROM given) TO '{out}/pages.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{out}/{t}.parquet'")
+    return str(out), c
+
+
+def test_files_that_share_a_path_are_all_counted(spark, twins):
+    folder, duck = twins
+    got = registry.queries()["latest_per_path"](spark, folder).toPandas()
+    want = duck.execute(registry.oracle_sql()["latest_per_path"]).df()
+    assert rows(got, ["bytes", "db", "n"]) == rows(want, ["bytes", "db", "n"])
+
+
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
