@@ -79,6 +79,39 @@ def test_results_tell_of_one_file_where_several_share_a_path(spark, twins):
         assert got[path][:2] == min(found[path]) and want[path][:2] in found[path] and got[path][2] == want[path][2]
 
 
+@pytest.fixture(scope="module")
+def gaps(sf_dir, tmp_path_factory):
+    """The smallest tables, with pages that lack html or a number beside others of their address or path that have them."""
+    import duckdb
+
+    out = tmp_path_factory.mktemp("gaps")
+    c = duckdb.connect()
+    for t in TABLES:
+        if t != "pages":
+            os.symlink(f"{sf_dir}/{t}.parquet", out / f"{t}.parquet")
+    c.execute(f"CREATE TABLE given AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    added = [
+        (2000, "https://x.org/one", None), (2001, "https://x.org/one", "it was so"), (2002, "https://x.org/one", "it was not"),
+        (None, "https://x.org/was/two", None), (2003, "http://x.org/was/two", "was"),
+        (None, "http://x.org/was/three", "was it"), (2004, "https://x.org/was/three", "it was"),
+        (2005, "https://x.org/was/four", None), (None, None, "it was"),
+    ]
+    c.executemany("INSERT INTO given VALUES (?, ?, ?)", added)
+    c.execute(f"COPY given TO '{out}/pages.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{out}/{t}.parquet'")
+    return str(out), c
+
+
+@pytest.mark.parametrize("name", ["all_databases", "latest_per_path"])
+def test_what_a_page_lacks_is_taken_from_the_next_one(spark, gaps, name):
+    folder, duck = gaps
+    got = registry.queries()[name](spark, folder).toPandas()
+    want = duck.execute(registry.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    assert rows(got, columns) == rows(want, columns)
+
+
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
 

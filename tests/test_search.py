@@ -86,6 +86,17 @@ def test_databases(spark):
     assert search(both, SearchRequest("shared")).collect()[0]["size"] == 6
 
 
+def test_what_the_first_file_of_a_path_lacks(spark):
+    """It is taken from the next database's, or from another file of the same one; files that lack nothing are told of whole."""
+    files = [
+        ("r1", "needle_a", False, None, 5, None), ("r2", "needle_a", False, 7, 9, None),
+        ("r1", "needle_b", False, None, 1, None), ("r1", "needle_b", False, 4, 8, None), ("r1", "needle_b", False, 3, None, None),
+        ("r1", "needle_c", False, 3, None, None), ("r2", "needle_c", False, 2, None, None),
+    ]
+    got = {r["path"]: (r["size"], r["mtime"]) for r in search(spark.createDataFrame(files, FILES), SearchRequest("needle")).collect()}
+    assert got == {"needle_a": (7, 5), "needle_b": (4, 8), "needle_c": (3, None)}
+
+
 def test_expression_errors(spark):
     with pytest.raises(ValueError):
         find(table(spark, {"a": None}), "a", expr="-bad x")
